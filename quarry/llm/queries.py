@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid, simhash
+from quarry.llm import decontam, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_simhash": simhash.op6_simhash,
+    "op8_decontamination": decontam.op8_decontamination,
+    "op10_sharding": sharding.op10_sharding,
+}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontam.ORACLE,
+    "op10_sharding": sharding.ORACLE,
 }
-ORACLES: dict[str, str] = {}
