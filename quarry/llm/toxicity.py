@@ -35,6 +35,8 @@ WINDOW = 16
 WINDOW_GAIN = 2
 #: A toxic word's share of toxic documents, and how often that exceeds its share of ordinary ones.
 MIN_SHARE, MIN_LIFT = 0.008, 10
+#: The fewest toxic documents that a toxic word is in.
+MIN_DOCS = 4
 #: Words remembered by a task before it starts anew.
 MEMO = 500_000
 #: Letters in lower case and bytes from 0x80 on; all else separates.
@@ -98,14 +100,14 @@ class Meter:
 
 
 def _support(texts: list[list[bytes]]) -> Counter:
-    """Documents that hold each word; copies and near copies (one least hash) count once."""
+    """Documents that hold each word (` word `); copies and near copies (one least hash) count once."""
     held: dict[bytes, set[int]] = defaultdict(set)
     for words in texts:
         some = set(words)
         if some:
             least = min(map(zlib.crc32, some))
             for w in some:
-                held[w].add(least)
+                held[b" %b " % w].add(least)
     return Counter({w: len(s) for w, s in held.items()})
 
 
@@ -129,8 +131,8 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
         return None
     common, marked = _support(parts[0]), _support(parts[1])
     n0, n1 = len(parts[0]), len(parts[1])
-    toxic = {w: n for w, n in marked.items() if n >= max(2, MIN_SHARE * n1) and (n / n1) >= MIN_LIFT * (common[w] + 0.5) / n0}
-    samples = [[b" %b " % w for w, n in sorted(c.items()) if n > 1 for _ in range(min(n, 50))] for c in (common, toxic)]
+    toxic = {w: n for w, n in marked.items() if n >= max(MIN_DOCS, MIN_SHARE * n1) and (n / n1) >= MIN_LIFT * (common[w] + 0.5) / n0}
+    samples = [[w for w, n in sorted(c.items()) if n > 1 for _ in range(min(n, 50))] for c in (common, toxic)]
     for s in samples:
         shuffle.shuffle(s)
     model = Model(_dictionary(ORDINARY_BYTES, samples[0]), _dictionary(TOXIC_BYTES, samples[1]), ())
