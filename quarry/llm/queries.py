@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, langid, mixing, sharding, simhash, toxicity
+from quarry.llm import decontam, langid, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
