@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, langid, mixing, sharding, simhash, toxicity, warc
+from quarry.llm import decontam, langid, mixing, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repeats": substring.op4_repeats,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
     "op8_decontamination": decontam.op8_decontamination,
