@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, langid, mixing, sharding, simhash, substring, toxicity, warc
+from quarry.llm import decontam, embed, langid, mixing, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_repeats": substring.op4_repeats,
     "op5_warc": warc.op5_warc,
     "op6_simhash": simhash.op6_simhash,
+    "op7_embeddings": embed.op7_embeddings,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
+    "op7_embeddings": embed.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
