@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, embed, langid, mixing, sharding, simhash, substring, toxicity, warc
+from quarry.llm import decontam, embed, langid, mixing, pst, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_embeddings": embed.op7_embeddings,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_suffix_tree": pst.op9_suffix_tree,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES: dict[str, str] = {
