@@ -24,7 +24,7 @@ from quarry.plans.session import materialize
 
 WINDOW = 13
 #: Words of one broadcast automaton; a single longer item is cut into parts that overlap by WINDOW - 1 words.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 200_000
 
 #: Letters in lower case, digits and bytes from 0x80 on are parts of words; all else separates.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -170,6 +170,22 @@ def scan(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return docs.mapInArrow(run, "row struct<doc_id:bigint,tid:bigint>, n_words long, spans array<bigint>, items array<string>")
 
 
+def _spans_udf(spark: SparkSession, automaton: Automaton):
+    shared = spark.sparkContext.broadcast(automaton)
+
+    @F.arrow_udf("struct<n_words:bigint,spans:array<bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n, spans = [], []
+            for text in texts:
+                words = words_of(text.as_py())
+                n.append(len(words))
+                spans.append([x for s in shared.value.hits(words)[0] for x in s])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["n_words", "spans"])
+
+    return run
+
+
 def _union_spans(flat: list[list[int]]) -> list[int]:
     out: list[int] = []
     for lo, hi in sorted((s[i], s[i + 1]) for s in flat for i in range(0, len(s), 2)):
@@ -222,6 +238,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.05, action
     A document is contaminated if at least one word and at least share of its words are hit. `cut`
     leaves the other words in place, joined by the text between them. All columns of docs stay.
     """
+    parts = chunks(items, "item_id", "text")
+    first = next(parts, None)
+    if first is None:
+        return docs
+    if next(parts, None) is None:  # one automaton: decided row by row, without a join
+        spans = _spans_udf(docs.sparkSession, Automaton(first))
+        counted = docs.withColumn("_found", spans("text")).withColumn("_hit", hit_words("_found.spans"))
+        bad = (F.col("_hit") > 0) & (F.col("_hit") >= share * F.col("_found.n_words"))
+        if action == "drop":
+            return counted.where(~bad).select(*docs.columns)
+        cut = F.udf(cut_words, "string")
+        return counted.withColumn("text", F.when(bad, cut("text", "_found.spans")).otherwise(F.col("text"))).select(*docs.columns)
     found = contamination(docs, items).withColumn("n_hit", hit_words())
     bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
     keyed = docs.withColumn("_tid", F.xxhash64("text"))

@@ -31,15 +31,18 @@ def bucket_bounds(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> list[int]:
     return sorted(set(found))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row of docs.
+def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row of docs, and before them the columns in keep.
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1, crc32 0). Rows are ordered by doc_id
     (null first), then size, crc32 and a hash of the text; equal rows are interchangeable. Slots
-    count from 0 in each shard in that order. An empty table gives no rows; other columns of docs
-    are not read.
+    count from 0 in each shard in that order. An empty table gives no rows; of the other columns of
+    docs those in keep stay, but for names that the result has itself.
     """
+    kept = [c for c in keep or [] if c != "doc_id"]
+    own = {c: f"_kept_{i}" for i, c in enumerate(kept)}
     rows = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in own.items()],
         F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
@@ -75,7 +78,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, bucket_rows: int = B
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("k").over(in_shard), F.lit(0)).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "size", "text_crc32", "h"))
     numbered = placed.withColumn("nth", nth).join(F.broadcast(offsets), ["bucket", "shard"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"))
+    slot = (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot")
+    made = {"doc_id": F.col("doc_id"), "size": F.col("size"), "text_crc32": F.col("text_crc32"), "shard": F.col("shard"), "slot": slot}
+    return numbered.select(*[F.col(k).alias(c) for c, k in own.items() if c not in made], *made.values())
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

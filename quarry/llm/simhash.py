@@ -1,13 +1,19 @@
 """SimHash near-duplicates: fingerprints, linked through vantage-point trees.
 
-Two fingerprints within `RADIUS` = 3 bits of each other agree to within one bit on at least one
-32-bit half (3 // 2 = 1). So the tree of each half is searched with radius 1, and candidates are
-compared on all 64 bits. A tree splits by the Hamming distance to a vantage point: at or below
-the median goes left, above it right; by the triangle bound a query with distance d needs the
-left side only if d <= median + 1 and the right side only if d > median - 1. The upper levels of a
-tree, fitted on a bounded sample, deal fingerprints to shards: each is at home in one shard and
-queries every shard that its ball of radius 1 overlaps, so no pair is lost at a boundary. Inside a
-shard the same splitting goes on down to small leaves.
+A tree holds one part of every fingerprint (its key). It splits by the Hamming distance to a
+vantage point: at or below the median goes left, above it right; by the triangle bound a query of
+radius 1 with distance d needs the left side only if d <= median + 1 and the right side only if
+d > median - 1. The upper levels, fitted on a bounded sample, deal fingerprints to shards: each is
+at home in one shard and queries every shard that its ball of radius 1 overlaps, so no pair is
+lost at a boundary. Inside a shard the same splitting goes on down to small leaves; keys within
+one bit are compared on all bits.
+
+* Fingerprints of 64 bits within `RADIUS` = 3 bits agree to within one bit on at least one 32-bit
+  half (3 // 2 = 1), so two trees find every pair.
+* `similar_documents` asks for a Jaccard similarity of word shingles instead. 64 bits are too few
+  to tell 0.8 from 0.7, so its fingerprints have `WIDE` bits, of which `TREES` keys of `KEY` bytes
+  are searched; a pair at the threshold is met in at least one tree with a chance of about 0.97
+  (0.99 at 0.85), and compared by the bits that the similarity lets expect.
 
 Groups of copies collapse to one fingerprint first, and shards return spanning links (at most
 one a fingerprint), never all pairs.
@@ -30,15 +36,23 @@ from quarry.plans.session import materialize
 RADIUS = 3
 #: Fingerprints that the vantage points are picked from.
 SAMPLE = 4096
-#: Distinct fingerprints at home in a shard, about.
-SHARD = 65536
+#: Distinct fingerprints at home in a shard, about: of 64 bits, and wide ones.
+SHARD, WIDE_SHARD = 16_384, 1 << 19
 #: Below this a branch is compared in full.
-LEAF = 512
+LEAF = 128
+#: Bits of a wide fingerprint, its trees, and the bytes of each tree's key.
+WIDE, TREES, KEY = 768, 32, 3
+#: Odd multipliers that make the 64-bit words of a wide fingerprint from one hash.
+_ODD = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(LOWER).split()
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit SimHash of the word shingles; 0 for a text without words."""
-    w = (text or "").encode().translate(LOWER).split()
+    w = words_of(text)
     if not w:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -59,15 +73,74 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+_BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64)
+_AT = np.arange(WIDE // 8, dtype=np.int64) * 256
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """`WIDE`-bit SimHash of the word shingles, each distinct one counted once; zero for a text without words.
+
+    A set of shingles is what a Jaccard similarity compares.
+    """
+    w = words_of(text)
+    if not w:
+        return bytes(WIDE // 8)
+    each = np.fromiter((xxhash.xxh64_intdigest(x) for x in w), np.uint64, len(w))
+    n = max(1, len(w) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(words, len(w))):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + each[k : k + n]
+    h = np.unique(h ^ (h >> np.uint64(29)))
+    count = np.zeros(_AT[-1] + 256)
+    for i in range(0, len(h), 8192):
+        mixed = h[i : i + 8192, None] * _ODD
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        count += np.bincount((mixed.view(np.uint8).reshape(len(mixed), -1) + _AT).ravel(), minlength=len(count))
+    return np.packbits((count.reshape(-1, 256) @ _BIT).ravel() * 2 > len(h)).tobytes()
+
+
+def distance_at(similarity: float) -> int:
+    """The wide fingerprints' expected distance at a Jaccard similarity of two sets of one size."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(WIDE * float(np.arccos(cosine)) / np.pi)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. Null texts count as empty."""
+    """(doc_id, fp): fp as 8 big-endian bytes. Null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [fingerprint(t.as_py(), words).to_bytes(8, "big") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, tid, fp): tid is xxhash64 of the text, which tells rows that share a doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = [wide_fingerprint(t.as_py(), words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["doc_id", "tid", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, fp binary")
+
+
+def _bytes(column) -> np.ndarray:
+    """Binary values of one width as rows of bytes."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+def _key(prints: np.ndarray, tree: int, width: int) -> np.ndarray:
+    """The tree's key: bytes width * tree and on, as numbers."""
+    key = np.zeros(len(prints), np.uint32)
+    for k in range(width):
+        key = (key << np.uint32(8)) | prints[:, width * tree + k]
+    return key
 
 
 def build_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
@@ -104,17 +177,19 @@ def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int) -> tup
     return rows, node, home
 
 
-def search(half: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndarray, radius: int = RADIUS) -> None:
-    """Joins in parent every query with the rows at home within radius, branch by branch."""
+def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndarray, radius: int) -> None:
+    """Joins in parent every query with the rows at home whose keys are within 1 and whose bits are within radius.
+
+    full has 64-bit words by row. Rows that are in one set already are not compared again.
+    """
     stack = [(np.flatnonzero(home), np.arange(len(full)))]
     while stack:
         h, q = stack.pop()
         if not len(h) or not len(q):
             continue
-        same = False
         if len(h) > LEAF:
-            point = half[h[len(h) // 2]]
-            dh, dq = np.bitwise_count(half[h] ^ point), np.bitwise_count(half[q] ^ point).astype(np.int64)
+            point = key[h[len(h) // 2]]
+            dh, dq = np.bitwise_count(key[h] ^ point), np.bitwise_count(key[q] ^ point).astype(np.int64)
             middle = int(np.median(dh))
             left = dh <= middle
             same = bool(left.all())
@@ -126,51 +201,57 @@ def search(half: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndar
                 stack += [(h[left], q[dq <= middle + 1]), (h[~left], q[dq > middle - 1])]
                 continue
         for j in range(0, len(h), LEAF):
-            part = full[h[j : j + LEAF]]
-            for i in range(0, len(q), 2048):
-                x, y = np.nonzero(np.bitwise_count(full[q[i : i + 2048], None] ^ part[None, :]) <= radius)
-                if len(x) > min(len(q) - i, 2048):
-                    union_pairs(parent, q[i : i + 2048][x], h[j : j + LEAF][y])
-                elif len(x):
-                    a, b = q[i : i + 2048][x], h[j : j + LEAF][y]
-                    union_pairs(parent, a[a != b], b[a != b])
+            part = h[j : j + LEAF]
+            own, asked = find(parent, part), q
+            if (own == own[0]).all():
+                asked = q[find(parent, q) != own[0]]
+            for i in range(0, len(asked), 4096):
+                some = asked[i : i + 4096]
+                x, y = np.nonzero(np.bitwise_count(key[some, None] ^ key[None, part]) <= 1)
+                for k in range(0, len(x), 65536):
+                    a, b = some[x[k : k + 65536]], part[y[k : k + 65536]]
+                    apart = find(parent, a) != find(parent, b)
+                    a, b = a[apart], b[apart]
+                    if len(a):
+                        near = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64) <= radius
+                        union_pairs(parent, a[near], b[near])
 
 
-def links(fps: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """Spanning links (a, b) between the least doc_ids of linked distinct fingerprints.
+def links(fps: DataFrame, radius: int = RADIUS, trees: int = 2, width: int = 4, shard_rows: int = SHARD) -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct fingerprints within radius that meet in a tree.
 
-    fps has (fp, node), one row a fingerprint.
+    fps has (fp, node), one row a fingerprint; width is the bytes of a tree's key.
     """
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    sample = [r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    seen = np.array(sample, np.int64).view(np.uint64)
-    trees = [build_tree((seen >> np.uint64(32 * k)).astype(np.uint32), depth) for k in range(2)]
+    sample = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column("fp")
+    tops = [build_tree(_key(_bytes(sample), k, width), depth) if n else [] for k in range(trees)]
+    shared = fps.sparkSession.sparkContext.broadcast(tops)  # 2^depth vantage points a tree
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(2):
-                rows, shard, home = shards_of((fp >> np.uint64(32 * k)).astype(np.uint32), trees[k], depth)
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), k, np.int32)), pa.array(shard), part.column(0), part.column(1), pa.array(home)],
-                    names=["tree", "shard", "fp", "node", "home"],
-                )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                prints = _bytes(batch.column(0))
+                for k in range(trees):
+                    rows, shard, home = shards_of(_key(prints, k, width), shared.value[k], depth)
+                    part = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(shard), part.column(0), part.column(1), pa.array(home)],
+                        names=["tree", "shard", "fp", "node", "home"],
+                    )
 
     def join(group: pa.Table) -> pa.Table:
-        full = group.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(group.column("node").to_numpy())
-        full, node = full[order], group.column("node").to_numpy()[order]
-        home = group.column("home").to_numpy()[order]
-        parent = np.arange(len(full))
-        tree = group.column("tree")[0].as_py()
-        search((full >> np.uint64(32 * tree)).astype(np.uint32), full, home, parent)
-        root = find(parent, np.arange(len(full)))
-        moved = root != np.arange(len(full))
+        node = group.column("node").to_numpy()
+        order = np.argsort(node)
+        prints, node, home = _bytes(group.column("fp"))[order], node[order], group.column("home").to_numpy()[order]
+        parent = np.arange(len(node))
+        search(_key(prints, group.column("tree")[0].as_py(), width), prints.view(np.uint64), home, parent, radius)
+        root = find(parent, np.arange(len(node)))
+        moved = root != np.arange(len(node))
         return pa.table({"a": node[moved], "b": node[root[moved]]})
 
-    dealt = fps.select("fp", "node").mapInArrow(deal, "tree int, shard long, fp long, node long, home boolean")
+    dealt = fps.select("fp", "node").mapInArrow(deal, "tree int, shard long, fp binary, node long, home boolean")
     return dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long")
 
 
@@ -191,6 +272,40 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, tid, component_id) of every row of docs; a component is a class of similar texts.
+
+    Texts are linked whose wide fingerprints differ by no more bits than a Jaccard similarity of
+    their word shingles lets expect; classes are what links reach. Null and empty texts are one
+    class. component_id is the least doc_id of a class; rows with a null doc_id link like others
+    through their text and take part with the largest id. Repeated rows stay; an empty table gives
+    no rows; other columns of docs are not read.
+    """
+    prints = materialize(wide_fingerprints(docs, words))
+    node = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    by_print = prints.groupBy("fp").agg(F.min(node).alias("node"))
+    # rows that share an id and differ in text would be one node: linked as they are one id's
+    distinct = materialize(by_print)
+    found = links(distinct, distance_at(similarity), TREES, KEY, WIDE_SHARD)
+    found = connected_components(found)
+    classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "tid", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each class of similar texts: the least by doc_id (null last), then text hash.
+
+    All columns of docs stay. Ids are expected to name one text; repeated rows are one class.
+    """
+    classes = materialize(similar_documents(docs, words, similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid"))
+    kept = classes.groupBy("component_id").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tid").alias("_t"))
+    rows = docs.withColumn("_tid", F.xxhash64("text"))
+    stay = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (rows["_tid"] == F.col("_t")), "left_semi")
+    repeated = classes.groupBy("doc_id", "tid").count().where("count > 1").limit(1).count()
+    return (stay.dropDuplicates(["doc_id", "_tid"]) if repeated else stay).drop("_tid")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
