@@ -33,8 +33,8 @@ from quarry.llm.common import table
 
 SPAN = 50
 Q = 20
-#: Text bytes of a block and of the part of it that is hashed at a time, about.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 1 << 21
+#: Text bytes of a block and of the part of it that is hashed at a time, about; blocks at least.
+BLOCK_BYTES, PART_BYTES, MIN_BLOCKS = 16 << 20, 1 << 21, 16
 #: Strings under one key that a run holds at most.
 RUN = 64
 LAST_ID = (1 << 63) - 1
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
+    n_blocks = max(MIN_BLOCKS, -(-total // block_bytes))
     bits = max(0, int(n_blocks - 1).bit_length())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).repartition(n_blocks, "block")
 
