@@ -34,7 +34,7 @@ from quarry.llm.common import table
 SPAN = 50
 Q = 20
 #: Text bytes of a block and of the part of it that is hashed at a time, about; blocks at least.
-BLOCK_BYTES, PART_BYTES, MIN_BLOCKS = 16 << 20, 1 << 21, 16
+BLOCK_BYTES, PART_BYTES, MIN_BLOCKS = 4 << 20, 1 << 20, 16
 #: Strings under one key that a run holds at most.
 RUN = 64
 LAST_ID = (1 << 63) - 1
@@ -50,14 +50,15 @@ def _pair(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
 
 def _doubled(data: np.ndarray, depth: int) -> np.ndarray:
     """Identifiers of the strings of 16 bytes (depth 16), or of Q bytes, at every offset."""
-    ids = [data.astype(np.uint64) + np.uint64(1)]
+    ids, four = data.astype(np.uint64) + np.uint64(1), None
     for level in range(4):
         d = 1 << level
-        ids.append(_pair(ids[-1][:-d], ids[-1][d:], level))
+        ids = _pair(ids[:-d], ids[d:], level)
+        four = ids if level == 1 else four
     if depth == 16:
-        return ids[4]
+        return ids
     n = len(data) - depth + 1
-    return _pair(ids[4][:n], ids[2][16 : 16 + n], 4)
+    return _pair(ids[:n], four[16 : 16 + n], 4)
 
 
 def keys_of(data: np.ndarray) -> np.ndarray:
