@@ -21,6 +21,7 @@ and a passage that very many documents share reaches a bucket once a block.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import slices, table
 
 SPAN = 50
 Q = 20
@@ -37,6 +38,8 @@ Q = 20
 BLOCK_BYTES, PART_BYTES, MIN_BLOCKS = 4 << 20, 1 << 20, 16
 #: Strings under one key that a run holds at most.
 RUN = 64
+#: Strings that a bucket refines at a time, about; those of one key stay together.
+PORTION = 400_000
 LAST_ID = (1 << 63) - 1
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -245,28 +248,30 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         tids, name = group.column("tid").to_numpy(), group.column("block")[0].as_py()
         asked = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64) for b, k in zip(wanted.column("bucket").to_pylist(), wanted.column("keys").to_pylist())]))
         seen: dict[bytes, int] = {}
-        known, texts, cols = [], [], []
+        known, texts, cols = [array("q") for _ in range(3)], [], [array("Q"), array("q"), array("q"), array("q")]
         for data, key, doc, start, shift, n in block.runs():
             code = (_bucket(key, bits).astype(np.uint64) << np.uint64(32)) | _short(key, bits).astype(np.uint64)
             at = np.minimum(np.searchsorted(asked, code), max(len(asked) - 1, 0))
-            hit = np.flatnonzero(asked[at] == code) if len(asked) else []
+            hit = np.flatnonzero(asked[at] == code) if len(asked) else np.zeros(0, np.int64)
             raw = data.tobytes()
-            for i in hit:
-                text = raw[start[i] : start[i] + n[i] + SPAN - 1]
-                d = doc[i]
+            for k, d, a, s, m in zip(*(x[hit].tolist() for x in (key, doc, start, shift, n))):
+                text = raw[a : a + m + SPAN - 1]
                 owner = seen.setdefault(text, d)
                 if block.ids[owner] < block.ids[d]:
-                    known.append((d, start[i] + shift[i], start[i] + shift[i] + len(text)))
+                    values, into = (d, a + s, a + s + len(text)), known
                 else:
-                    cols.append((key[i], d, start[i] + shift[i], n[i]))
+                    values, into = (k, d, a + s, m), cols
                     texts.append(text)
+                for x, v in zip(into, values):
+                    x.append(v)
         out = []
-        if known:
-            d, lo, hi = (np.array(x, np.int64) for x in zip(*known))
+        seen.clear()
+        if known[0]:
+            d, lo, hi = (np.frombuffer(x, np.int64) for x in known)
             out.append({"bucket": name & ((1 << bits) - 1), "kind": 1, "block": name, "ids": block.ids[d].tobytes(), "tids": tids[d].tobytes(), "lo": lo.tobytes(), "hi": hi.tobytes()})
-        if cols:
-            key = np.array([c[0] for c in cols], np.uint64)
-            d, lo, n = (np.array([c[j] for c in cols], np.int64) for j in (1, 2, 3))
+        if texts:
+            key = np.frombuffer(cols[0], np.uint64)
+            d, lo, n = (np.frombuffer(x, np.int64) for x in cols[1:])
             order = np.argsort(key, kind="stable")
             for b, part in _split(key[order], _bucket(key[order], bits)):
                 rows_ = order[part]
@@ -282,18 +287,25 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             return ready.cast(schema)
         load = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in runs.column(c).to_pylist()])
         key, n, ids, tids, lo = load("key", np.uint64), load("n", np.int64), load("ids", np.int64), load("tids", np.int64), load("lo", np.int64)
-        data = np.frombuffer(b"".join(runs.column("text").to_pylist()), np.uint8)
-        sizes = np.array([len(x) // 8 for x in runs.column("n").to_pylist()])
-        block = np.repeat(runs.column("block").to_numpy(), sizes)
-        width = n + SPAN - 1
-        begin = np.cumsum(width) - width
-        row = np.repeat(np.arange(len(n)), n)
-        start = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        least = refine(data, start, key[row], ids[row])
-        which, first, end = _flags_to_spans(lo, n, least < ids[row], row)
+        block = np.repeat(runs.column("block").to_numpy(), [len(x) // 8 for x in runs.column("n").to_pylist()])
+        text = b"".join(runs.column("text").to_pylist())
+        at = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
+        order = np.argsort(key, kind="stable")
+        whole = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))  # where a key's runs begin
+        done = []
+        for first, last in slices(np.add.reduceat(n[order], whole), PORTION):
+            some = order[whole[first] : whole[last] if last < len(whole) else len(order)]
+            data = np.frombuffer(b"".join([text[a:b] for a, b in zip(at[some].tolist(), (at[some] + n[some] + SPAN - 1).tolist())]), np.uint8)
+            width = n[some] + SPAN - 1
+            row = np.repeat(np.arange(len(some)), n[some])
+            start = (np.cumsum(width) - width)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            least = refine(data, start, key[some][row], ids[some][row])
+            which, begin, end = _flags_to_spans(lo[some], n[some], least < ids[some][row], row)
+            done.append((some[which], begin, end))
+        which, begin, end = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(block[which], kind="stable")
-        which, first, end = which[order], first[order], end[order]
-        out = [{"block": b, "ids": ids[which[p]].tobytes(), "tids": tids[which[p]].tobytes(), "lo": first[p].tobytes(), "hi": end[p].tobytes()} for b, p in _split(which, block[which])]
+        which, begin, end = which[order], begin[order], end[order]
+        out = [{"block": b, "ids": ids[which[p]].tobytes(), "tids": tids[which[p]].tobytes(), "lo": begin[p].tobytes(), "hi": end[p].tobytes()} for b, p in _split(which, block[which])]
         return pa.concat_tables([pa.Table.from_pylist(out, schema=schema), ready.cast(schema)])
 
     def cut(group: pa.Table, spans: pa.Table) -> pa.Table:
