@@ -234,9 +234,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         """For each block, the keys of this bucket that two documents hold."""
         keys = [np.frombuffer(k, np.uint32) for k in group.column("keys").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(group.column("many").to_pylist(), keys)]
-        every = np.sort(np.concatenate([np.unique(k) for k in keys]))
-        twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[k[f] for k, f in zip(keys, flags)]]))
-        out = [{"bucket": group.column("bucket")[0].as_py(), "block": b, "keys": k[np.isin(k, twice)].tobytes()} for b, k in zip(group.column("block").to_pylist(), keys)]
+        code = (np.concatenate(keys).astype(np.uint64) << np.uint64(32)) | np.arange(sum(map(len, keys)), dtype=np.uint64)
+        code.sort()
+        same = (code[1:] >> np.uint64(32)) == (code[:-1] >> np.uint64(32))
+        twice = np.concatenate([np.zeros(0, bool), *flags])
+        twice[(code[np.append(same, False) | np.insert(same, 0, False)] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        ends = np.cumsum([len(k) for k in keys])
+        out = [{"bucket": group.column("bucket")[0].as_py(), "block": b, "keys": k[twice[e - len(k) : e]].tobytes()} for b, k, e in zip(group.column("block").to_pylist(), keys, ends)]
         return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())]))
 
     def send(group: pa.Table, wanted: pa.Table) -> pa.Table:
