@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.operators import compare, history
+
+_MODULES = (compare, history)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
