@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.operators import compare, history
+from quarry.operators import candidates, compare, history, scoring, usage
 
-_MODULES = (compare, history)
+_MODULES = (compare, history, candidates, scoring, usage)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
