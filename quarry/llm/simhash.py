@@ -277,15 +277,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     Texts are linked whose wide fingerprints differ by no more bits than a Jaccard similarity of
     their word shingles lets expect; classes are what links reach. Null and empty texts are one
-    class. component_id is the least doc_id of a class; rows with a null doc_id link like others
-    through their text and take part with the largest id. Repeated rows stay; an empty table gives
-    no rows; other columns of docs are not read.
+    class. component_id is a number of the class, made of its fingerprints; ids take no part in it,
+    so rows with a null or repeated doc_id link like others through their text alone. Repeated rows
+    stay; an empty table gives no rows; other columns of docs are not read.
     """
     prints = materialize(wide_fingerprints(docs, words))
-    node = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    by_print = prints.groupBy("fp").agg(F.min(node).alias("node"))
-    # rows that share an id and differ in text would be one node: linked as they are one id's
-    distinct = materialize(by_print)
+    distinct = materialize(prints.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
     found = links(distinct, distance_at(similarity), TREES, KEY, WIDE_SHARD)
     found = connected_components(found)
     classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -295,7 +292,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each class of similar texts: the least by doc_id (null last), then text hash.
 
-    All columns of docs stay. Ids are expected to name one text; repeated rows are one class.
+    All columns of docs stay. Ids may be null or repeated; rows of one text are one class.
     """
     classes = materialize(similar_documents(docs, words, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid"))

@@ -178,6 +178,15 @@ def test_similar_documents_keep_one_of_each_class(spark, docs):
     assert simhash.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_with_null_and_repeated_ids(spark):
+    rnd = random.Random(13)
+    texts = [" ".join(rnd.choice(VOCAB) + str(rnd.randrange(99)) for _ in range(200)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(8, texts[6]), (9, texts[7])]
+    rows += [(10, texts[0] + " more"), (11, texts[1] + " more"), (7, texts[3]), (None, texts[2])]
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[2], *rows[3:10]], key=str)
+
+
 def test_embeddings_match_brute_force(spark):
     import numpy as np
 
