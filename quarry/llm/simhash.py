@@ -10,10 +10,11 @@ one bit are compared on all bits.
 
 * Fingerprints of 64 bits within `RADIUS` = 3 bits agree to within one bit on at least one 32-bit
   half (3 // 2 = 1), so two trees find every pair.
-* `similar_documents` asks for a Jaccard similarity of word shingles instead. 64 bits are too few
-  to tell 0.8 from 0.7, so its fingerprints have `WIDE` bits, of which `TREES` keys of `KEY` bytes
-  are searched; a pair at the threshold is met in at least one tree with a chance of about 0.97
-  (0.99 at 0.85), and compared by the bits that the similarity lets expect.
+* `similar_documents` asks for a Jaccard similarity of word shingles instead. Its fingerprints have
+  `WIDE` bits, of which `TREES` keys of `KEY` bytes are searched with a radius of `REACH` bits (more between texts of few shingles); they
+  only find candidates, up to `SIGMAS` standard deviations over the distance that the similarity lets
+  expect. Candidates are linked if the exact similarity of their shingle sets is reached, and
+  searched again where one is not, until no candidate between two classes is untried.
 
 Groups of copies collapse to one fingerprint first, and shards return spanning links (at most
 one a fingerprint), never all pairs.
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, find, table, union_pairs
+from quarry.llm.common import LOWER, find, slices, table, union_pairs
 from quarry.operators.graph import connected_components
 from quarry.plans.session import materialize
 
@@ -40,8 +42,19 @@ SAMPLE = 4096
 SHARD, WIDE_SHARD = 16_384, 1 << 19
 #: Below this a branch is compared in full.
 LEAF = 128
+#: Text bytes that are made shingle sets at a time, about.
+PART_BYTES = 1 << 21
 #: Bits of a wide fingerprint, its trees, and the bytes of each tree's key.
 WIDE, TREES, KEY = 768, 32, 3
+#: Bits that the keys of wide fingerprints may differ by, and those of small sets.
+REACH, SMALL_REACH = 2, 3
+#: Standard deviations that candidates may lie over the expected distance.
+SIGMAS = 4
+#: Sets of fewer shingles count as small: a bit of theirs differs with a chance of up to SMALL_CHANCE
+#: at 0.8, the most of any sizes (four of five shared).
+SMALL, SMALL_CHANCE = 32, 0.1875
+#: When a class is searched again, pairs of a shard for each of its rows that are tried at once.
+TRIED = 64
 #: Odd multipliers that make the 64-bit words of a wide fingerprint from one hash.
 _ODD = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -77,20 +90,22 @@ _BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64
 _AT = np.arange(WIDE // 8, dtype=np.int64) * 256
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """`WIDE`-bit SimHash of the word shingles, each distinct one counted once; zero for a text without words.
-
-    A set of shingles is what a Jaccard similarity compares.
-    """
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; a text of fewer words is one shingle, without words none."""
     w = words_of(text)
     if not w:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     each = np.fromiter((xxhash.xxh64_intdigest(x) for x in w), np.uint64, len(w))
     n = max(1, len(w) - words + 1)
     h = np.zeros(n, np.uint64)
     for k in range(min(words, len(w))):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + each[k : k + n]
-    h = np.unique(h ^ (h >> np.uint64(29)))
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def _wide(h: np.ndarray) -> bytes:
+    if not len(h):
+        return bytes(WIDE // 8)
     count = np.zeros(_AT[-1] + 256)
     for i in range(0, len(h), 8192):
         mixed = h[i : i + 8192, None] * _ODD
@@ -101,12 +116,28 @@ def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
     return np.packbits((count.reshape(-1, 256) @ _BIT).ravel() * 2 > len(h)).tobytes()
 
 
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """`WIDE`-bit SimHash of the word shingles, each distinct one counted once; zero for a text without words.
+
+    A set of shingles is what a Jaccard similarity compares.
+    """
+    return _wide(shingles(text, words))
+
+
 def distance_at(similarity: float) -> int:
     """The wide fingerprints' expected distance at a Jaccard similarity of two sets of one size."""
     cosine = 2 * similarity / (1 + similarity)
     return round(WIDE * float(np.arccos(cosine)) / np.pi)
 
 
+def radius_at(similarity: float, small: bool = False) -> int:
+    """The distance that wide fingerprints of a similarity hardly exceed; small: of few shingles."""
+    p = distance_at(similarity) / WIDE
+    if small:
+        p *= max(1.0, SMALL_CHANCE * WIDE / distance_at(0.8))
+    return int(np.ceil(WIDE * p + SIGMAS * np.sqrt(WIDE * p * (1 - p))))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): fp as 8 big-endian bytes. Null texts count as empty."""
 
@@ -119,14 +150,20 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, tid, fp): tid is xxhash64 of the text, which tells rows that share a doc_id apart."""
+    """(doc_id, tid, fp, node, n): tid is xxhash64 of the text, node of its set of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [wide_fingerprint(t.as_py(), words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["doc_id", "tid", "fp"])
+            out = []
+            for t in batch.column(2):
+                h = shingles(t.as_py(), words)
+                out.append((_wide(h), xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), len(h)))
+            fp, node, n = zip(*out) if out else ((), (), ())
+            made = [pa.array(fp, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "tid", "fp", "node", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, fp binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text")
+    return rows.mapInArrow(run, "doc_id long, tid long, fp binary, node long, n int")
 
 
 def _bytes(column) -> np.ndarray:
@@ -159,8 +196,8 @@ def build_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
     return nodes
 
 
-def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, at home) for every shard that a ball of radius 1 around a row overlaps."""
+def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int, reach: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, at home) for every shard that a ball of radius reach around a row overlaps."""
     rows, node, home = np.arange(len(half)), np.zeros(len(half), np.int64), np.ones(len(half), bool)
     points = np.array([p for p, _ in nodes] or [0], np.uint32)
     middles = np.array([m for _, m in nodes] or [0], np.int64)
@@ -168,7 +205,7 @@ def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int) -> tup
         d = np.bitwise_count(half[rows] ^ points[node]).astype(np.int64)
         middle, left = middles[node], None
         left = d <= middle
-        go_left, go_right = d <= middle + 1, d > middle - 1
+        go_left, go_right = d <= middle + reach, d > middle - reach
         rows, node, home = (
             np.concatenate([rows[go_left], rows[go_right]]),
             np.concatenate([node[go_left] * 2 + 1, node[go_right] * 2 + 2]),
@@ -177,11 +214,65 @@ def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int) -> tup
     return rows, node, home
 
 
-def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndarray, radius: int) -> None:
-    """Joins in parent every query with the rows at home whose keys are within 1 and whose bits are within radius.
+def span_pairs(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the sets of a[i] and b[i] in place; returns the i that do so, the first ones preferred, without cycles."""
+    used, at = [np.zeros(0, np.int64)], np.arange(len(a))
+    while len(at):
+        x, y = find(parent, a[at]), find(parent, b[at])
+        apart = x != y
+        at, x, y = at[apart], x[apart], y[apart]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        parent[high] = np.minimum(x, y)[first]
+        used.append(at[first])
+    return np.concatenate(used)
+
+
+class Joined:
+    """Takes pairs by joining their sets in parent."""
+
+    def __init__(self, parent: np.ndarray):
+        self.parent = parent
+
+    def take(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        union_pairs(self.parent, a, b)
+
+
+class Candidates(Joined):
+    """Takes pairs that are to be tried: up to `most` one by one, then only those that join two sets.
+
+    refused has the sorted codes (lesser * rows + greater) of pairs that were tried before.
+    """
 
-    full has 64-bit words by row. Rows that are in one set already are not compared again.
+    def __init__(self, parent: np.ndarray, refused: np.ndarray, most: int):
+        super().__init__(parent)
+        self.refused, self.most, self.held = refused, most, 0
+        self.pairs: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+    def take(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        if len(self.refused):
+            code = np.minimum(a, b) * len(self.parent) + np.maximum(a, b)
+            at = np.minimum(np.searchsorted(self.refused, code), len(self.refused) - 1)
+            new = self.refused[at] != code
+            a, b, distance = a[new], b[new], distance[new]
+        if spanning := self.held + len(a) > self.most:
+            order = np.argsort(distance, kind="stable")
+            a, b = a[order], b[order]
+            used = span_pairs(self.parent, a, b)
+            a, b = a[used], b[used]
+        else:
+            self.held += len(a)
+        if len(a):
+            self.pairs.append((a, b, spanning))
+
+
+def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, found: Joined, radius: int | np.ndarray, reach: int = 1) -> None:
+    """Gives found every query with the rows at home whose keys are within reach and whose bits are within radius.
+
+    full has 64-bit words by row; a radius by row counts by the larger of a pair. Rows that are in one set already
+    are not compared again.
     """
+    parent = found.parent
+    radius = np.broadcast_to(radius, len(full))
     stack = [(np.flatnonzero(home), np.arange(len(full)))]
     while stack:
         h, q = stack.pop()
@@ -198,7 +289,7 @@ def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndarr
                 left = dh <= middle
                 same = not left.any()
             if not same:
-                stack += [(h[left], q[dq <= middle + 1]), (h[~left], q[dq > middle - 1])]
+                stack += [(h[left], q[dq <= middle + reach]), (h[~left], q[dq > middle - reach])]
                 continue
         for j in range(0, len(h), LEAF):
             part = h[j : j + LEAF]
@@ -207,26 +298,25 @@ def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, parent: np.ndarr
                 asked = q[find(parent, q) != own[0]]
             for i in range(0, len(asked), 4096):
                 some = asked[i : i + 4096]
-                x, y = np.nonzero(np.bitwise_count(key[some, None] ^ key[None, part]) <= 1)
+                x, y = np.nonzero(np.bitwise_count(key[some, None] ^ key[None, part]) <= reach)
                 for k in range(0, len(x), 65536):
                     a, b = some[x[k : k + 65536]], part[y[k : k + 65536]]
                     apart = find(parent, a) != find(parent, b)
                     a, b = a[apart], b[apart]
                     if len(a):
-                        near = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64) <= radius
-                        union_pairs(parent, a[near], b[near])
+                        distance = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64)
+                        near = distance <= np.maximum(radius[a], radius[b])
+                        found.take(a[near], b[near], distance[near])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, trees: int = 2, width: int = 4, shard_rows: int = SHARD) -> DataFrame:
-    """Spanning links (a, b) between the nodes of distinct fingerprints within radius that meet in a tree.
-
-    fps has (fp, node), one row a fingerprint; width is the bytes of a tree's key.
-    """
+def _dealt(fps: DataFrame, trees: int, width: int, shard_rows: int, reach: int) -> DataFrame:
+    """fps, of which the first column is fp, with (tree, shard, home) for every shard that a row's balls overlap."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
     sample = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column("fp")
     tops = [build_tree(_key(_bytes(sample), k, width), depth) if n else [] for k in range(trees)]
     shared = fps.sparkSession.sparkContext.broadcast(tops)  # 2^depth vantage points a tree
+    names = [*fps.columns, "tree", "shard", "home"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -234,27 +324,125 @@ def links(fps: DataFrame, radius: int = RADIUS, trees: int = 2, width: int = 4,
                 batch = whole.slice(at, 4096)
                 prints = _bytes(batch.column(0))
                 for k in range(trees):
-                    rows, shard, home = shards_of(_key(prints, k, width), shared.value[k], depth)
-                    part = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(shard), part.column(0), part.column(1), pa.array(home)],
-                        names=["tree", "shard", "fp", "node", "home"],
-                    )
+                    rows, shard, home = shards_of(_key(prints, k, width), shared.value[k], depth, reach)
+                    made = [pa.array(np.full(len(rows), k, np.int32)), pa.array(shard), pa.array(home)]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *made], names=names)
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fps.schema)
+    return fps.mapInArrow(deal, f"{types}, tree int, shard long, home boolean")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, trees: int = 2, width: int = 4, shard_rows: int = SHARD) -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct fingerprints within radius that meet in a tree.
+
+    fps has (fp, node), one row a fingerprint; width is the bytes of a tree's key.
+    """
 
     def join(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         order = np.argsort(node)
         prints, node, home = _bytes(group.column("fp"))[order], node[order], group.column("home").to_numpy()[order]
         parent = np.arange(len(node))
-        search(_key(prints, group.column("tree")[0].as_py(), width), prints.view(np.uint64), home, parent, radius)
+        search(_key(prints, group.column("tree")[0].as_py(), width), prints.view(np.uint64), home, Joined(parent), radius)
         root = find(parent, np.arange(len(node)))
         moved = root != np.arange(len(node))
         return pa.table({"a": node[moved], "b": node[root[moved]]})
 
-    dealt = fps.select("fp", "node").mapInArrow(deal, "tree int, shard long, fp binary, node long, home boolean")
+    dealt = _dealt(fps.select("fp", "node"), trees, width, shard_rows, 1)
     return dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long")
 
 
+def candidates(nodes: DataFrame, similarity: float, again: bool = False) -> DataFrame:
+    """(a, b, spanning) of pairs of nodes in different classes that may reach the similarity, a < b.
+
+    nodes has (fp, node, n), with again also the class it is in and `refused`, an array of larger
+    nodes that it was compared with. Where spanning is false nothing was left out on account of the pair.
+    """
+    large, small = radius_at(similarity), radius_at(similarity, small=True)
+    rows = nodes.select("fp", "node", "n", *(["class", "refused"] if again else []))
+    few = rows.where(F.col("n") < SMALL / similarity)
+    found = None
+    for some, reach in ((rows, REACH), (few, SMALL_REACH)):
+        dealt = _dealt(some, TREES, KEY, WIDE_SHARD, reach)
+        pairs = dealt.groupBy("tree", "shard").applyInArrow(_candidates(large, small, reach, again), "a long, b long, spanning boolean")
+        found = pairs if found is None else found.unionAll(pairs)
+    return found.groupBy("a", "b").agg(F.max("spanning").alias("spanning"))
+
+
+def _candidates(large: int, small: int, reach: int, again: bool):
+    def join(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        order = np.argsort(node)
+        prints, node, home = _bytes(group.column("fp"))[order], node[order], group.column("home").to_numpy()[order]
+        radius = np.where(group.column("n").to_numpy()[order] < SMALL, small, large)
+        parent, refused = np.arange(len(node)), np.zeros(0, np.int64)
+        if again:
+            _, first, at = np.unique(group.column("class").to_numpy()[order], return_index=True, return_inverse=True)
+            parent = first[at]
+            lists = group.column("refused").combine_chunks().take(pa.array(order))
+            owner = np.repeat(np.arange(len(node)), lists.value_lengths().fill_null(0).to_numpy())
+            other = lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(node, other), len(node) - 1)
+            here = node[at] == other
+            refused = np.sort(owner[here] * len(node) + at[here])
+        found = Candidates(parent, refused, TRIED * len(node) if again else 0)
+        search(_key(prints, group.column("tree")[0].as_py(), KEY), prints.view(np.uint64), home, found, radius, reach)
+        a, b, spanning = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for x, y, s in found.pairs:
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            spanning.append(np.full(len(x), s))
+        return pa.table({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)], "spanning": np.concatenate(spanning)})
+
+    return join
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of the wanted (node, tid)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(sizes, PART_BYTES):
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(1).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    texts = docs.select(F.xxhash64("text").alias("tid"), "text").join(wanted, "tid").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, spanning) with whether the exact Jaccard similarity of their sets is reached."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("_a", "_b"))
+    joined = pairs.join(a, "a").join(b, "b")
+    return joined.select("a", "b", "spanning", (both / (F.size("_a") + F.size("_b") - both) >= similarity).alias("good"))
+
+
+def similar_sets(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component) of the distinct shingle sets that are linked to others."""
+    nodes = materialize(prints.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("tid").alias("tid")))
+    pairs = materialize(candidates(nodes, similarity))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(shingle_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "tid"), words))
+    tried = materialize(verified(pairs, sets, similarity))
+    open_ones = None
+    while True:
+        classes = materialize(connected_components(tried.where("good")))
+        if not tried.where("not good and spanning").limit(1).count():
+            return classes
+        if open_ones is None:  # what candidates link with a pair that is not similar
+            reached = materialize(connected_components(tried))
+            refusing = tried.where("not good").join(reached, tried["a"] == reached["node"]).select("component").distinct()
+            open_ones = materialize(nodes.join(reached.join(refusing, "component", "left_semi").select("node"), "node", "left_semi"))
+        refused = tried.where("not good").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+        asked = open_ones.join(classes, "node", "left").join(refused, "node", "left")
+        asked = materialize(asked.select("fp", "node", "n", F.coalesce("component", "node").alias("class"), "refused"))
+        new = materialize(verified(candidates(asked, similarity, again=True), sets, similarity))
+        # only what a new spanning pair stood for is open
+        tried = materialize(tried.withColumn("spanning", F.lit(False)).unionAll(new))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
@@ -275,18 +463,15 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, tid, component_id) of every row of docs; a component is a class of similar texts.
 
-    Texts are linked whose wide fingerprints differ by no more bits than a Jaccard similarity of
-    their word shingles lets expect; classes are what links reach. Null and empty texts are one
-    class. component_id is a number of the class, made of its fingerprints; ids take no part in it,
+    Texts are linked whose sets of word shingles have the Jaccard similarity or more; the pairs that
+    are compared are those that the trees find. Classes are what links reach. Null and empty texts are
+    one class. component_id is a number of the class, made of its shingles; ids take no part in it,
     so rows with a null or repeated doc_id link like others through their text alone. Repeated rows
     stay; an empty table gives no rows; other columns of docs are not read.
     """
     prints = materialize(wide_fingerprints(docs, words))
-    distinct = materialize(prints.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
-    found = links(distinct, distance_at(similarity), TREES, KEY, WIDE_SHARD)
-    found = connected_components(found)
-    classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "tid", "component_id")
+    found = similar_sets(docs, prints, words, similarity)
+    return prints.join(found, "node", "left").select("doc_id", "tid", F.coalesce("component", "node").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -178,6 +178,44 @@ def test_similar_documents_keep_one_of_each_class(spark, docs):
     assert simhash.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_match_brute_force_jaccard(spark):
+    rnd = random.Random(17)
+    texts = []
+    for n, copies, tops in ((8, 60, 2), (12, 40, 2), (300, 30, 16), (600, 15, 30)):
+        for _ in range(copies):
+            base = [f"t{rnd.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(2):
+                edits = rnd.randrange(tops)
+                other = list(base)
+                for k in rnd.sample(range(n), edits):
+                    other[k] = f"t{rnd.randrange(10**6)}"
+                texts.append(" ".join([*other, "end"] if rnd.random() < 0.5 else other[:-1]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = {(i, j) for i in range(len(sets)) for j in range(max(0, i - 2), i) if i // 3 == j // 3 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    parent = list(range(len(texts)))
+    for _ in range(3):
+        for i, j in sorted(near):
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    kept = simhash.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, p in enumerate(parent) if p == i}
+
+
+def test_similar_documents_try_what_a_refused_pair_hid(spark, monkeypatch):
+    rnd = random.Random(19)
+    base = [f"t{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(30):  # all near to the first, not to each other
+        k = rnd.randrange(50, 350)
+        texts.append(" ".join([*base[:k], *(f"t{rnd.randrange(10**6)}" for _ in range(30)), *base[k + 30 :]]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = components(len(texts), lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tried in (64, 0):
+        monkeypatch.setattr(simhash, "TRIED", tried)
+        assert {r.doc_id for r in simhash.drop_similar(df).collect()} == {i for i, c in enumerate(comp) if c == i}
+
+
 def test_similar_documents_with_null_and_repeated_ids(spark):
     rnd = random.Random(13)
     texts = [" ".join(rnd.choice(VOCAB) + str(rnd.randrange(99)) for _ in range(200)) for _ in range(8)]
@@ -293,3 +331,14 @@ def test_pipeline_against_its_operators(spark):
         if not (hit and 20 * len(hit) >= len(w)):
             clean.add(i)
     assert out == clean
+
+
+def test_pipeline_near_duplicates_match_brute_force_jaccard(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = {r.doc_id: lower_words(r.text) for r in docs.collect()}
+    ids = sorted(words)
+    sets = [{tuple(words[i][k : k + 5]) for k in range(max(1, len(words[i]) - 4))} if words[i] else set() for i in ids]
+    comp = components(len(ids), lambda a, b: sets[a] == sets[b] or bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == {i for k, i in enumerate(ids) if comp[k] == k}
