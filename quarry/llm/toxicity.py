@@ -1,12 +1,12 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-An ordinary dictionary is trained on words of ordinary text, a toxic one on words that toxic
-documents hold far more often than ordinary ones. Both serve as raw content: a window of text is
-compressed once against the ordinary content and once against toxic and ordinary content, and
-the bytes saved are its distance. Windows of 16 words are compared first; in those that save at
-least `WINDOW_GAIN` bytes each word is compared in a window of its own, between two pieces of
-ordinary content that cost the same on both sides. A document's word gains feed a logistic
-calibration, fitted on labelled documents that took no part in dictionary training.
+An ordinary dictionary is trained on words of ordinary text, a toxic one is made of the words that
+toxic documents hold far more often than ordinary ones. Both serve as raw content: every word is
+compressed once against the ordinary content and once against toxic and ordinary content, in a
+window between two pieces of ordinary content that cost the same on both sides. The bytes saved, and
+their share of the bytes that the word costs by ordinary content, are its distance: a short word saves
+few bytes, but most of its cost. A document's gains feed a logistic calibration, fitted on labelled
+documents that took no part in dictionary training; no word is left out before it.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ TOXIC_DOCS, ORDINARY_DOCS = 2500, 5000
 TRAIN_BYTES = 20_000
 #: The share of the sample that the dictionaries see; the rest calibrates.
 TRAIN_SHARE = 0.6
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4096
-WINDOW = 16
-WINDOW_GAIN = 2
+ORDINARY_BYTES = 16_384
+#: Bounds of the shares saved whose words are counted apart.
+SHARES = np.array([0.2, 0.35, 0.5, 0.65])
 #: A toxic word's share of toxic documents, and how often that exceeds its share of ordinary ones.
 MIN_SHARE, MIN_LIFT = 0.008, 10
 #: The fewest toxic documents that a toxic word is in.
@@ -71,32 +71,27 @@ class Meter:
             self.sides.append(zs.ZstdCompressor(dict_data=held, compression_params=settings).compress)
         end = len(ordinary)
         self.lead, self.tail = ordinary[max(0, end - 300) : max(0, end - 220)], ordinary[max(0, end - 500) : max(0, end - 470)]
+        self.empty = len(self.sides[0](b"%b %b" % (self.lead, self.tail)))
         self.memo: dict[bytes, int] = {}
 
-    def gain(self, window: bytes) -> int:
-        return len(self.sides[0](window)) - len(self.sides[1](window))
-
-    def word(self, word: bytes) -> int:
+    def word(self, word: bytes) -> tuple[int, int]:
+        """Bytes that the toxic content saves, and bytes that the word costs by ordinary content."""
         known = self.memo.get(word)
         if known is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            known = self.memo[word] = self.gain(b"%b %b %b" % (self.lead, word, self.tail))
-        return known
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """The largest word gain, the summed gains of 3 and more, and the number of 4 and more."""
-        words, tail = words_of(text), self.tail
-        most = total = many = 0
-        for i in range(0, len(words), WINDOW):
-            window = words[i : i + WINDOW]
-            if self.gain(b" %b %b" % (b" ".join(window), tail)) >= WINDOW_GAIN:
-                for w in set(window):
-                    g = self.word(w)
-                    most = max(most, g)
-                    total += g if g >= 3 else 0
-                    many += g >= 4
-        return most, min(total, 30), min(many, 6)
+            window = b"%b %b %b" % (self.lead, word, self.tail)
+            ordinary, toxic = (len(side(window)) for side in self.sides)
+            known = self.memo[word] = (ordinary - toxic << 32) + max(1, ordinary - self.empty)
+        return known >> 32, known & 0xFFFFFFFF
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Of the distinct words: numbers by share saved, the largest share, gains summed, the share of all, and their number."""
+        each = np.array([self.word(w) for w in set(words_of(text))] or [(0, 1)], np.float64)
+        gain, cost = each[:, 0], each[:, 1]
+        share = gain / cost
+        counts = np.bincount(np.searchsorted(SHARES, share, side="right"), minlength=len(SHARES) + 1)[1:]
+        return *np.log1p(counts), share.max(), np.log1p(gain[gain > 0].sum()), 10 * gain.sum() / cost.sum(), np.log1p(len(each))
 
 
 def _support(texts: list[list[bytes]]) -> Counter:
@@ -132,10 +127,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     common, marked = _support(parts[0]), _support(parts[1])
     n0, n1 = len(parts[0]), len(parts[1])
     toxic = {w: n for w, n in marked.items() if n >= max(MIN_DOCS, MIN_SHARE * n1) and (n / n1) >= MIN_LIFT * (common[w] + 0.5) / n0}
-    samples = [[w for w, n in sorted(c.items()) if n > 1 for _ in range(min(n, 50))] for c in (common, toxic)]
-    for s in samples:
-        shuffle.shuffle(s)
-    model = Model(_dictionary(ORDINARY_BYTES, samples[0]), _dictionary(TOXIC_BYTES, samples[1]), ())
+    samples = [w for w, n in sorted(common.items()) if n > 1 for _ in range(min(n, 50))]
+    shuffle.shuffle(samples)
+    model = Model(_dictionary(ORDINARY_BYTES, samples), b"".join(sorted(toxic, key=lambda w: (toxic[w], w))), ())
     meter = Meter(model.ordinary, model.toxic)
     x = np.array([(1.0, *meter.features(t)) for t, _ in rows[cut:]])
     y = np.array([k for _, k in rows[cut:]], float)

@@ -101,6 +101,24 @@ def test_toxicity_separates_planted_words(spark, docs):
     assert toxicity.fit([("a", 1)]) is None
 
 
+def test_toxicity_finds_short_words():
+    rnd = random.Random(23)
+    bad = ["scum", "oaf", "trash", "idiot", "loser", "ugly"]
+    plain = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]
+
+    def some(n):
+        for i in range(n):
+            words = [rnd.choice(plain) for _ in range(60)]
+            if i % 2:
+                words[rnd.randrange(60)] = rnd.choice(bad)
+            yield " ".join(words), i % 2
+
+    model = toxicity.fit(list(some(600)))
+    meter = toxicity.Meter(model.ordinary, model.toxic)
+    held = [(sum(a * b for a, b in zip(model.weights, (1.0, *meter.features(t)))) >= 0, y) for t, y in some(400)]
+    assert sum(p for p, y in held if y) > 180 and sum(p for p, y in held if not y) < 20
+
+
 def test_repeats_match_brute_force(docs):
     seen, told = {}, {}
     for i, t, *_ in ROWS:
