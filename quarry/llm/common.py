@@ -21,6 +21,25 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
 
 
+def renamed(columns: list[str], own: list[str]) -> dict[str, str]:
+    """What each column is called beside the result's own: `<name>_in` (and on) where the names clash."""
+    taken, out = {*own, *columns}, {}
+    for c in columns:
+        name = c
+        while name in own or (name != c and name in taken):
+            name += "_in"
+        out[c] = name
+        taken.add(name)
+    return out
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to about limit; a larger row stands alone."""
     start, total = 0, 0
