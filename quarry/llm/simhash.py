@@ -1,28 +1,33 @@
 """SimHash near-duplicates: fingerprints, linked through vantage-point trees.
 
 A tree holds one part of every fingerprint (its key). It splits by the Hamming distance to a
-vantage point: at or below the median goes left, above it right; by the triangle bound a query of
-radius 1 with distance d needs the left side only if d <= median + 1 and the right side only if
-d > median - 1. The upper levels, fitted on a bounded sample, deal fingerprints to shards: each is
-at home in one shard and queries every shard that its ball of radius 1 overlaps, so no pair is
-lost at a boundary. Inside a shard the same splitting goes on down to small leaves; keys within
-one bit are compared on all bits.
+vantage point: at or below a bound goes left, above it right; by the triangle inequality a query of
+radius r with distance d needs the left side only if d <= bound + r and the right side only if
+d > bound - r. Every node has a vantage point of its own, the best of several by balance and by how
+few keys lie so near the bound that they go both ways. The upper levels, fitted on a sample of 64
+fingerprints a shard (bounded by `SAMPLE_BYTES`), deal fingerprints to shards: each is at home in
+one shard and queries every shard that its ball overlaps, so no pair is lost at a boundary. Inside
+a shard the same splitting goes on down to small leaves; keys within reach are compared on more bits.
 
 * Fingerprints of 64 bits within `RADIUS` = 3 bits agree to within one bit on at least one 32-bit
   half (3 // 2 = 1), so two trees find every pair.
-* `similar_documents` asks for a Jaccard similarity of word shingles instead. Its fingerprints have
-  `WIDE` bits, of which `TREES` keys of `KEY` bytes are searched with a radius of `REACH` bits (more between texts of few shingles); they
-  only find candidates, up to `SIGMAS` standard deviations over the distance that the similarity lets
-  expect. Candidates are linked if the exact similarity of their shingle sets is reached, and
-  searched again where one is not, until no candidate between two classes is untried.
-
-Groups of copies collapse to one fingerprint first, and shards return spanning links (at most
-one a fingerprint), never all pairs.
+* `similar_documents` asks for a Jaccard similarity of sets of word shingles instead. Majority bits
+  tell the angle of two multisets, which misses the similarity of small or unequal sets; so the
+  `WIDE` bits of its fingerprints are min-wise ones (a bit of the shingle whose permuted hash is
+  least): each differs with a chance of (1 - similarity) / 2, whatever the sizes. `TREES` keys of 32
+  bits are searched with a radius of `REACH`; a pair at 0.8 is met with a chance of 0.996, and of
+  more above. They only find candidates, up to `SIGMAS` standard deviations over the expected
+  distance of `CHECK` bits. A candidate is linked if the exact similarity of the shingle sets is
+  reached; where one is refused its class is searched again, until no candidate is untried.
+
+Groups of copies collapse to one fingerprint first, and shards return spanning links, never all
+pairs of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +36,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, find, slices, table, union_pairs
+from quarry.llm.common import LOWER, find, slices, table, union_pairs, unused
 from quarry.operators.graph import connected_components
 from quarry.plans.session import materialize
 
 RADIUS = 3
-#: Fingerprints that the vantage points are picked from.
-SAMPLE = 4096
+#: Bytes of the sample that vantage points are fitted on, and vantage points tried for a node.
+SAMPLE_BYTES, TRIES = 32 << 20, 6
 #: Distinct fingerprints at home in a shard, about: of 64 bits, and wide ones.
-SHARD, WIDE_SHARD = 16_384, 1 << 19
+SHARD, WIDE_SHARD = 1 << 16, 1 << 19
 #: Below this a branch is compared in full.
 LEAF = 128
 #: Text bytes that are made shingle sets at a time, about.
 PART_BYTES = 1 << 21
-#: Bits of a wide fingerprint, its trees, and the bytes of each tree's key.
-WIDE, TREES, KEY = 768, 32, 3
-#: Bits that the keys of wide fingerprints may differ by, and those of small sets.
-REACH, SMALL_REACH = 2, 3
-#: Standard deviations that candidates may lie over the expected distance.
-SIGMAS = 4
-#: Sets of fewer shingles count as small: a bit of theirs differs with a chance of up to SMALL_CHANCE
-#: at 0.8, the most of any sizes (four of five shared).
-SMALL, SMALL_CHANCE = 32, 0.1875
-#: When a class is searched again, pairs of a shard for each of its rows that are tried at once.
-TRIED = 64
-#: Odd multipliers that make the 64-bit words of a wide fingerprint from one hash.
-_ODD = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bits of a wide fingerprint; its trees, of which each has a 32-bit word as its key, and the radius of its searches.
+WIDE, TREES, REACH = 1024, 32, 1
+#: Bits that candidates are compared by, and the standard deviations that they may lie over the expected distance.
+CHECK, SIGMAS = 128, 4
+#: Pairs of a shard for each of its rows that are tried at once: at first, and when a class is searched again.
+AT_FIRST, TRIED = 1, 64
+#: Rows of a table that is broadcast at most, 16 bytes each; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Odd multipliers, each a permutation of 32-bit hashes; made by one rule.
+_ODD = ((np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)) | np.uint32(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,10 +88,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-_BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64)
-_AT = np.arange(WIDE // 8, dtype=np.int64) * 256
-
-
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted hashes of the distinct word shingles; a text of fewer words is one shingle, without words none."""
     w = words_of(text)
@@ -106,36 +104,27 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
 def _wide(h: np.ndarray) -> bytes:
     if not len(h):
         return bytes(WIDE // 8)
-    count = np.zeros(_AT[-1] + 256)
-    for i in range(0, len(h), 8192):
-        mixed = h[i : i + 8192, None] * _ODD
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        count += np.bincount((mixed.view(np.uint8).reshape(len(mixed), -1) + _AT).ravel(), minlength=len(count))
-    return np.packbits((count.reshape(-1, 256) @ _BIT).ravel() * 2 > len(h)).tobytes()
+    low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    least = np.full(WIDE, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 64):
+        np.minimum(least, (low[i : i + 64, None] * _ODD).min(axis=0), out=least)
+    return np.packbits((least * np.uint32(0x85EBCA6B)) >> np.uint32(31)).tobytes()
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """`WIDE`-bit SimHash of the word shingles, each distinct one counted once; zero for a text without words.
-
-    A set of shingles is what a Jaccard similarity compares.
-    """
+    """`WIDE` min-wise bits of the set of word shingles; zero for a text without words."""
     return _wide(shingles(text, words))
 
 
-def distance_at(similarity: float) -> int:
-    """The wide fingerprints' expected distance at a Jaccard similarity of two sets of one size."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(WIDE * float(np.arccos(cosine)) / np.pi)
+def distance_at(similarity: float, bits: int = WIDE) -> int:
+    """The expected distance of fingerprints at a Jaccard similarity."""
+    return round(bits * (1 - similarity) / 2)
 
 
-def radius_at(similarity: float, small: bool = False) -> int:
-    """The distance that wide fingerprints of a similarity hardly exceed; small: of few shingles."""
-    p = distance_at(similarity) / WIDE
-    if small:
-        p *= max(1.0, SMALL_CHANCE * WIDE / distance_at(0.8))
-    return int(np.ceil(WIDE * p + SIGMAS * np.sqrt(WIDE * p * (1 - p))))
+def radius_at(similarity: float, bits: int = CHECK) -> int:
+    """The distance that fingerprints of a similarity hardly exceed."""
+    p = (1 - similarity) / 2
+    return int(np.ceil(bits * p + SIGMAS * np.sqrt(bits * p * (1 - p))))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -169,49 +158,81 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 def _bytes(column) -> np.ndarray:
     """Binary values of one width as rows of bytes."""
     values = column.to_pylist()
+    if not values:
+        return np.zeros((0, 0), np.uint8)
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _key(prints: np.ndarray, tree: int, width: int) -> np.ndarray:
-    """The tree's key: bytes width * tree and on, as numbers."""
-    key = np.zeros(len(prints), np.uint32)
-    for k in range(width):
-        key = (key << np.uint32(8)) | prints[:, width * tree + k]
-    return key
-
-
-def build_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
-    """Vantage points and medians of a full binary tree in heap order, for depth levels."""
-    nodes: list[tuple[int, int]] = []
-    level = [sample]
-    for _ in range(depth):
-        below = []
-        for part in level:
-            point = int(part[0]) if len(part) else 0
-            d = np.bitwise_count(part ^ np.uint32(point))
-            middle = int(np.median(d)) if len(part) else 16
-            nodes.append((point, middle))
-            below += [part[d <= middle], part[d > middle]]
-        level = below
-    return nodes
-
-
-def shards_of(half: np.ndarray, nodes: list[tuple[int, int]], depth: int, reach: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Tree:
+    """Vantage points, bounds and both children of the nodes; a negative child is a leaf, ~child its shard."""
+
+    point: np.ndarray
+    bound: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    shards: int
+
+
+def _split(part: np.ndarray, points: np.ndarray, reach: int) -> tuple[int, int] | None:
+    """The vantage point and bound that divide part most evenly and thinly; None if all are equal to each point."""
+    best, found = None, np.inf
+    for point in points:
+        d = np.bincount(np.bitwise_count(part ^ point), minlength=34)
+        below = np.cumsum(d) / len(part)
+        bound = int(np.argmin(np.abs(below - 0.5)))
+        share = below[bound]
+        if 0 < share < 1:
+            near = d[max(0, bound - reach + 1) : bound + reach + 1].sum() / len(part)
+            cost = abs(share - 0.5) + near / 2
+            if cost < found:
+                best, found = (int(point), bound), cost
+    return best
+
+
+def build_tree(sample: np.ndarray, most: float, reach: int = 1) -> Tree:
+    """A tree whose leaves hold at most `most` of the sample, but for equal keys, which nothing divides."""
+    pick = np.random.default_rng(1)
+    point, bound, left, right, shards = [], [], [], [], 0
+    todo: list[tuple[np.ndarray, list | None, int]] = [(sample, None, 0)]
+    while todo:
+        part, up, at = todo.pop()
+        found = None
+        if len(part) > max(most, 1):
+            found = _split(part, np.concatenate([pick.choice(sample, TRIES), pick.choice(part, 2)]), reach)
+        if found is None:
+            name, shards = ~shards, shards + 1
+        else:
+            name = len(point)
+            point.append(found[0])
+            bound.append(found[1])
+            left.append(0)
+            right.append(0)
+            near = np.bitwise_count(part ^ np.uint32(found[0])) <= found[1]
+            todo += [(part[near], left, name), (part[~near], right, name)]
+        if up is not None:
+            up[at] = name
+    return Tree(np.array(point, np.uint32), np.array(bound, np.int64), np.array(left, np.int64), np.array(right, np.int64), shards)
+
+
+def shards_of(key: np.ndarray, tree: Tree, reach: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shard, at home) for every shard that a ball of radius reach around a row overlaps."""
-    rows, node, home = np.arange(len(half)), np.zeros(len(half), np.int64), np.ones(len(half), bool)
-    points = np.array([p for p, _ in nodes] or [0], np.uint32)
-    middles = np.array([m for _, m in nodes] or [0], np.int64)
-    for _ in range(depth):
-        d = np.bitwise_count(half[rows] ^ points[node]).astype(np.int64)
-        middle, left = middles[node], None
-        left = d <= middle
-        go_left, go_right = d <= middle + reach, d > middle - reach
+    rows, home = np.arange(len(key)), np.ones(len(key), bool)
+    node = np.full(len(key), 0 if len(tree.point) else ~0, np.int64)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(rows):
+        leaf = node < 0
+        done.append((rows[leaf], ~node[leaf], home[leaf]))
+        rows, node, home = rows[~leaf], node[~leaf], home[~leaf]
+        d, bound = np.bitwise_count(key[rows] ^ tree.point[node]).astype(np.int64), tree.bound[node]
+        near = d <= bound
+        to_left, to_right = d <= bound + reach, d > bound - reach
         rows, node, home = (
-            np.concatenate([rows[go_left], rows[go_right]]),
-            np.concatenate([node[go_left] * 2 + 1, node[go_right] * 2 + 2]),
-            np.concatenate([(home & left)[go_left], (home & ~left)[go_right]]),
+            np.concatenate([rows[to_left], rows[to_right]]),
+            np.concatenate([tree.left[node[to_left]], tree.right[node[to_right]]]),
+            np.concatenate([(home & near)[to_left], (home & ~near)[to_right]]),
         )
-    return rows, node, home
+    return tuple(np.concatenate(x) for x in zip(*done)) if done else (rows, node, home)
 
 
 def span_pairs(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,7 +267,7 @@ class Candidates(Joined):
     def __init__(self, parent: np.ndarray, refused: np.ndarray, most: int):
         super().__init__(parent)
         self.refused, self.most, self.held = refused, most, 0
-        self.pairs: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
 
     def take(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
         if len(self.refused):
@@ -256,23 +277,21 @@ class Candidates(Joined):
             a, b, distance = a[new], b[new], distance[new]
         if spanning := self.held + len(a) > self.most:
             order = np.argsort(distance, kind="stable")
-            a, b = a[order], b[order]
+            a, b, distance = a[order], b[order], distance[order]
             used = span_pairs(self.parent, a, b)
-            a, b = a[used], b[used]
+            a, b, distance = a[used], b[used], distance[used]
         else:
             self.held += len(a)
         if len(a):
-            self.pairs.append((a, b, spanning))
+            self.pairs.append((a, b, distance, spanning))
 
 
-def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, found: Joined, radius: int | np.ndarray, reach: int = 1) -> None:
+def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, found: Joined, radius: int, reach: int = 1) -> None:
     """Gives found every query with the rows at home whose keys are within reach and whose bits are within radius.
 
-    full has 64-bit words by row; a radius by row counts by the larger of a pair. Rows that are in one set already
-    are not compared again.
+    full has 64-bit words by row. Rows that are in one set already are not compared again.
     """
     parent = found.parent
-    radius = np.broadcast_to(radius, len(full))
     stack = [(np.flatnonzero(home), np.arange(len(full)))]
     while stack:
         h, q = stack.pop()
@@ -305,96 +324,138 @@ def search(key: np.ndarray, full: np.ndarray, home: np.ndarray, found: Joined, r
                     a, b = a[apart], b[apart]
                     if len(a):
                         distance = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64)
-                        near = distance <= np.maximum(radius[a], radius[b])
+                        near = distance <= radius
                         found.take(a[near], b[near], distance[near])
 
 
-def _dealt(fps: DataFrame, trees: int, width: int, shard_rows: int, reach: int) -> DataFrame:
-    """fps, of which the first column is fp, with (tree, shard, home) for every shard that a row's balls overlap."""
-    n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows))))
-    sample = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column("fp")
-    tops = [build_tree(_key(_bytes(sample), k, width), depth) if n else [] for k in range(trees)]
-    shared = fps.sparkSession.sparkContext.broadcast(tops)  # 2^depth vantage points a tree
-    names = [*fps.columns, "tree", "shard", "home"]
+def _entry(words: int) -> np.dtype:
+    """A dealt fingerprint: its key, node and class, whether it is at home, and the 64-bit words that pairs are compared by."""
+    return np.dtype([("key", "<u4"), ("home", "?"), ("node", "<i8"), ("class", "<i8"), ("bits", "<u8", (words,))])
+
+
+Parts = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+
+
+def _halves(prints: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of a tree and the compared words of 64-bit fingerprints."""
+    return np.ascontiguousarray(prints[:, 4 * tree : 4 * tree + 4]).view("<u4").ravel(), prints.view("<u8")
+
+
+def _words(prints: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of wide fingerprints: a word, and the words after it."""
+    word = prints.view("<u4")
+    after = (tree + 1 + np.arange(CHECK // 32)) % word.shape[1]
+    return np.ascontiguousarray(word[:, tree]), np.ascontiguousarray(word[:, after]).view("<u8")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                prints = _bytes(batch.column(0))
-                for k in range(trees):
-                    rows, shard, home = shards_of(_key(prints, k, width), shared.value[k], depth, reach)
-                    made = [pa.array(np.full(len(rows), k, np.int32)), pa.array(shard), pa.array(home)]
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *made], names=names)
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fps.schema)
-    return fps.mapInArrow(deal, f"{types}, tree int, shard long, home boolean")
+_DEALT = "tree int, shard long, data binary, refusals binary, refused binary"
 
 
-def links(fps: DataFrame, radius: int = RADIUS, trees: int = 2, width: int = 4, shard_rows: int = SHARD) -> DataFrame:
-    """Spanning links (a, b) between the nodes of distinct fingerprints within radius that meet in a tree.
+def _dealt(fps: DataFrame, trees: int, parts: Parts, words: int, shard_rows: int, reach: int) -> DataFrame:
+    """Packed entries by (tree, shard), for every shard that a row's balls overlap.
 
-    fps has (fp, node), one row a fingerprint; width is the bytes of a tree's key.
+    fps has (fp, node), and may have its class and a list of refused nodes, which go along.
+    """
+    n, more = fps.count(), "refused" in fps.columns
+    wanted = max(4096, 64 * n // shard_rows)
+    some = fps.select("fp")
+    if n > wanted:
+        some = some.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(wanted / n * (1 << 30)))
+    width = 8 * words if trees == 2 else WIDE // 8
+    sample = some.limit(min(2 * wanted, SAMPLE_BYTES // width)).toArrow().column("fp")  # SAMPLE_BYTES at most
+    prints = _bytes(sample)
+    most = len(prints) * shard_rows / max(n, 1)
+    grown = [build_tree(parts(prints, k)[0] if len(prints) else np.zeros(0, np.uint32), most, reach) for k in range(trees)]
+    shared, dtype = fps.sparkSession.sparkContext.broadcast(grown), _entry(words)  # a node for about 32 of the sample
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints, node = _bytes(batch.column(0)), batch.column(1).to_numpy()
+            classes = batch.column(2).to_numpy() if more else node
+            for k in range(trees):
+                key, bits = parts(prints, k)
+                rows, shard, home = shards_of(key, shared.value[k], reach)
+                order = np.argsort(shard, kind="stable")
+                rows, shard = rows[order], shard[order]
+                made = np.empty(len(rows), dtype)
+                for name, x in (("key", key[rows]), ("home", home[order]), ("node", node[rows]), ("class", classes[rows]), ("bits", bits[rows])):
+                    made[name] = x
+                out = []
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    row = {"tree": k, "shard": int(shard[lo]), "data": made[lo:hi].tobytes(), "refusals": b"", "refused": b""}
+                    if more:
+                        lists = batch.column(3).take(pa.array(rows[lo:hi]))
+                        row |= {"refusals": lists.value_lengths().fill_null(0).to_numpy().astype("<i4").tobytes(), "refused": lists.flatten().to_numpy().tobytes()}
+                    out.append(row)
+                yield pa.RecordBatch.from_pylist(out, schema=_DEALT_SCHEMA)
+
+    return fps.select("fp", "node", *(["class", "refused"] if more else [])).mapInArrow(deal, _DEALT)
+
+
+_DEALT_SCHEMA = pa.schema([("tree", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("refusals", pa.binary()), ("refused", pa.binary())])
+
+
+def _held(group: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a shard in the order of their nodes, and that order."""
+    data = np.frombuffer(b"".join(group.column("data").to_pylist()), _entry(words))
+    order = np.argsort(data["node"], kind="stable")
+    return data[order], order
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
+    """Spanning links (a, b) between the nodes of distinct 64-bit fingerprints within radius (3 at most).
+
+    fps has (fp, node), one row a fingerprint.
     """
 
     def join(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        order = np.argsort(node)
-        prints, node, home = _bytes(group.column("fp"))[order], node[order], group.column("home").to_numpy()[order]
-        parent = np.arange(len(node))
-        search(_key(prints, group.column("tree")[0].as_py(), width), prints.view(np.uint64), home, Joined(parent), radius)
+        held, _ = _held(group, 1)
+        node, parent = held["node"], np.arange(len(held))
+        search(np.ascontiguousarray(held["key"]), held["bits"], held["home"], Joined(parent), radius)
         root = find(parent, np.arange(len(node)))
         moved = root != np.arange(len(node))
         return pa.table({"a": node[moved], "b": node[root[moved]]})
 
-    dealt = _dealt(fps.select("fp", "node"), trees, width, shard_rows, 1)
-    return dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long")
+    return _dealt(fps.select("fp", "node"), 2, _halves, 1, shard_rows, 1).groupBy("tree", "shard").applyInArrow(join, "a long, b long")
 
 
-def candidates(nodes: DataFrame, similarity: float, again: bool = False) -> DataFrame:
-    """(a, b, spanning) of pairs of nodes in different classes that may reach the similarity, a < b.
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, apart, spanning) of pairs of nodes that may reach the similarity, a < b; apart is the distance of their compared bits.
 
-    nodes has (fp, node, n), with again also the class it is in and `refused`, an array of larger
-    nodes that it was compared with. Where spanning is false nothing was left out on account of the pair.
+    nodes has (fp, node), and in a later search the class that it is in and `refused`, an array of
+    larger nodes that it was compared with; then pairs are of different classes. Where spanning is
+    false nothing was left out on account of the pair.
     """
-    large, small = radius_at(similarity), radius_at(similarity, small=True)
-    rows = nodes.select("fp", "node", "n", *(["class", "refused"] if again else []))
-    few = rows.where(F.col("n") < SMALL / similarity)
-    found = None
-    for some, reach in ((rows, REACH), (few, SMALL_REACH)):
-        dealt = _dealt(some, TREES, KEY, WIDE_SHARD, reach)
-        pairs = dealt.groupBy("tree", "shard").applyInArrow(_candidates(large, small, reach, again), "a long, b long, spanning boolean")
-        found = pairs if found is None else found.unionAll(pairs)
-    return found.groupBy("a", "b").agg(F.max("spanning").alias("spanning"))
-
-
-def _candidates(large: int, small: int, reach: int, again: bool):
+    radius, words = radius_at(similarity), CHECK // 64
+    again = "refused" in nodes.columns
+
     def join(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        order = np.argsort(node)
-        prints, node, home = _bytes(group.column("fp"))[order], node[order], group.column("home").to_numpy()[order]
-        radius = np.where(group.column("n").to_numpy()[order] < SMALL, small, large)
-        parent, refused = np.arange(len(node)), np.zeros(0, np.int64)
+        held, order = _held(group, words)
+        node, parent, refused = held["node"], np.arange(len(held)), np.zeros(0, np.int64)
         if again:
-            _, first, at = np.unique(group.column("class").to_numpy()[order], return_index=True, return_inverse=True)
+            _, first, at = np.unique(held["class"], return_index=True, return_inverse=True)
             parent = first[at]
-            lists = group.column("refused").combine_chunks().take(pa.array(order))
-            owner = np.repeat(np.arange(len(node)), lists.value_lengths().fill_null(0).to_numpy())
-            other = lists.flatten().to_numpy()
+            many = np.frombuffer(b"".join(group.column("refusals").to_pylist()), "<i4")
+            other = np.frombuffer(b"".join(group.column("refused").to_pylist()), np.int64)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            owner = np.repeat(place, many)
             at = np.minimum(np.searchsorted(node, other), len(node) - 1)
             here = node[at] == other
             refused = np.sort(owner[here] * len(node) + at[here])
-        found = Candidates(parent, refused, TRIED * len(node) if again else 0)
-        search(_key(prints, group.column("tree")[0].as_py(), KEY), prints.view(np.uint64), home, found, radius, reach)
-        a, b, spanning = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for x, y, s in found.pairs:
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            spanning.append(np.full(len(x), s))
-        return pa.table({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)], "spanning": np.concatenate(spanning)})
+        found = Candidates(parent, refused, (TRIED if again else AT_FIRST) * len(node))
+        search(np.ascontiguousarray(held["key"]), held["bits"], held["home"], found, radius, REACH)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False), *found.pairs]
+        a, b, apart = (np.concatenate(x) for x in list(zip(*parts))[:3])
+        spanning = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+        return pa.table({"a": node[np.minimum(a, b)], "b": node[np.maximum(a, b)], "apart": apart.astype(np.int32), "spanning": spanning})
 
-    return join
+    dealt = _dealt(nodes, TREES, _words, words, WIDE_SHARD, REACH)
+    pairs = dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long, apart int, spanning boolean")
+    return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("spanning").alias("spanning"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -407,7 +468,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(1).slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    texts = docs.select(F.xxhash64("text").alias("tid"), "text").join(wanted, "tid").dropDuplicates(["node"])
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.xxhash64("text").alias("tid"), "text").join(few, "tid").dropDuplicates(["node"])
     return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
@@ -419,28 +481,54 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "spanning", (both / (F.size("_a") + F.size("_b") - both) >= similarity).alias("good"))
 
 
+def _between(pairs: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """pairs of different classes, with the classes as ca and cb; at first each node is a class."""
+    if classes is None:
+        return pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
+    for end in "ab":
+        own = classes.select(F.col("node").alias(end), F.col("component").alias("_c"))
+        pairs = pairs.join(own, end, "left").withColumn(f"c{end}", F.coalesce("_c", end)).drop("_c")
+    return pairs.where("ca <> cb")
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of each class, the pair that is least apart; one aggregation with map-side minima."""
+    pair = F.struct("apart", "a", "b", "spanning")
+    ends = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), pair.alias("p"))
+    return ends.groupBy("c").agg(F.min("p").alias("p")).select("p.*").distinct()
+
+
 def similar_sets(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, component) of the distinct shingle sets that are linked to others."""
-    nodes = materialize(prints.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("tid").alias("tid")))
-    pairs = materialize(candidates(nodes, similarity))
+    """(node, component) of the distinct shingle sets that are linked to others.
+
+    Candidates are verified in rounds: the closest of each class, twice, then all that still lie
+    between two classes; so a group of copies costs about two comparisons a text.
+    """
+    nodes = materialize(prints.where("n > 0").dropDuplicates(["node"]).select("fp", "node", "tid"))
+    pairs = materialize(candidates(nodes.select("fp", "node"), similarity))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "tid"), words))
-    tried = materialize(verified(pairs, sets, similarity))
-    open_ones = None
-    while True:
+    sets = materialize(shingle_sets(docs, materialize(nodes.join(ends, "node", "left_semi").select("node", "tid")), words))
+    classes, tried = None, None
+    for whole in (False, False, True):
+        rest = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        rest = _between(rest, classes)
+        new = materialize(verified(rest if whole else _closest(rest), sets, similarity))
+        tried = new if tried is None else tried.unionAll(new)
         classes = materialize(connected_components(tried.where("good")))
-        if not tried.where("not good and spanning").limit(1).count():
-            return classes
+    open_ones = None
+    while tried.where("not good and spanning").limit(1).count():
         if open_ones is None:  # what candidates link with a pair that is not similar
-            reached = materialize(connected_components(tried))
-            refusing = tried.where("not good").join(reached, tried["a"] == reached["node"]).select("component").distinct()
+            reached = materialize(connected_components(pairs))
+            refusing = tried.where("not good and spanning").join(reached, tried["a"] == reached["node"]).select("component").distinct()
             open_ones = materialize(nodes.join(reached.join(refusing, "component", "left_semi").select("node"), "node", "left_semi"))
         refused = tried.where("not good").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
         asked = open_ones.join(classes, "node", "left").join(refused, "node", "left")
-        asked = materialize(asked.select("fp", "node", "n", F.coalesce("component", "node").alias("class"), "refused"))
-        new = materialize(verified(candidates(asked, similarity, again=True), sets, similarity))
+        asked = materialize(asked.select("fp", "node", F.coalesce("component", "node").alias("class"), "refused"))
+        new = materialize(verified(candidates(asked, similarity), sets, similarity))
         # only what a new spanning pair stood for is open
         tried = materialize(tried.withColumn("spanning", F.lit(False)).unionAll(new))
+        classes = materialize(connected_components(tried.where("good")))
+    return classes
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -477,15 +565,20 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each class of similar texts: the least by doc_id (null last), then text hash.
 
-    All columns of docs stay. Ids may be null or repeated; rows of one text are one class.
+    All columns of docs stay, whatever their names. Ids may be null or repeated; rows of one text are
+    one class; null and empty texts are one class; texts of any length count whole.
     """
     classes = materialize(similar_documents(docs, words, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tid"))
-    kept = classes.groupBy("component_id").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tid").alias("_t"))
-    rows = docs.withColumn("_tid", F.xxhash64("text"))
-    stay = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (rows["_tid"] == F.col("_t")), "left_semi")
+    kept = classes.groupBy("component_id").agg(first.alias("k"))
+    same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("tid") == F.col("k.tid"))
+    gone = materialize(classes.join(kept, "component_id").where(~same).select(F.col("doc_id").alias("_gone_id"), F.col("tid").alias("_gone_tid")).distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    own = unused(docs.columns, "_tid")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    stay = rows.join(few, rows["doc_id"].cast("long").eqNullSafe(few["_gone_id"]) & (rows[own] == few["_gone_tid"]), "left_anti")
     repeated = classes.groupBy("doc_id", "tid").count().where("count > 1").limit(1).count()
-    return (stay.dropDuplicates(["doc_id", "_tid"]) if repeated else stay).drop("_tid")
+    return (stay.dropDuplicates(["doc_id", own]) if repeated else stay).drop(own)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
