@@ -1,45 +1,46 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are lower-cased words and one end a text. The root predicts a symbol from its smoothed count
-in training (the base). Contexts of one and two words are tried if they make up at least
-`CONTEXT_SHARE` of all tokens; a context stays in the tree if predicting from it instead of from its
-suffix gains at least `MIN_GAIN` nats over its occurrences, and its suffixes stay with it. The
-successors that a context lists are those of at least `SYMBOL_SHARE` of all tokens; what it has seen
-of others, and one count for each successor listed, is left to its suffix's distribution. A token is
-scored in the longest state that is a suffix of what precedes it. Shares are of the corpus, so the
-tree has at most 1 / share contexts and successors a depth, whatever the input: that is what is
-broadcast.
-
-Word counts never travel whole: each block of documents sends its distinct words' hashes, packed by
-a part of the hash, to the bucket that counts them, and gets back their totals.
+Symbols are lower-cased words, one end a text, and the start of a text as the first context. The
+root predicts a symbol from its smoothed count in training (the base). A context of up to `DEPTH`
+symbols that occurs `MIN_COUNT` times or more is tried: it predicts from its successors' counts,
+smoothed by its suffix's distribution, which stands for 2 n^0.8 of n occurrences. It stays in the tree if that gains at least
+`MIN_GAIN` nats over its suffix on all its occurrences (their divergence times their number); a
+context that fails but lies below a state keeps its suffix's distribution. A token is scored in the
+longest state that is a suffix of what precedes it. Both thresholds are absolute, so contexts and
+successors grow with the corpus.
+
+The tree never stands in one place. Texts are packed once into blocks: distinct words, and tokens
+as numbers. In every round a block sends its distinct n-grams (hashes and counts, pre-aggregated)
+to buckets by hash, which add up all blocks and reply; the first round counts words, the next ones
+count n-grams one longer whose context is frequent enough, and add up the gains of the contexts
+before. An n-gram of any frequency is one entry a block, so no bucket is hot. At last each block
+scores its texts with what the buckets replied. n-grams are told apart by 40 bits of their hash
+beside the bucket's own, words by 64.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, fold, slices, table
+from quarry.llm.common import LOWER, fold, table
 from quarry.plans.session import materialize
 
-#: The least share of all tokens of a context, and of a listed successor of a context.
-CONTEXT_SHARE, SYMBOL_SHARE = 2e-5, 1e-6
+#: The longest context, and the least occurrences of one whose successors are counted.
+DEPTH, MIN_COUNT = 3, 3
+#: Nats that a state gains over its suffix.
 MIN_GAIN = 10.0
-#: Text bytes of a block, and of the part of it that is hashed at a time, about; blocks at least.
-BLOCK_BYTES, PART_BYTES, MIN_BLOCKS = 16 << 20, 1 << 21, 16
-#: Distinct keys that a counting task holds before it passes them on.
-HELD = 2_000_000
-END = xxhash.xxh64_intdigest(b"\n")
-#: Bits of a symbol's number: 1 / SYMBOL_SHARE numbers fit.
-BITS = 21
+#: Text bytes of a block, about; a longer text is a block of its own. Buckets at least.
+BLOCK_BYTES, MIN_BUCKETS = 8 << 20, 16
+START, END = xxhash.xxh64_intdigest(b"\n\n"), xxhash.xxh64_intdigest(b"\n")
+_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -47,247 +48,236 @@ def normal(text: str | None) -> list[bytes]:
     return [*(text or "").encode().translate(LOWER).split(), b"\n"]
 
 
-def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all tokens, tokens of each text)."""
-    out, n = [np.zeros(0, np.uint64)], []
-    for t in texts:
-        w = normal(t)
-        out.append(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)))
-        n.append(len(w))
-    return np.concatenate(out), np.array(n, np.int64)
-
-
-def _lookup(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of asked in the sorted keys, -1 for none."""
-    if not len(keys):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, at, -1)
-
-
-@dataclass
-class Level:
-    """Contexts of one length: sorted keys, whether they are states, occurrences, and their listed successors."""
-
-    keys: np.ndarray
-    state: np.ndarray
-    total: np.ndarray
-    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    norm: np.ndarray = field(default_factory=lambda: np.ones(0))
-
-    def list_successors(self, key: np.ndarray, n: np.ndarray) -> None:
-        """key: a context's place, then the symbol's number."""
-        order = np.argsort(key)
-        self.listed, self.count = key[order], n[order]
-        owner = self.listed >> BITS
-        kinds = np.bincount(owner, minlength=len(self.keys)) + 1.0
-        self.rest = kinds + self.total - np.bincount(owner, self.count, len(self.keys))
-        self.norm = kinds + self.total
-
-    def predict(self, context: np.ndarray, symbol: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probabilities of symbols (-1: unlisted) after contexts, base being the suffix's."""
-        at = _lookup(self.listed, (context << BITS) | np.maximum(symbol, 0))
-        n = np.where((at >= 0) & (symbol >= 0), self.count[at] if len(self.count) else 0, 0)
-        return (n + self.rest[context] * base) / self.norm[context]
-
-    def gains(self, base: np.ndarray) -> np.ndarray:
-        """Nats gained over the suffix by each context; base: the suffix's probability of each listed successor."""
-        owner = self.listed >> BITS
-        left = self.rest / self.norm
-        unlisted = self.total - np.bincount(owner, self.count, len(self.keys))
-        each = self.count * np.log((self.count / base + self.rest[owner]) / self.norm[owner])
-        return np.bincount(owner, each, len(self.keys)) + unlisted * np.log(left)
-
-
-@dataclass
-class Tree:
-    words: np.ndarray
-    one: Level | None = None
-    two: Level | None = None
-
-    def places(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the tokens of consecutive texts, and their contexts' places at both lengths (-1: none)."""
-        end = _lookup(self.words, np.array([END], np.uint64))[0]
-        ids = _lookup(self.words, h)
-        first = np.cumsum(n) - n
-        before = np.append(end, ids[:-1]) if len(ids) else ids
-        before[first] = end
-        more = np.append(end, before[:-1]) if len(ids) else ids
-        more[first] = end
-        one = _lookup(self.one.keys, before) if self.one else np.full(len(ids), -1)
-        two = np.full(len(ids), -1, np.int64)
-        if self.two:
-            some = np.flatnonzero((before >= 0) & (more >= 0) & (before != end))
-            two[some] = _lookup(self.two.keys, (more[some] << BITS) | before[some])
-        return ids, one, two
-
-    def score(self, h: np.ndarray, n: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probabilities of tokens; base: the root's."""
-        ids, one, two = self.places(h, n)
-        p = base.copy()
-        for level, place in ((self.one, one), (self.two, two)):
-            if level is not None and len(level.keys):
-                at = np.flatnonzero((place >= 0) & level.state[np.maximum(place, 0)])
-                p[at] = level.predict(place[at], ids[at], p[at])
-        return p
-
-
-def _successors(docs: DataFrame, shared, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(key, n) of the successors, at least `least` times seen, of the contexts of a depth in the broadcast tree."""
+def weight(times):
+    """Occurrences that the suffix's distribution stands for beside those of a context."""
+    return 2.0 * times**0.8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+def _longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of each n-gram and the word that follows it."""
+    h = (gram ^ (gram >> np.uint64(29))) * _MULT[0] + word * _MULT[1]
+    h = (h ^ (h >> np.uint64(32))) * _MULT[2]
+    return h ^ (h >> np.uint64(31))
 
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(sizes, PART_BYTES):
-                h, n = hashes(batch.column(0).slice(lo, hi - lo).to_pylist())
-                ids, *places = shared.value.places(h, n)
-                place = places[depth - 1]
-                good = (place >= 0) & (ids >= 0)
-                key, n = np.unique((place[good] << BITS) | ids[good], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                size += len(key)
-                if size > HELD:
-                    key, n = merged()
-                    keys, counts, size = [key], [n], len(key)
-                    if size > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-                        keys, counts, size = [], [], 0
-        if keys:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], names=["key", "n"])
-
-    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    held = found.where(F.col("n") >= least).toArrow()  # 1 / SYMBOL_SHARE rows at most
-    return held.column("key").to_numpy(), held.column("n").to_numpy()
-
-
-def learn(docs: DataFrame, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, min_gain: float = MIN_GAIN) -> Tree:
-    """The tree of docs; words (sorted hashes) and their counts are those of SYMBOL_SHARE and more."""
-    context, least = docs.sparkSession.sparkContext, max(2.0, SYMBOL_SHARE * tokens)
-    root = (counts + 0.1) / (tokens + 0.1 * (kinds + 1))
-    tree = Tree(words)
-    often = np.flatnonzero(counts >= max(2.0, CONTEXT_SHARE * tokens))
-    tree.one = Level(often, np.zeros(len(often), bool), counts[often].astype(float))
-    tree.one.list_successors(*_successors(docs, context.broadcast(tree), 1, least))
-    one = tree.one
-    one.state = one.gains(root[one.listed & ((1 << BITS) - 1)]) >= min_gain
-    end = _lookup(words, np.array([END], np.uint64))[0]
-    symbol = one.listed & ((1 << BITS) - 1)
-    suffix = _lookup(one.keys, symbol)
-    pair = (one.count >= max(2.0, CONTEXT_SHARE * tokens)) & (suffix >= 0) & (symbol != end)
-    key = (one.keys[one.listed[pair] >> BITS] << BITS) | symbol[pair]
-    order = np.argsort(key)
-    tree.two = Level(key[order], np.zeros(len(order), bool), one.count[pair][order].astype(float))
-    two = tree.two
-    two.list_successors(*_successors(docs, context.broadcast(tree), 2, least))
-    owner, symbol = two.listed >> BITS, two.listed & ((1 << BITS) - 1)
-    below = suffix[pair][order]
-    two.state = two.gains(one.predict(below[owner], symbol, root[symbol])) >= min_gain
-    one.state[below[two.state]] = True
-    return tree
-
-
-def _distinct(texts: list[str | None], train: np.ndarray | None):
-    """(sorted distinct hashes, their counts in training, tokens' places among them, all hashes, tokens of each text)."""
-    h, n = hashes(texts)
-    words, at = np.unique(h, return_inverse=True)
-    count = None if train is None else np.bincount(at, np.repeat(train, n), len(words)).astype(np.int64)
-    return words, count, at, h, n
-
-
-def _cuts(words: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+
+def _zip(n: np.ndarray) -> bytes:
+    """Numbers below 2^32, by planes of their bytes."""
+    return zlib.compress(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _low(keys: np.ndarray, width: int) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_low(data: bytes, width: int) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :width] = part
+    return out.view("<u8").ravel()
+
+
+def _cuts(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted hashes: buckets are equal ranges of the hash."""
-    bucket = ((words >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     return [(int(bucket[a]), a, b) for a, b in zip(edge, edge[1:]) if b > a]
 
 
-def _pack(n: np.ndarray) -> bytes:
-    return zlib.compress(n.astype(np.int64).tobytes(), 1)
+_PACKED = "block long, ids array<long>, train array<boolean>, n binary, words binary, tokens binary"
+_PACKED_SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
+_ASK = "kind int, bucket long, block long, keys binary, n binary"
+_ASK_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+_REPLY = "kind int, bucket long, block long, n binary, tokens long, kinds long"
+_REPLY_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+_SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.int64)
+def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of consecutive rows of (doc_id, text, train), as they are read; no shuffle."""
 
+    def block(name: int, ids: list, texts: list, train: list) -> pa.RecordBatch:
+        hashes, n = [], []
+        for t in texts:
+            w = normal(t)
+            hashes.append(np.uint64(START))
+            hashes.extend(map(xxhash.xxh64_intdigest, w))
+            n.append(len(w))
+        words, tokens = np.unique(np.fromiter(hashes, np.uint64, len(hashes)), return_inverse=True)
+        row = {"block": name, "ids": ids, "train": train, "n": _zip(np.array(n)), "words": words.tobytes(), "tokens": _zip(tokens)}
+        return pa.RecordBatch.from_pylist([row], schema=_PACKED_SCHEMA)
 
-def score_texts(docs: DataFrame, train: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for x, v in zip(held, row):
+                    x.append(v)
+                size += len(row[1] or "") + 1
+                if size >= block_bytes:
+                    yield block(name, *held)
+                    name, held, size = name + 1, ([], [], []), 0
+        if held[0]:
+            yield block(name, *held)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, _PACKED)
+
+
+class Block:
+    """A packed block: tokens with a start before each text, and what the buckets have replied so far."""
+
+    def __init__(self, row: pa.Table, n_buckets: int):
+        row = row.to_pylist()[0]
+        self.name, self.ids, self.n_buckets = row["block"], row["ids"], n_buckets
+        self.n = _unzip(row["n"])
+        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"])
+        self.first = np.cumsum(self.n + 1) - (self.n + 1)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.n + 1)
+        self.train = np.repeat(np.array(row["train"], bool), self.n + 1)
+
+    def _replied(self, replies: dict, kind: int, keys: np.ndarray) -> np.ndarray | None:
+        got = replies.get(kind)
+        if got is None:
+            return None
+        cuts = _cuts(keys, self.n_buckets)
+        if not cuts:
+            return np.zeros(0, np.int64)
+        if kind % 2:
+            return np.concatenate([np.unpackbits(np.frombuffer(got[b], np.uint8), count=hi - lo) for b, lo, hi in cuts]).astype(bool)
+        return np.concatenate([_unzip(got[b]) for b, _, _ in cuts])
+
+    def walk(self, replies: dict, tokens: int, kinds: int, depth: int) -> tuple[list, np.ndarray, np.ndarray]:
+        """(what to ask next, base probabilities, probabilities in the longest states so far).
+
+        Kind 2 k asks for counts of k-grams, kind 2 d + 1 for gains of contexts of d symbols. To ask:
+        (kind, sorted distinct keys, what this block adds).
+        """
+        count = self._replied(replies, 2, self.words)
+        if count is None:
+            return [(2, self.words, np.bincount(self.tokens, self.train, len(self.words)))], *[np.zeros(0)] * 2
+        known = count[self.tokens]
+        base = (known + 0.1) / (tokens + 0.1 * (kinds + 1))
+        p, gram, word, asked = base.copy(), self.words[self.tokens], self.words[self.tokens], []
+        for d in range(1, depth + 1):
+            # tokens whose context of d symbols lies in their text and is frequent
+            at = np.flatnonzero((self.place[1:] >= d) & (known[:-1] >= MIN_COUNT)) + 1
+            context, times = gram[at - 1], known[at - 1]
+            keys, here = np.unique(_longer(context, word[at]), return_inverse=True)
+            count = self._replied(replies, 2 * d + 2, keys)
+            if count is None:
+                asked.append((2 * d + 2, keys, np.bincount(here, self.train[at], len(keys))))
+                break
+            found = count[here]
+            share = weight(times)
+            better = (found + share * p[at]) / (times + share)
+            names, owner = np.unique(context, return_inverse=True)
+            state = self._replied(replies, 2 * d + 1, names)
+            if state is None:
+                asked.append((2 * d + 1, names, np.bincount(owner, self.train[at] * np.log(better / p[at]), len(names))))
+            else:
+                good = state[owner]
+                p[at[good]] = better[good]
+            known, longer = np.zeros(len(known), np.int64), np.zeros(len(gram), np.uint64)
+            known[at], longer[at] = found, keys[here]
+            gram = longer
+        return asked, base, p
+
+    def ask(self, asked: list) -> Iterator[dict]:
+        for kind, keys, n in asked:
+            width = 8 if kind == 2 else 5
+            for b, lo, hi in _cuts(keys, self.n_buckets):
+                yield {"kind": kind, "bucket": b, "block": self.name, "keys": _low(keys[lo:hi], width), "n": n[lo:hi].tobytes() if kind % 2 else _zip(n[lo:hi])}
+
+    def scores(self, base: np.ndarray, known: np.ndarray, p: np.ndarray) -> pa.Table:
+        token, first = self.place > 0, np.cumsum(self.n) - self.n
+        sums = [np.add.reduceat(x[token], first) for x in (known.astype(np.int64), np.log10(base), np.log10(p))]
+        return pa.table({"doc_id": pa.array(self.ids, pa.int64()), "n_tokens": self.n, "n_known": sums[0], "base_score": sums[1], "score": sums[2]}, schema=_SCORE_SCHEMA)
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """Sums of a bucket's keys over all blocks: counts, or for gains whether they suffice."""
+    kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
+    keys = [_from_low(k, 8 if kind == 2 else 5) for k in group.column("keys").to_pylist()]
+    edge = np.cumsum([0, *map(len, keys)])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    load = (lambda x: np.frombuffer(x, np.float64)) if kind % 2 else _unzip
+    sums = np.bincount(at, np.concatenate([load(x) for x in group.column("n").to_pylist()]), len(every))
+    out = []
+    for i, block in enumerate(group.column("block").to_pylist()):
+        own = sums[at[edge[i] : edge[i + 1]]]
+        out.append({"kind": kind, "bucket": bucket, "block": block, "n": np.packbits(own >= MIN_GAIN).tobytes() if kind % 2 else _zip(own), "tokens": 0, "kinds": 0})
+    if kind == 2:
+        word = sums[every != np.uint64(START)]
+        out[0] |= {"tokens": int(word.sum()), "kinds": int((word > 0).sum())}
+    return pa.Table.from_pylist(out, schema=_REPLY_SCHEMA)
+
+
+def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     train names a boolean column: the rows that the model learns from. Tokens are the words and one
-    end; null texts are empty and have the end alone; repeated rows are rows of their own and count
-    as often as they are there. Without training rows all counts are 0. An empty table gives no rows.
+    end; null texts are empty and have the end alone; a very long text is scored whole, in a block of
+    its own; repeated rows are rows of their own and count as often as they are there. Without
+    training rows all counts are 0. An empty table gives no rows; other columns of docs, whatever
+    their names, are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(MIN_BLOCKS, -(-total // block_bytes))
-    key = F.xxhash64("doc_id", F.octet_length("text"))
-    blocked = rows.withColumn("block", F.pmod(key, F.lit(n))).repartition(n, "block")
-    packed = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-    reply = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("n_sum", pa.int64()), ("n_distinct", pa.int64()), ("often", pa.binary()), ("n_often", pa.binary())])
-
-    def ask(group: pa.Table) -> pa.Table:
-        words, count, *_ = _distinct(group.column("text").to_pylist(), group.column("train").to_numpy())
-        block = group.column("block")[0].as_py()
-        out = [{"block": block, "bucket": b, "words": words[lo:hi].tobytes(), "counts": _pack(count[lo:hi])} for b, lo, hi in _cuts(words, n)]
-        return pa.Table.from_pylist(out, schema=packed)
-
-    def answer(group: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w, np.uint64) for w in group.column("words").to_pylist()]
-        every, at = np.unique(np.concatenate(words), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([_unpack(c) for c in group.column("counts").to_pylist()]), len(every)).astype(np.int64)
-        edge = np.cumsum([0, *map(len, words)])
-        many = sums > 1
-        out = []
-        for i, (block, bucket) in enumerate(zip(group.column("block").to_pylist(), group.column("bucket").to_pylist())):
-            own = {"block": block, "bucket": bucket, "counts": _pack(sums[at[edge[i] : edge[i + 1]]]), "n_sum": 0, "n_distinct": 0}
-            if not i:
-                own |= {"n_sum": int(sums.sum()), "n_distinct": int((sums > 0).sum()), "often": every[many].tobytes(), "n_often": sums[many].tobytes()}
-            out.append(own)
-        return pa.Table.from_pylist(out, schema=reply)
-
-    asked = blocked.groupBy("block").applyInArrow(ask, "block long, bucket long, words binary, counts binary")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, counts binary, n_sum long, n_distinct long, often binary, n_often binary"))
-    known = answers.agg(F.sum("n_sum"), F.sum("n_distinct")).first()
-    tokens, kinds = known[0] or 0, known[1] or 0
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    packed = materialize(pack(rows, block_bytes))
+    n = max(1, packed.count())
+    n_buckets = max(MIN_BUCKETS, n)
+    replies: DataFrame | None = None
+    tokens = kinds = 0
+
+    def gathered(got: pa.Table) -> dict:
+        out: dict[int, dict[int, bytes]] = {}
+        for kind, bucket, data in zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "n"))):
+            out.setdefault(kind, {})[bucket] = data
+        return out
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, c = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                some = c >= SYMBOL_SHARE * tokens
-                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some])], names=["h", "n"])
-
-    often = answers.where("often is not null").select("often", "n_often").mapInArrow(frequent, "h long, n long").toArrow()  # 1 / SYMBOL_SHARE rows at most
-    words = often.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    tree = learn(rows.where("train"), words[order], often.column("n").to_numpy()[order], tokens, kinds)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def finish(group: pa.Table, counts: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return schema.empty_table()
-        distinct, _, at, h, each = _distinct(group.column("text").to_pylist(), None)
-        got = dict(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist()))
-        c = np.concatenate([_unpack(got[b]) for b, _, _ in _cuts(distinct, n)])[at]
-        base = (c + 0.1) / (tokens + 0.1 * (kinds + 1))
-        first = np.cumsum(each) - each
-        totals = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10(base), np.log10(shared.value.score(h, each, base)))]
-        return pa.table({"doc_id": group.column("doc_id"), "n_tokens": each, "n_known": totals[0], "base_score": totals[1], "score": totals[2]}, schema=schema)
-
-    replies = answers.select("block", "bucket", "counts")
-    scored = blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            for i in range(batch.num_rows):
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]), n_buckets)
+                yield pa.RecordBatch.from_pylist(list(block.ask(block.walk({}, 0, 0, depth)[0])), schema=_ASK_SCHEMA)
+
+    for r in range(depth + 2):
+        if replies is None:
+            asked = packed.mapInArrow(begin, _ASK)
+        else:
+
+            def ask(row: pa.Table, got: pa.Table) -> pa.Table:
+                if not row.num_rows:
+                    return _ASK_SCHEMA.empty_table()
+                block = Block(row, n_buckets)
+                return pa.Table.from_pylist(list(block.ask(block.walk(gathered(got), tokens, kinds, depth)[0])), schema=_ASK_SCHEMA)
+
+            asked = _by_block(packed, n).cogroup(_by_block(replies, n)).applyInArrow(ask, _ASK)
+        got = materialize(asked.repartition(n_buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, _REPLY))
+        if r == 0:
+            found = got.agg(F.sum("tokens"), F.sum("kinds")).first()
+            tokens, kinds = found[0] or 0, found[1] or 0
+        replies = got if replies is None else replies.unionAll(got)
+
+    def finish(row: pa.Table, got: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _SCORE_SCHEMA.empty_table()
+        block, held = Block(row, n_buckets), gathered(got)
+        _, base, p = block.walk(held, tokens, kinds, depth)
+        known = block._replied(held, 2, block.words)[block.tokens] > 0
+        return block.scores(base, known, p)
+
+    scored = _by_block(packed, n).cogroup(_by_block(replies, n)).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
+def _by_block(df: DataFrame, n: int):
+    return df.repartition(n, "block").groupBy("block")
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_train", fold("doc_id", 10) != 0)
     found = score_texts(docs, "_train")
