@@ -14,8 +14,8 @@ as numbers. In every round a block sends its distinct n-grams (hashes and counts
 to buckets by hash, which add up all blocks and reply; the first round counts words, the next ones
 count n-grams one longer whose context is frequent enough, and add up the gains of the contexts
 before. An n-gram of any frequency is one entry a block, so no bucket is hot. At last each block
-scores its texts with what the buckets replied. n-grams are told apart by 40 bits of their hash
-beside the bucket's own, words by 64.
+scores its texts with what the buckets replied. n-grams are told apart by the 32 bits of their hash
+after the bucket's own (a bucket holds about as many at any size), words by all 64.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from quarry.llm.common import LOWER, fold, table
 from quarry.plans.session import materialize
 
 #: The longest context, and the least occurrences of one whose successors are counted.
-DEPTH, MIN_COUNT = 3, 3
+DEPTH, MIN_COUNT = 3, 4
 #: Nats that a state gains over its suffix.
 MIN_GAIN = 10.0
 #: Text bytes of a block, about; a longer text is a block of its own. Buckets at least.
@@ -70,20 +70,21 @@ def _unzip(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _low(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _keys(keys: np.ndarray, kind: int, bits: int) -> bytes:
+    """Sorted hashes of one bucket: words whole, n-grams as the gaps between the 32 bits after the bucket's."""
+    if kind == 2:
+        return keys.tobytes()
+    low = (keys << np.uint64(bits)) >> np.uint64(32)
+    return _zip(np.diff(low, prepend=np.uint64(0)))
 
 
-def _from_low(data: bytes, width: int) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :width] = part
-    return out.view("<u8").ravel()
+def _unkeys(data: bytes, kind: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint64) if kind == 2 else np.cumsum(_unzip(data)).astype(np.uint64)
 
 
-def _cuts(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes: buckets are equal ranges of the hash."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes: a bucket is their first bits."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     return [(int(bucket[a]), a, b) for a, b in zip(edge, edge[1:]) if b > a]
 
@@ -107,7 +108,11 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
             hashes.append(np.uint64(START))
             hashes.extend(map(xxhash.xxh64_intdigest, w))
             n.append(len(w))
-        words, tokens = np.unique(np.fromiter(hashes, np.uint64, len(hashes)), return_inverse=True)
+        words, tokens, times = np.unique(np.fromiter(hashes, np.uint64, len(hashes)), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # small numbers for frequent words
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        words, tokens = words[order], number[tokens]
         row = {"block": name, "ids": ids, "train": train, "n": _zip(np.array(n)), "words": words.tobytes(), "tokens": _zip(tokens)}
         return pa.RecordBatch.from_pylist([row], schema=_PACKED_SCHEMA)
 
@@ -130,11 +135,15 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
 class Block:
     """A packed block: tokens with a start before each text, and what the buckets have replied so far."""
 
-    def __init__(self, row: pa.Table, n_buckets: int):
+    def __init__(self, row: pa.Table, bits: int):
         row = row.to_pylist()[0]
-        self.name, self.ids, self.n_buckets = row["block"], row["ids"], n_buckets
+        self.name, self.ids, self.bits = row["block"], row["ids"], bits
         self.n = _unzip(row["n"])
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"])
+        words = np.frombuffer(row["words"], np.uint64)
+        order = np.argsort(words)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.words, self.tokens = words[order], number[_unzip(row["tokens"])]
         self.first = np.cumsum(self.n + 1) - (self.n + 1)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.n + 1)
         self.train = np.repeat(np.array(row["train"], bool), self.n + 1)
@@ -143,7 +152,7 @@ class Block:
         got = replies.get(kind)
         if got is None:
             return None
-        cuts = _cuts(keys, self.n_buckets)
+        cuts = _cuts(keys, self.bits)
         if not cuts:
             return np.zeros(0, np.int64)
         if kind % 2:
@@ -188,9 +197,8 @@ class Block:
 
     def ask(self, asked: list) -> Iterator[dict]:
         for kind, keys, n in asked:
-            width = 8 if kind == 2 else 5
-            for b, lo, hi in _cuts(keys, self.n_buckets):
-                yield {"kind": kind, "bucket": b, "block": self.name, "keys": _low(keys[lo:hi], width), "n": n[lo:hi].tobytes() if kind % 2 else _zip(n[lo:hi])}
+            for b, lo, hi in _cuts(keys, self.bits):
+                yield {"kind": kind, "bucket": b, "block": self.name, "keys": _keys(keys[lo:hi], kind, self.bits), "n": n[lo:hi].astype("<f4").tobytes() if kind % 2 else _zip(n[lo:hi])}
 
     def scores(self, base: np.ndarray, known: np.ndarray, p: np.ndarray) -> pa.Table:
         token, first = self.place > 0, np.cumsum(self.n) - self.n
@@ -201,10 +209,10 @@ class Block:
 def _answer(group: pa.Table) -> pa.Table:
     """Sums of a bucket's keys over all blocks: counts, or for gains whether they suffice."""
     kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
-    keys = [_from_low(k, 8 if kind == 2 else 5) for k in group.column("keys").to_pylist()]
+    keys = [_unkeys(k, kind) for k in group.column("keys").to_pylist()]
     edge = np.cumsum([0, *map(len, keys)])
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    load = (lambda x: np.frombuffer(x, np.float64)) if kind % 2 else _unzip
+    load = (lambda x: np.frombuffer(x, "<f4").astype(float)) if kind % 2 else _unzip
     sums = np.bincount(at, np.concatenate([load(x) for x in group.column("n").to_pylist()]), len(every))
     out = []
     for i, block in enumerate(group.column("block").to_pylist()):
@@ -228,7 +236,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     packed = materialize(pack(rows, block_bytes))
     n = max(1, packed.count())
-    n_buckets = max(MIN_BUCKETS, n)
+    bits = (max(MIN_BUCKETS, n) - 1).bit_length()
     replies: DataFrame | None = None
     tokens = kinds = 0
 
@@ -241,7 +249,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block(pa.Table.from_batches([batch.slice(i, 1)]), n_buckets)
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]), bits)
                 yield pa.RecordBatch.from_pylist(list(block.ask(block.walk({}, 0, 0, depth)[0])), schema=_ASK_SCHEMA)
 
     for r in range(depth + 2):
@@ -252,11 +260,11 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
             def ask(row: pa.Table, got: pa.Table) -> pa.Table:
                 if not row.num_rows:
                     return _ASK_SCHEMA.empty_table()
-                block = Block(row, n_buckets)
+                block = Block(row, bits)
                 return pa.Table.from_pylist(list(block.ask(block.walk(gathered(got), tokens, kinds, depth)[0])), schema=_ASK_SCHEMA)
 
             asked = _by_block(packed, n).cogroup(_by_block(replies, n)).applyInArrow(ask, _ASK)
-        got = materialize(asked.repartition(n_buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, _REPLY))
+        got = materialize(asked.repartition(1 << bits, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, _REPLY))
         if r == 0:
             found = got.agg(F.sum("tokens"), F.sum("kinds")).first()
             tokens, kinds = found[0] or 0, found[1] or 0
@@ -265,7 +273,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
     def finish(row: pa.Table, got: pa.Table) -> pa.Table:
         if not row.num_rows:
             return _SCORE_SCHEMA.empty_table()
-        block, held = Block(row, n_buckets), gathered(got)
+        block, held = Block(row, bits), gathered(got)
         _, base, p = block.walk(held, tokens, kinds, depth)
         known = block._replied(held, 2, block.words)[block.tokens] > 0
         return block.scores(base, known, p)
