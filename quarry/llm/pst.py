@@ -10,7 +10,8 @@ longest state that is a suffix of what precedes it. Both thresholds are absolute
 successors grow with the corpus.
 
 The tree never stands in one place. Texts are packed once into blocks: distinct words, and tokens
-as numbers. In every round a block sends its distinct n-grams (hashes and counts, pre-aggregated)
+as numbers, in a table bucketed by block; replies are appended to another, so that the rounds join
+both without a shuffle. In every round a block sends its distinct n-grams (hashes and counts, pre-aggregated)
 to buckets by hash, which add up all blocks and reply; the first round counts words, the next ones
 count n-grams one longer whose context is frequent enough, and add up the gains of the contexts
 before. An n-gram of any frequency is one entry a block, so no bucket is hot. At last each block
@@ -20,6 +21,7 @@ after the bucket's own (a bucket holds about as many at any size), words by all
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,14 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import LOWER, fold, table
-from quarry.plans.session import materialize
+from quarry.plans.session import shared_dir
 
 #: The longest context, and the least occurrences of one whose successors are counted.
 DEPTH, MIN_COUNT = 3, 4
 #: Nats that a state gains over its suffix.
 MIN_GAIN = 10.0
 #: Text bytes of a block, about; a longer text is a block of its own. Buckets at least.
-BLOCK_BYTES, MIN_BUCKETS = 8 << 20, 16
+BLOCK_BYTES, MIN_BUCKETS = 12 << 20, 16
+#: Buckets of the two tables at most; beyond it a bucket holds several blocks.
+MAX_PARTS = 50_000
 START, END = xxhash.xxh64_intdigest(b"\n\n"), xxhash.xxh64_intdigest(b"\n")
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -234,9 +238,17 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
     their names, are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    packed = materialize(pack(rows, block_bytes))
-    n = max(1, packed.count())
-    bits = (max(MIN_BUCKETS, n) - 1).bit_length()
+    spark = docs.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_PARTS, max(1, -(-total // block_bytes)))
+    bits = (max(MIN_BUCKETS, -(-total // block_bytes)) - 1).bit_length()
+    names = [f"suffix_tree_{x}_{uuid.uuid4().hex}" for x in ("blocks", "replies")]
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        return spark.table(name)
+
+    packed = keep(pack(rows, block_bytes), names[0])
     replies: DataFrame | None = None
     tokens = kinds = 0
 
@@ -263,12 +275,12 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
                 block = Block(row, bits)
                 return pa.Table.from_pylist(list(block.ask(block.walk(gathered(got), tokens, kinds, depth)[0])), schema=_ASK_SCHEMA)
 
-            asked = _by_block(packed, n).cogroup(_by_block(replies, n)).applyInArrow(ask, _ASK)
-        got = materialize(asked.repartition(1 << bits, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, _REPLY))
+            asked = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask, _ASK)
+        answered = asked.repartition(1 << bits, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, _REPLY)
+        replies = keep(answered.repartition(n, "block"), names[1])
         if r == 0:
-            found = got.agg(F.sum("tokens"), F.sum("kinds")).first()
+            found = replies.agg(F.sum("tokens"), F.sum("kinds")).first()
             tokens, kinds = found[0] or 0, found[1] or 0
-        replies = got if replies is None else replies.unionAll(got)
 
     def finish(row: pa.Table, got: pa.Table) -> pa.Table:
         if not row.num_rows:
@@ -278,14 +290,10 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
         known = block._replied(held, 2, block.words)[block.tokens] > 0
         return block.scores(base, known, p)
 
-    scored = _by_block(packed, n).cogroup(_by_block(replies, n)).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
-def _by_block(df: DataFrame, n: int):
-    return df.repartition(n, "block").groupBy("block")
-
-
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_train", fold("doc_id", 10) != 0)
     found = score_texts(docs, "_train")
