@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.operators import candidates, compare, history, scoring, usage
+from quarry.operators import candidates, compare, evaluation, evidence, exports, history, ingest, ordering, scalars, scoring, state, usage
+from quarry.streaming import events
 
-_MODULES = (compare, history, candidates, scoring, usage)
+_MODULES = (compare, history, candidates, scoring, usage, evaluation, ordering, state, evidence, exports, ingest, scalars, events)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

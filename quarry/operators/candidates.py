@@ -25,7 +25,7 @@ def path_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = T.fingerprint(F.col("p_brand"), T.slug(F.col("p_name")), F.col("path"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))
     rows = _paths(spark, sf_dir).select("p_partkey", T.slug(F.col("p_name")).alias("rule"), digest.alias("fingerprint"))
-    return rows.withColumn("finding_id", T.stable_id("csf", F.col("fingerprint")))
+    return rows.withColumn("finding_id", T.stable_id("csf", F.sha2("fingerprint", 256)))
 
 
 def merge_candidates(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
@@ -71,20 +71,6 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occ.select("occurrence_id", views.severity_name("sev").alias("severity"), F.coalesce("triage", F.lit("open")).alias("status"), T.guarded_cell(title).alias("title"), T.guarded_cell(F.col("path")).alias("path"), "start_line", "end_line")
 
 
-def rank_top_percent(spark: SparkSession, sf_dir: str, percent: int = 10) -> DataFrame:
-    """The leading percent (one at least) of each source's documents by length, then id."""
-    w = Window.partitionBy("source")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    rows = docs.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).cast("long")).withColumn("n", F.count("*").over(w))
-    return rows.where(F.col("rank") <= F.greatest(F.lit(1), F.expr(f"n * {percent} div 100"))).select("source", "doc_id", "rank")
-
-
-def rank_round_robin(spark: SparkSession, sf_dir: str, workers: int = 6) -> DataFrame:
-    """Documents of a source dealt in turn to workers."""
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", ((nth - 1) % workers).cast("long").alias("worker"))
-
-
 def shard_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t).select("doc_id").distinct() for t in ("documents", "labels"))
     missing = docs.join(labels, "doc_id", "left_anti").withColumn("kind", F.lit("missing"))
@@ -141,21 +127,19 @@ def uri_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1)).alias("host"), F.regexp_extract(url, r"^[a-z]+://[^/]+/(.*)$", 1).alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (path_in_scope, path_glob, fingerprints, candidates_merge, strongest_duplicate, cwe_extract, severity_from_score, sarif_rule_index, export_rows, rank_top_percent, rank_round_robin, shard_differences, override_merge, coverage_gaps, line_count, preview_sample, upsert_snapshot, ancestor_files, uri_paths)}
+QUERIES = {f.__name__: f for f in (path_in_scope, path_glob, fingerprints, candidates_merge, strongest_duplicate, cwe_extract, severity_from_score, sarif_rule_index, export_rows, shard_differences, override_merge, coverage_gaps, line_count, preview_sample, upsert_snapshot, ancestor_files, uri_paths)}
 _P = "p AS (SELECT p_partkey, p_name, p_brand, p_size, p_brand || '/' || p_type || '/' || p_partkey AS path FROM part)"
 _SLUG = "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9._/-]+', '-', 'g'), '^[._/-]+|[._/-]+$', '', 'g')"
 ORACLES = {
     "path_in_scope": f"WITH {_P} SELECT p_partkey, path FROM p WHERE path = 'Brand#2' OR starts_with(path, 'Brand#2/')",
     "path_glob": f"WITH {_P} SELECT p_partkey, path FROM p WHERE path GLOB 'Brand#1?/*[05]'",
-    "fingerprints": f"WITH {_P}, f AS (SELECT p_partkey, {_SLUG} AS rule, sha256(p_brand || chr(0) || {_SLUG} || chr(0) || path || chr(0) || CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS fingerprint FROM p) SELECT *, 'csf_' || fingerprint[1:24] AS finding_id FROM f",
+    "fingerprints": f"WITH {_P}, f AS (SELECT p_partkey, {_SLUG} AS rule, '{T.ALGORITHM}:sha256:' || sha256('{T.ALGORITHM}' || chr(0) || p_brand || chr(0) || {_SLUG} || chr(0) || path || chr(0) || CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS fingerprint FROM p) SELECT *, 'csf_' || sha256(fingerprint)[1:24] AS finding_id FROM f",
     "candidates_merge": "SELECT l_suppkey % 10 AS rule, l_partkey AS part, string_agg(DISTINCT l_returnflag, chr(10) ORDER BY l_returnflag) AS summary, string_agg(DISTINCT l_linestatus, chr(10) ORDER BY l_linestatus) AS evidence, count(*) AS n, 'candidate-' || sha256((l_suppkey % 10) || '|' || l_partkey)[1:16] AS candidate_id FROM lineitem GROUP BY 1, 2",
     "strongest_duplicate": f"WITH {views.SQL} SELECT target_id, part, severity, seq, line, reports FROM (SELECT *, count(*) OVER (PARTITION BY target_id, part) AS reports FROM li QUALIFY row_number() OVER (PARTITION BY target_id, part ORDER BY sev, seq, line, flag) = 1) JOIN names ON rank = sev",
     "cwe_extract": "SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct([p_size, 79, p_partkey % 100])), lambda n: 'CWE-' || n), ',') AS cwes FROM part",
     "severity_from_score": "WITH s AS (SELECT CASE WHEN l_quantity / 5 > 9 THEN 'critical' WHEN l_quantity / 5 >= 7 THEN 'high' WHEN l_quantity / 5 >= 4 THEN 'medium' WHEN l_quantity > 0 THEN 'low' ELSE 'unknown' END AS severity FROM lineitem) SELECT severity, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM s GROUP BY 1, 2",
     "sarif_rule_index": "SELECT p_partkey, p_brand || '/' || p_type AS rule, dense_rank() OVER (ORDER BY p_brand || '/' || p_type) - 1 AS rule_index FROM part",
     "export_rows": f"WITH {views.SQL} SELECT occurrence_id, severity, coalesce(triage, 'open') AS status, CASE WHEN line % 2 = 0 THEN ''' =' ELSE 'finding ' END || finding_id AS title, path, start_line, end_line FROM loc JOIN names ON rank = sev",
-    "rank_top_percent": "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE rank <= greatest(1, n * 10 // 100)",
-    "rank_round_robin": "SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 6 AS worker FROM documents",
     "shard_differences": "SELECT DISTINCT doc_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "override_merge": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CAST(coalesce(l.q, d.n_chars % 2) AS BIGINT) AS value FROM documents d FULL JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id",
     "coverage_gaps": "WITH l AS (SELECT doc_id, min(quality) AS lo, max(quality) AS hi FROM labels GROUP BY 1), k AS (SELECT doc_id, CASE WHEN lo IS NULL THEN 'missing' WHEN lo <> hi THEN 'conflicting' WHEN hi = 0 THEN 'needs_follow_up' END AS kind FROM documents LEFT JOIN l USING (doc_id)) SELECT * FROM k WHERE kind IS NOT NULL",

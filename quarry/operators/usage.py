@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +9,8 @@ from quarry.operators.history import latest
 from quarry.plans.session import materialize
 from quarry.plans.views import table
 
-#: Prices in nanodollars a unit, by event type.
-PRICES = {"view": 500, "click": 5000, "purchase": 30000, "signup": 6250, "error": 0}
+#: Example rates in nanodollars a unit, by event type: plain, cached, written to the cache, and put out. They are a parameter of `cost`.
+RATES = {"view": (310, 40, 420, 1700), "click": (2700, 260, 3900, 11000), "purchase": (17000, 1900, 23000, 88000), "error": (0, 0, 0, 0)}
 
 
 def cents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +42,22 @@ def usage_budget_stop(spark: SparkSession, sf_dir: str, budget: int = 50_000) ->
     return rows.where(F.col("spent") > budget).groupBy("session").agg(F.min(F.struct("ts", "event_id", "spent")).alias("k")).select("session", "k.event_id", "k.spent")
 
 
+def cost(rows: DataFrame, rates: dict[str, tuple[int, int, int, int]]) -> DataFrame:
+    """rows (kind, units, cached, written, put_out) with their cost; of an unknown kind it is null.
+
+    Cached and written units are part of units and are priced at their own rates.
+    """
+    spark = rows.sparkSession
+    prices = F.broadcast(spark.createDataFrame([(k, *r) for k, r in rates.items()], "kind string, r0 long, r1 long, r2 long, r3 long"))
+    sums = (F.col("units") - F.col("cached") - F.col("written")) * F.col("r0") + F.col("cached") * F.col("r1") + F.col("written") * F.col("r2") + F.col("put_out") * F.col("r3")
+    return rows.join(prices, "kind", "left").withColumn("cost", sums).drop("r0", "r1", "r2", "r3")
+
+
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nanodollars by session; a session with a type of unknown price has no cost."""
-    price = F.create_map(*[x for k, v in PRICES.items() if k != "signup" for x in (F.lit(k), F.lit(v))])
-    rows = cents(spark, sf_dir).withColumn("cost", F.col("units") * F.try_element_at(price, F.col("event_type")))
-    known = F.sum("cost").cast("long")
-    return rows.groupBy("session").agg(F.sum("units").alias("units"), F.when(F.count_if(F.col("cost").isNull()) == 0, known).alias("nanodollars"))
+    """Nanodollars by session; a session with an event of unknown rates has no cost."""
+    rows = cents(spark, sf_dir).selectExpr("session", "event_type AS kind", "units", "units div 4 AS cached", "units div 10 AS written", "event_id % 50 AS put_out")
+    known = F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost").cast("long"))
+    return cost(rows, RATES).groupBy("session").agg(F.sum("units").alias("units"), known.alias("nanodollars"))
 
 
 def closure(parents: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -76,10 +83,11 @@ def usage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_new_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a session since its last signup, at every event."""
-    rows = cents(spark, sf_dir).withColumn("island", F.count_if(F.col("event_type") == "signup").over(_by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = Window.partitionBy("session", "island").orderBy("ts", "event_id")
-    return rows.select("session", "event_id", (F.row_number().over(inside) - F.when(F.col("island") > 0, 1).otherwise(0)).cast("long").alias("streak"))
+    """Inputs (tenths of the units) of a session since its last signup, at every event; a signup starts at none."""
+    rows = cents(spark, sf_dir).withColumn("inputs", F.when(F.col("event_type") == "signup", 0).otherwise(F.expr("units div 10")))
+    rows = rows.withColumn("island", F.count_if(F.col("event_type") == "signup").over(_by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = Window.partitionBy("session", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("session", "event_id", F.sum("inputs").over(inside).cast("long").alias("streak"))
 
 
 def event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,32 +97,20 @@ def event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("session", "events", F.when(F.col("k.event_type") == "error", "failed").when(F.col("bought") > 0, "complete").otherwise("running").alias("status"))
 
 
-def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """usage_latest by Structured Streaming over the events file; available data only, then the final state."""
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    found = rows.groupBy(F.col("user_id").alias("session")).agg(F.max(F.struct("ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("units"))).alias("k"))
-    name = f"usage_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{folder}/{name}" if folder else tempfile.mkdtemp(prefix="usage-")
-    query = found.select("session", "k.event_id", "k.units").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-QUERIES = {f.__name__: f for f in (usage_latest, usage_running, usage_budget_stop, usage_cost, usage_tree, no_new_streak, event_reduce, usage_stream)}
+QUERIES = {f.__name__: f for f in (usage_latest, usage_running, usage_budget_stop, usage_cost, usage_tree, no_new_streak, event_reduce)}
 _LATEST = f"WITH {SQL} SELECT session, event_id, units FROM ev QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) = 1"
 ORACLES = {
     "usage_latest": _LATEST,
-    "usage_stream": _LATEST,
     "usage_running": f"WITH {SQL}, r AS (SELECT *, max(units) OVER (PARTITION BY session ORDER BY ts, event_id) AS high FROM ev) SELECT session, event_id, high FROM r QUALIFY lag(high) OVER (PARTITION BY session ORDER BY ts, event_id) IS DISTINCT FROM high",
     "usage_budget_stop": f"WITH {SQL}, r AS (SELECT *, CAST(sum(units) OVER (PARTITION BY session ORDER BY ts, event_id) AS BIGINT) AS spent FROM ev) SELECT session, event_id, spent FROM r WHERE spent > 50000 QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts, event_id) = 1",
-    "usage_cost": f"WITH {SQL}, p AS (SELECT * FROM (VALUES ('view', 500), ('click', 5000), ('purchase', 30000), ('error', 0)) t(event_type, price)) SELECT session, CAST(sum(units) AS BIGINT) AS units, CASE WHEN count(*) = count(price) THEN CAST(sum(units * price) AS BIGINT) END AS nanodollars FROM ev LEFT JOIN p USING (event_type) GROUP BY 1",
+    "usage_cost": f"""WITH {SQL}, r AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}, {b}, {c}, {d})" for k, (a, b, c, d) in RATES.items())}) t(event_type, r0, r1, r2, r3)), c AS (
+      SELECT session, units, (units - units // 4 - units // 10) * r0 + (units // 4) * r1 + (units // 10) * r2 + (event_id % 50) * r3 AS cost FROM ev LEFT JOIN r USING (event_type))
+      SELECT session, CAST(sum(units) AS BIGINT) AS units, CASE WHEN count(*) = count(cost) THEN CAST(sum(cost) AS BIGINT) END AS nanodollars FROM c GROUP BY 1""",
     "usage_tree": f"""WITH RECURSIVE {SQL}, s AS (SELECT session, sum(units) AS units FROM ev GROUP BY 1), t AS (
       SELECT session, session AS root FROM s WHERE session < 10 OR session // 2 NOT IN (SELECT session FROM s)
       UNION ALL SELECT s.session, t.root FROM s JOIN t ON s.session >= 10 AND s.session // 2 = t.session)
       SELECT root, count(*) AS sessions, CAST(sum(units) AS BIGINT) AS units FROM t JOIN s USING (session) GROUP BY 1""",
     "no_new_streak": f"""WITH {SQL}, i AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY session ORDER BY ts, event_id) AS island FROM ev)
-      SELECT session, event_id, row_number() OVER (PARTITION BY session, island ORDER BY ts, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS streak FROM i""",
+      SELECT session, event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 0 ELSE units // 10 END) OVER (PARTITION BY session, island ORDER BY ts, event_id) AS BIGINT) AS streak FROM i""",
     "event_reduce": f"WITH {SQL} SELECT session, count(*) AS events, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'failed' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'complete' ELSE 'running' END AS status FROM ev GROUP BY 1",
 }
