@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, table
+from quarry.llm.common import find, fold, table
 
 #: Labelled documents used for training, of each class; the bound of the sample.
 TOXIC_DOCS, ORDINARY_DOCS = 2500, 5000
-#: Longer texts are not picked for training.
-TRAIN_BYTES = 20_000
+#: Least hashes of three-word passages that texts are told to be copies by: BANDS pairs, of which one must agree.
+BANDS = 6
 #: The share of the sample that the dictionaries see; the rest calibrates.
 TRAIN_SHARE = 0.6
 ORDINARY_BYTES = 16_384
@@ -94,15 +94,27 @@ class Meter:
         return *np.log1p(counts), share.max(), np.log1p(gain[gain > 0].sum()), 10 * gain.sum() / cost.sum(), np.log1p(len(each))
 
 
+def _copies(texts: list[list[bytes]]) -> np.ndarray:
+    """A number of each text's group of copies and near copies, which share their passages of three words."""
+    parent, first = np.arange(len(texts)), {}
+    odd = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for i, words in enumerate(texts):
+        grams = {zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
+        h = (np.fromiter(grams, np.uint64, len(grams))[:, None] * odd).min(axis=0)
+        for k in range(BANDS):
+            other = first.setdefault((k, int(h[2 * k]), int(h[2 * k + 1])), i)
+            if other != i:
+                a, b = find(parent, np.array([i, other]))
+                parent[max(a, b)] = min(a, b)
+    return find(parent, np.arange(len(texts)))
+
+
 def _support(texts: list[list[bytes]]) -> Counter:
-    """Documents that hold each word (` word `); copies and near copies (one least hash) count once."""
+    """Documents that hold each word (` word `); copies and near copies count once."""
     held: dict[bytes, set[int]] = defaultdict(set)
-    for words in texts:
-        some = set(words)
-        if some:
-            least = min(map(zlib.crc32, some))
-            for w in some:
-                held[b" %b " % w].add(least)
+    for words, group in zip(texts, _copies(texts).tolist()):
+        for w in set(words):
+            held[b" %b " % w].add(group)
     return Counter({w: len(s) for w, s in held.items()})
 
 
@@ -154,19 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
     for y, n in ((0, ORDINARY_DOCS), (1, TOXIC_DOCS)):
         some = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionAll(some)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
+    texts = docs.select("doc_id", "text")
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "y").collect()  # TOXIC_DOCS + ORDINARY_DOCS rows at most
     return fit([(r[0], int(r[1])) for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a score from 0 to 1 (1: likelier toxic) of their whole texts.
+def score(docs: DataFrame, model: Model | None, column: str = "_score") -> DataFrame:
+    """docs with a score from 0 to 1 (1: likelier toxic) of their whole texts in a column that docs does not have.
 
-    Null and empty texts score as texts without any gain; without a model (no labels of both
-    classes) all score 0. Every row and column of docs stays.
+    Null and empty texts score as texts without any gain; very long texts are scored whole; equal
+    texts score alike, repeated rows stay; without a model (no labels of both classes) all score 0.
+    An empty table gives no rows. Every row and column of docs stays.
     """
     if model is None:
-        return docs.withColumn("_score", F.lit(0.0))
+        return docs.withColumn(column, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -178,7 +191,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             x = np.array([(1.0, *meter.features(t)) for t in texts]).reshape(-1, len(w))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-    return docs.withColumn("_score", run("text"))
+    return docs.withColumn(column, run("text"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
