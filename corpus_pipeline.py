@@ -9,16 +9,18 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import decontam, mixing, sharding, simhash, toxicity
-from quarry.llm.common import fold, table
+from quarry.llm.common import fold, table, unused
 from quarry.plans.session import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labels of four in five ids."""
     model = toxicity.train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("_score < 0.5").drop("_score")
+    score = unused(docs.columns, "_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their sources' temperature weights; every document stays at least once."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, marks=False)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
