@@ -3,8 +3,9 @@
 The vocabulary is a fixed public one (a sentencepiece model, read on the driver; its path is a
 parameter). Each language has a probability for every piece, learned by expectation
 maximisation. A word's likelihood sums over all of its segmentations into pieces (forward
-algorithm over its UTF-8 bytes); pieces never cross white space, so a text's likelihood is the
-product over its words.
+algorithm over its UTF-8 bytes, rescaled on long words); pieces never cross white space, so a
+text's likelihood is the product over its words. Training alone cuts words of more than `SHORT`
+bytes, in which it looks for pieces stretch by stretch.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longer pieces are left out of the vocabulary.
-MAX_PIECE = 10
-#: A word is scored in blocks of so many bytes, so that likelihoods stay within doubles.
-BLOCK = 40
+#: Words of more bytes, their space included, are scored with rescaling, which is slower.
+SHORT = 64
 #: Training documents of each language, about; they are picked by a hash of doc_id.
 TRAIN_DOCS = 1500
-#: Longer texts are not picked for training.
-TRAIN_BYTES = 50_000
-ROUNDS = 2
+#: Labels that are learned at most; more are an error.
+MAX_LABELS = 1000
+ROUNDS = 4
+#: The least probability of a piece, before all are made to sum to 1.
 FLOOR = 1e-6
 #: Words remembered by a task before it starts anew.
 MEMO = 200_000
@@ -42,9 +42,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
     found = {bytes([b]) for b in range(256)}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= MAX_PIECE:
-                found.add(piece)
+            found.add(model.id_to_piece(i).replace("▁", " ").encode())
     return sorted(found)
 
 
@@ -59,7 +57,8 @@ class Lattice:
         by: dict[int, list[tuple[int, int]]] = {}
         for i, p in enumerate(pieces):
             by.setdefault(len(p), []).append((self._hash(p), i))
-        for n in range(1, MAX_PIECE + 1):
+        self.longest = max(by)
+        for n in range(1, self.longest + 1):
             pairs = sorted(by.get(n, []))
             keys = np.array([k for k, _ in pairs], np.uint64)
             self.seen[keys >> np.uint64(42)] = True
@@ -73,7 +72,7 @@ class Lattice:
 
     def ids(self, data: np.ndarray) -> np.ndarray:
         """ids[n - 1, i]: the piece of n bytes that starts at i, or size (none)."""
-        out = np.full((MAX_PIECE, len(data)), self.size, np.int32)
+        out = np.full((self.longest, len(data)), self.size, np.int32)
         h = np.zeros(len(data), np.uint64)
         for n, (keys, pieces) in enumerate(self.tables, 1):
             if n > len(data):
@@ -87,76 +86,113 @@ class Lattice:
                 out[n - 1, maybe[hit]] = pieces[at[hit]]
         return out
 
-    def blocks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes, offset, length, word) of the blocks of the words, each word led by a space."""
+    @staticmethod
+    def laid(words: list[bytes], cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, offset, length, word) of the words, each led by a space; with cut in stretches of SHORT bytes at most."""
         joined = np.frombuffer(b" " + b" ".join(words), np.uint8)
         length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         begin = np.cumsum(length) - length
-        count = -(-length // BLOCK)
+        if not cut:
+            return joined, begin, length, np.arange(len(words))
+        count = -(-length // SHORT)
         word = np.repeat(np.arange(len(words)), count)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        return joined, begin[word] + nth * BLOCK, np.minimum(length[word] - nth * BLOCK, BLOCK), word
+        return joined, begin[word] + nth * SHORT, np.minimum(length[word] - nth * SHORT, SHORT), word
 
     def forward(self, ids: np.ndarray, at: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
-        """alpha[e]: the summed likelihood of the first e bytes of blocks of n bytes, by language."""
+        """alpha[e]: the summed likelihood of the first e bytes of words of n bytes, by language."""
         alpha = np.zeros((n + 1, len(at), p.shape[1]))
         alpha[0] = 1
+        for k, e, has, piece in self._steps(ids, at, n):
+            if len(has) == len(at):
+                alpha[e] += alpha[e - k] * p[piece]
+            else:
+                alpha[e, has] += alpha[e - k, has] * p[piece]
+        return alpha
+
+    def _steps(self, ids: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(bytes, end, words, piece) of all pieces of words of n bytes, ends in order."""
         for e in range(1, n + 1):
-            for k in range(1, min(e, MAX_PIECE) + 1):
+            for k in range(1, min(e, self.longest) + 1):
                 piece = ids[k - 1, at + e - k]
                 has = np.flatnonzero(piece < self.size)
-                if len(has) == len(at):
-                    alpha[e] += alpha[e - k] * p[piece]
-                elif len(has):
-                    alpha[e, has] += alpha[e - k, has] * p[piece[has]]
-        return alpha
+                if len(has):
+                    yield k, e, has, piece[has]
+
+    def long_loglik(self, ids: np.ndarray, at: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log likelihoods of words of any length: the last columns of alpha alone are held, and rescaled."""
+        order = np.argsort(-length, kind="stable")
+        at, length, keep = at[order], length[order], self.longest + 1
+        ring, scale = np.zeros((keep, len(at), p.shape[1])), np.zeros((len(at), p.shape[1]))
+        ring[0], out = 1, np.zeros((len(at), p.shape[1]))
+        for e in range(1, int(length[0]) + 1):
+            live = int(np.searchsorted(-length, -e, side="right"))
+            now = np.zeros((live, p.shape[1]))
+            for k in range(1, min(e, self.longest) + 1):
+                piece = ids[k - 1, at[:live] + e - k]
+                has = np.flatnonzero(piece < self.size)
+                if len(has):
+                    now[has] += ring[(e - k) % keep, has] * p[piece[has]]
+            ring[e % keep, :live] = now
+            ended = np.flatnonzero(length[:live] == e)
+            out[ended] = np.log(now[ended]) + scale[ended]
+            if e % 16 == 0:
+                most = ring[:, :live].max(axis=0)
+                ring[:, :live] /= most
+                scale[:live] += np.log(most)
+        found = np.empty_like(out)
+        found[order] = out
+        return found
 
     def loglik(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         """Log likelihoods (word, language)."""
         out = np.zeros((len(words), p.shape[1]))
         for lo, hi in slices(np.fromiter(map(len, words), np.int64, len(words)), 1 << 20):
-            data, at, length, word = self.blocks(words[lo:hi])
+            data, at, length, word = self.laid(words[lo:hi])
             ids = self.ids(data)
-            for n in np.unique(length):
+            for n in np.unique(length[length <= SHORT]):
                 rows = np.flatnonzero(length == n)
-                np.add.at(out, lo + word[rows], np.log(self.forward(ids, at[rows], int(n), p)[-1]))
+                out[lo + word[rows]] = np.log(self.forward(ids, at[rows], int(n), p)[-1])
+            rows = np.flatnonzero(length > SHORT)
+            if len(rows):
+                out[lo + word[rows]] = self.long_loglik(ids, at[rows], length[rows], p)
         return out
 
     def expected(self, words: list[bytes], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations, for one language."""
         out = np.zeros(self.size + 1)
         for lo, hi in slices(np.fromiter(map(len, words), np.int64, len(words)), 1 << 20):
-            data, at, length, word = self.blocks(words[lo:hi])
+            data, at, length, word = self.laid(words[lo:hi], cut=True)
             ids = self.ids(data)
             for n in np.unique(length).tolist():
                 rows = np.flatnonzero(length == n)
-                off, alpha = at[rows], self.forward(ids, at[rows], n, p[:, None])[:, :, 0]
+                alpha = self.forward(ids, at[rows], n, p[:, None])[:, :, 0]
                 beta = np.zeros_like(alpha)
                 beta[n] = 1
                 scale = weight[lo + word[rows]] / alpha[n]
-                for s in range(n - 1, -1, -1):
-                    for k in range(1, min(n - s, MAX_PIECE) + 1):
-                        piece = ids[k - 1, off + s]
-                        step = p[piece] * beta[s + k]
-                        beta[s] += step
-                        out += np.bincount(piece, alpha[s] * step * scale, self.size + 1)
+                for k, e, has, piece in reversed(list(self._steps(ids, at[rows], n))):
+                    step = p[piece] * beta[e, has]
+                    beta[e - k, has] += step
+                    out += np.bincount(piece, alpha[e - k, has] * step * scale[has], self.size + 1)
         return out[: self.size]
 
 
 def train(docs: DataFrame, pieces: list[bytes], text: str = "text", label: str = "lang", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities [piece or none, language]) from a bounded sample of docs.
 
-    docs has doc_id, text and label; about TRAIN_DOCS rows of each label are used.
+    docs has doc_id, text and label; about TRAIN_DOCS rows of each label are used, whole.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    totals = {r[0]: r[1] for r in rows.groupBy(label).count().limit(MAX_LABELS + 1).collect()}
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     names = sorted(totals)
     if not names:
         return [], np.zeros((len(pieces) + 1, 0))
     rate = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(TRAIN_DOCS / totals[k]))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where((chance < rate[F.col(label)]) & (F.octet_length(text) <= TRAIN_BYTES))
+    picked = rows.where(chance < rate[F.col(label)])
     word = F.explode(F.split(text, r"\s+")).alias("word")
     counts = picked.select(F.col(label).alias("lang"), word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = counts.persist()
@@ -183,8 +219,10 @@ def train(docs: DataFrame, pieces: list[bytes], text: str = "text", label: str =
         found = counts.repartition("word").mapInArrow(gather, "g long, piece long, n double")
         for r in found.groupBy("g", "piece").agg(F.sum("n").alias("n")).collect():  # at most pieces x languages
             sums[r[1], r[0]] = r[2]
-        p = np.maximum((sums + 0.02) / (sums.sum(axis=0) + 0.02 * len(pieces)), FLOOR)
+        sums[:-1] += 0.02
+        p = np.maximum(sums / sums.sum(axis=0), FLOOR)
         p[-1] = 0
+        p /= p.sum(axis=0)
         shared.unpersist()
     counts.unpersist()
     return names, p
@@ -194,7 +232,8 @@ def identify(docs: DataFrame, names: list[str], p: np.ndarray, pieces: list[byte
     """(doc_id, lang_pred, score): the likeliest language and its posterior share of even priors.
 
     A null text, one without a letter, or a model without languages gives `und` and 0. Ties go to
-    the first language by name. Only doc_id and text are read; repeated rows stay.
+    the first language by name. Texts and words of any length are scored whole. Only doc_id and text
+    are read; repeated rows stay; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, names, p))
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.llm import pst
+from quarry.llm import langid, pst
 
 RND = random.Random(31)
 
@@ -47,3 +47,36 @@ def test_suffix_tree_matches_a_plain_model(spark, depth):
     told = sorted((i if i % 9 else -1, len(pst.normal(t)), round(b, 6), round(s, 6)) for i, (t, b, s) in enumerate(zip(texts, base, score)))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == told
     assert sum(score) > sum(base)
+
+
+def test_language_scores_sum_all_segmentations_of_long_words():
+    import numpy as np
+
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abcabcabcabcabc", b"bc", b"bcab", b" abc"})
+    lattice = langid.Lattice(pieces)
+    p = np.random.default_rng(4).uniform(0.001, 0.05, (len(pieces) + 1, 2))
+    p[-1] = 0
+    words = [b"abc" * n for n in (1, 20, 21, 22, 100, 700)] + [b"x" * 63, b"x" * 64, b"\xff" * 65]
+    got = lattice.loglik(words, p)
+    for w, row in zip(words, got):
+        text = b" " + w
+        for g in range(2):
+            ways = [0.0] + [-math.inf] * len(text)
+            for e in range(1, len(text) + 1):
+                for q in [ways[e - len(x)] + math.log(p[i, g]) for i, x in enumerate(pieces) if text[max(0, e - len(x)) : e] == x]:
+                    hi, lo = max(ways[e], q), min(ways[e], q)
+                    ways[e] = hi + math.log1p(math.exp(lo - hi))
+            assert row[g] == pytest.approx(ways[-1], rel=1e-9)
+
+
+def test_language_pieces_sum_to_one_and_ties_and_long_texts_are_told(spark):
+    rows = [(i, ("der die und nicht " if i % 2 else "the and with this ") * 5, "de" if i % 2 else "en") for i in range(40)]
+    pieces = langid.load_pieces()
+    assert max(map(len, pieces)) > 10
+    names, p = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), pieces)
+    assert p.sum(axis=0) == pytest.approx([1, 1])
+    even = p.copy()
+    even[:, 1] = even[:, 0]
+    asked = spark.createDataFrame([(1, "und die " * 50_000, 7), (2, "the" * 30_000, 7)], "doc_id long, text string, lang_pred int")
+    assert [r.lang_pred for r in langid.identify(asked, names, p, pieces).orderBy("doc_id").collect()] == ["de", "en"]
+    assert {r.lang_pred for r in langid.identify(asked, names, even, pieces).collect()} == {"de"}
