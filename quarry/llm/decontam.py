@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import table, unused
 from quarry.plans.session import materialize
 
 WINDOW = 13
@@ -196,6 +196,16 @@ def _union_spans(flat: list[list[int]]) -> list[int]:
     return out
 
 
+def _united(spans):
+    """One list of flat pairs made of several."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([_union_spans(x) for x in lists.to_pylist()], pa.list_(pa.int64()))
+
+    return run(spans)
+
+
 def contamination(docs: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, tid, n_words, spans, items): the hit word ranges and item ids of every document.
 
@@ -218,11 +228,10 @@ def contamination(docs: DataFrame, items: DataFrame, item: str = "item_id", text
         extra = more[0]
         for x in more[1:]:
             extra = extra.unionAll(x)
-        unite = F.udf(_union_spans, "array<bigint>")
         extra = extra.groupBy("row").agg(F.collect_list("spans").alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
         both = F.array_append(F.coalesce("s", F.array().cast("array<array<bigint>>")), F.col("spans"))
         ids = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))))
-        first = first.join(extra.withColumnRenamed("row", "r"), F.col("row").eqNullSafe(F.col("r")), "left").select("row", "n_words", unite(both).alias("spans"), ids.alias("items"))
+        first = first.join(extra.withColumnRenamed("row", "r"), F.col("row").eqNullSafe(F.col("r")), "left").select("row", "n_words", _united(both).alias("spans"), ids.alias("items"))
     return first.select("row.doc_id", "row.tid", "n_words", "spans", "items")
 
 
@@ -242,26 +251,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.05, action
     first = next(parts, None)
     if first is None:
         return docs
+    found_, hit_, tid_, spans_, id_ = (unused(docs.columns, c) for c in ("_found", "_hit", "_tid", "_spans", "_id"))
     if next(parts, None) is None:  # one automaton: decided row by row, without a join
         spans = _spans_udf(docs.sparkSession, Automaton(first))
-        counted = docs.withColumn("_found", spans("text")).withColumn("_hit", hit_words("_found.spans"))
-        bad = (F.col("_hit") > 0) & (F.col("_hit") >= share * F.col("_found.n_words"))
+        counted = docs.withColumn(found_, spans("text")).withColumn(hit_, hit_words(f"{found_}.spans"))
+        bad = (F.col(hit_) > 0) & (F.col(hit_) >= share * F.col(f"{found_}.n_words"))
         if action == "drop":
             return counted.where(~bad).select(*docs.columns)
-        cut = F.udf(cut_words, "string")
-        return counted.withColumn("text", F.when(bad, cut("text", "_found.spans")).otherwise(F.col("text"))).select(*docs.columns)
+        return counted.withColumn("text", F.when(bad, _cut("text", f"{found_}.spans")).otherwise(F.col("text"))).select(*docs.columns)
     found = contamination(docs, items).withColumn("n_hit", hit_words())
     bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
-    keyed = docs.withColumn("_tid", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_tid"] == bad["tid"])
+    bad = bad.dropDuplicates(["doc_id", "tid"]).select(F.col("doc_id").alias(id_), F.col("tid").alias(f"{id_}_text"), F.col("spans").alias(spans_))
+    keyed = docs.withColumn(tid_, F.xxhash64("text"))
+    on = keyed["doc_id"].cast("long").eqNullSafe(bad[id_]) & (keyed[tid_] == bad[f"{id_}_text"])
     if action == "drop":
-        return keyed.join(bad.select("doc_id", "tid"), on, "left_anti").drop("_tid")
-    cut = F.udf(cut_words, "string")
-    marked = keyed.join(bad.dropDuplicates(["doc_id", "tid"]).select(F.col("doc_id").alias("_id"), "tid", F.col("spans").alias("_spans")), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_tid"] == F.col("tid")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
+        return keyed.join(bad, on, "left_anti").drop(tid_)
+    marked = keyed.join(bad, on, "left")
+    text = F.when(F.col(spans_).isNull(), F.col("text")).otherwise(_cut("text", spans_))
     return marked.withColumn("text", text).select(*docs.columns)
 
 
+def _cut(text: str, spans: str):
+    """A text column without the words of its spans."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or s is None else cut_words(t, s) for t, s in zip(texts.to_pylist(), lists.to_pylist())], pa.string())
+
+    return run(text, spans)
+
+
 def cut_words(text: str, spans: list[int]) -> str:
     """text without the words in flat pairs of word offsets, and without what stands between them."""
     data = text.encode()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import renamed, table
 
 SHARDS = 16
 #: Rows of a bucket, about; a bucket's rows are sorted by one task.
@@ -36,11 +36,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, bucket_rows: int = B
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1, crc32 0). Rows are ordered by doc_id
     (null first), then size, crc32 and a hash of the text; equal rows are interchangeable. Slots
-    count from 0 in each shard in that order. An empty table gives no rows; of the other columns of
-    docs those in keep stay, but for names that the result has itself.
+    count from 0 in each shard in that order. Texts of any length count whole. An empty table gives
+    no rows; of the other columns of docs those in keep stay, as `<name>_in` where the result has a
+    column of that name itself.
     """
     kept = [c for c in keep or [] if c != "doc_id"]
     own = {c: f"_kept_{i}" for i, c in enumerate(kept)}
+    names = renamed(kept, ["doc_id", "size", "text_crc32", "shard", "slot"])
     rows = docs.select(
         *[F.col(f"`{c}`").alias(k) for c, k in own.items()],
         F.col("doc_id").cast("long"),
@@ -80,7 +82,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, bucket_rows: int = B
     numbered = placed.withColumn("nth", nth).join(F.broadcast(offsets), ["bucket", "shard"])
     slot = (F.col("offset") + F.col("nth") - 1).cast("long").alias("slot")
     made = {"doc_id": F.col("doc_id"), "size": F.col("size"), "text_crc32": F.col("text_crc32"), "shard": F.col("shard"), "slot": slot}
-    return numbered.select(*[F.col(k).alias(c) for c, k in own.items() if c not in made], *made.values())
+    return numbered.select(*[F.col(k).alias(names[c]) for c, k in own.items()], *made.values())
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

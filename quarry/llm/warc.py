@@ -190,15 +190,19 @@ _PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()),
 
 
 def _page(row: dict, block: bytes) -> dict:
-    """The page that a whole block holds; for a revisit, what its headers say of the payload."""
-    digest = row["digest"].removeprefix("sha1:")
-    payload = None
+    """The page that a whole block holds; for a revisit, what its headers say of the payload.
+
+    Archives of other writers need not have a payload digest or length: then there is nothing to check.
+    """
+    digest, payload, length = (row["digest"] or "").removeprefix("sha1:") or None, None, row["length"]
     if row["kind"] == "response":
         head, body = block.split(END, 1)
         payload = unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
-        if digest32(payload) != digest or len(payload) != row["length"]:
+        found = digest32(payload)
+        if digest not in (None, found) or length not in (None, len(payload)):
             raise ValueError(f"the payload of page {row['page_id']} does not match its digest")
-    return {"page_id": row["page_id"], "record_type": row["kind"], "payload": payload, "payload_bytes": row["length"], "payload_digest": digest, "refers_to": row["refers_to"]}
+        digest, length = found, len(payload)
+    return {"page_id": row["page_id"], "record_type": row["kind"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "refers_to": row["refers_to"]}
 
 
 def reassemble(records: DataFrame) -> DataFrame:
