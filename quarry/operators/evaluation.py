@@ -179,7 +179,7 @@ def shared_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched(pairs: pd.DataFrame) -> list[tuple[int, int]]:
     """A maximum matching of (a, b, score) pairs: the rarest a first, its best b first, along augmenting paths."""
     options = {a: g.sort_values(["score", "b"], ascending=[False, True])["b"].tolist() for a, g in pairs.groupby("a")}
-    taken: dict[int, int] = {}
+    taken, mate = {}, {}
     for start in sorted(options, key=lambda a: (len(options[a]), a)):
         parent, queue, end = {}, [start], None
         while queue and end is None:
@@ -193,7 +193,8 @@ def matched(pairs: pd.DataFrame) -> list[tuple[int, int]]:
                     queue.append(taken[b])
         while end is not None:
             a = parent[end]
-            end, taken[end] = next((b for b, x in taken.items() if x == a), None), a
+            before = mate.get(a)
+            taken[end], mate[a], end = a, end, before
     return sorted((a, b) for b, a in taken.items())
 
 

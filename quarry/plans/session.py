@@ -23,10 +23,12 @@ def session(app: str = "quarry", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir)."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir); only a local master may do without."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or LOCAL_CHECKPOINTS)
     return context.getCheckpointDir()
 

@@ -9,8 +9,12 @@ def test_matches_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLES[name])
 
 
+#: Queries that SQL cannot express; plain versions test what they compute.
+NO_SQL = {"max_matching", "line_hashes"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) - NO_SQL == set(catalog.ORACLES)
 
 
 def test_entry_imports_and_flagship_has_rows(spark):
