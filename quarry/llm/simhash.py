@@ -53,8 +53,10 @@ PART_BYTES = 1 << 21
 WIDE, TREES, REACH = 1024, 32, 1
 #: Bits that candidates are compared by, and the standard deviations that they may lie over the expected distance.
 CHECK, SIGMAS = 128, 4
+#: Trees that are searched first; the others then look only between the classes that these found.
+FIRST = 4
 #: Pairs of a shard for each of its rows that are tried at once: at first, and when a class is searched again.
-AT_FIRST, TRIED = 1, 64
+AT_FIRST, TRIED = 0.25, 64
 #: Rows of a table that is broadcast at most, 16 bytes each; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Odd multipliers, each a permutation of 32-bit hashes; made by one rule.
@@ -351,21 +353,21 @@ def _words(prints: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
 _DEALT = "tree int, shard long, data binary, refusals binary, refused binary"
 
 
-def _dealt(fps: DataFrame, trees: int, parts: Parts, words: int, shard_rows: int, reach: int) -> DataFrame:
+def _dealt(fps: DataFrame, trees: range, parts: Parts, words: int, shard_rows: int, reach: int) -> DataFrame:
     """Packed entries by (tree, shard), for every shard that a row's balls overlap.
 
     fps has (fp, node), and may have its class and a list of refused nodes, which go along.
     """
-    n, more = fps.count(), "refused" in fps.columns
+    n, classed, more = fps.count(), "class" in fps.columns, "refused" in fps.columns
     wanted = max(4096, 64 * n // shard_rows)
     some = fps.select("fp")
     if n > wanted:
         some = some.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(wanted / n * (1 << 30)))
-    width = 8 * words if trees == 2 else WIDE // 8
+    width = 8 if parts is _halves else WIDE // 8
     sample = some.limit(min(2 * wanted, SAMPLE_BYTES // width)).toArrow().column("fp")  # SAMPLE_BYTES at most
     prints = _bytes(sample)
     most = len(prints) * shard_rows / max(n, 1)
-    grown = [build_tree(parts(prints, k)[0] if len(prints) else np.zeros(0, np.uint32), most, reach) for k in range(trees)]
+    grown = {k: build_tree(parts(prints, k)[0] if len(prints) else np.zeros(0, np.uint32), most, reach) for k in trees}
     shared, dtype = fps.sparkSession.sparkContext.broadcast(grown), _entry(words)  # a node for about 32 of the sample
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,8 +375,8 @@ def _dealt(fps: DataFrame, trees: int, parts: Parts, words: int, shard_rows: int
             if not batch.num_rows:
                 continue
             prints, node = _bytes(batch.column(0)), batch.column(1).to_numpy()
-            classes = batch.column(2).to_numpy() if more else node
-            for k in range(trees):
+            classes = batch.column(2).to_numpy() if classed else node
+            for k in trees:
                 key, bits = parts(prints, k)
                 rows, shard, home = shards_of(key, shared.value[k], reach)
                 order = np.argsort(shard, kind="stable")
@@ -392,7 +394,7 @@ def _dealt(fps: DataFrame, trees: int, parts: Parts, words: int, shard_rows: int
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_DEALT_SCHEMA)
 
-    return fps.select("fp", "node", *(["class", "refused"] if more else [])).mapInArrow(deal, _DEALT)
+    return fps.select("fp", "node", *(["class"] if classed else []), *(["refused"] if more else [])).mapInArrow(deal, _DEALT)
 
 
 _DEALT_SCHEMA = pa.schema([("tree", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("refusals", pa.binary()), ("refused", pa.binary())])
@@ -419,25 +421,25 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> Data
         moved = root != np.arange(len(node))
         return pa.table({"a": node[moved], "b": node[root[moved]]})
 
-    return _dealt(fps.select("fp", "node"), 2, _halves, 1, shard_rows, 1).groupBy("tree", "shard").applyInArrow(join, "a long, b long")
+    return _dealt(fps.select("fp", "node"), range(2), _halves, 1, shard_rows, 1).groupBy("tree", "shard").applyInArrow(join, "a long, b long")
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float, trees: range = range(TREES)) -> DataFrame:
     """(a, b, apart, spanning) of pairs of nodes that may reach the similarity, a < b; apart is the distance of their compared bits.
 
-    nodes has (fp, node), and in a later search the class that it is in and `refused`, an array of
-    larger nodes that it was compared with; then pairs are of different classes. Where spanning is
-    false nothing was left out on account of the pair.
+    nodes has (fp, node), in a later search the class that it is in, and when a class is searched again
+    `refused`, an array of larger nodes that it was compared with; then pairs are of different classes.
+    Where spanning is false nothing was left out on account of the pair.
     """
     radius, words = radius_at(similarity), CHECK // 64
     again = "refused" in nodes.columns
 
     def join(group: pa.Table) -> pa.Table:
         held, order = _held(group, words)
-        node, parent, refused = held["node"], np.arange(len(held)), np.zeros(0, np.int64)
+        node, refused = held["node"], np.zeros(0, np.int64)
+        _, first, at = np.unique(held["class"], return_index=True, return_inverse=True)
+        parent = first[at]
         if again:
-            _, first, at = np.unique(held["class"], return_index=True, return_inverse=True)
-            parent = first[at]
             many = np.frombuffer(b"".join(group.column("refusals").to_pylist()), "<i4")
             other = np.frombuffer(b"".join(group.column("refused").to_pylist()), np.int64)
             place = np.empty(len(order), np.int64)
@@ -446,14 +448,14 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             at = np.minimum(np.searchsorted(node, other), len(node) - 1)
             here = node[at] == other
             refused = np.sort(owner[here] * len(node) + at[here])
-        found = Candidates(parent, refused, (TRIED if again else AT_FIRST) * len(node))
+        found = Candidates(parent, refused, int((TRIED if again else AT_FIRST) * len(node)))
         search(np.ascontiguousarray(held["key"]), held["bits"], held["home"], found, radius, REACH)
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False), *found.pairs]
         a, b, apart = (np.concatenate(x) for x in list(zip(*parts))[:3])
         spanning = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
         return pa.table({"a": node[np.minimum(a, b)], "b": node[np.maximum(a, b)], "apart": apart.astype(np.int32), "spanning": spanning})
 
-    dealt = _dealt(nodes, TREES, _words, words, WIDE_SHARD, REACH)
+    dealt = _dealt(nodes, trees, _words, words, WIDE_SHARD, REACH)
     pairs = dealt.groupBy("tree", "shard").applyInArrow(join, "a long, b long, apart int, spanning boolean")
     return pairs.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("spanning").alias("spanning"))
 
@@ -501,20 +503,30 @@ def _closest(pairs: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component) of the distinct shingle sets that are linked to others.
 
-    Candidates are verified in rounds: the closest of each class, twice, then all that still lie
-    between two classes; so a group of copies costs about two comparisons a text.
+    A few trees are searched first, and the others between the classes that these gave, so that a
+    large group of copies is not linked anew by every tree. Candidates are verified in rounds: the
+    closest of each class, then all that still lie between two classes; a group of copies costs about
+    two comparisons a text.
     """
     nodes = materialize(prints.where("n > 0").dropDuplicates(["node"]).select("fp", "node", "tid"))
-    pairs = materialize(candidates(nodes.select("fp", "node"), similarity))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(docs, materialize(nodes.join(ends, "node", "left_semi").select("node", "tid")), words))
-    classes, tried = None, None
-    for whole in (False, False, True):
-        rest = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        rest = _between(rest, classes)
-        new = materialize(verified(rest if whole else _closest(rest), sets, similarity))
-        tried = new if tried is None else tried.unionAll(new)
-        classes = materialize(connected_components(tried.where("good")))
+    pairs = sets = tried = classes = None
+    for trees, rounds in ((range(FIRST), (False, False, True)), (range(FIRST, TREES), (False, True))):
+        asked = nodes.select("fp", "node")
+        if classes is not None:
+            asked = materialize(asked.join(classes, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("class")))
+        new = materialize(candidates(asked, similarity, trees))
+        ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            ends = ends.join(sets, "node", "left_anti")
+        made = materialize(shingle_sets(docs, materialize(nodes.join(ends, "node", "left_semi").select("node", "tid")), words))
+        sets = made if sets is None else sets.unionAll(made)
+        for whole in rounds:
+            rest = new if tried is None else new.join(tried, ["a", "b"], "left_anti")
+            rest = _between(rest, classes)
+            found = materialize(verified(rest if whole else _closest(rest), sets, similarity))
+            tried = found if tried is None else tried.unionAll(found)
+            classes = materialize(connected_components(tried.where("good")))
+        pairs = new if pairs is None else pairs.unionAll(new)
     open_ones = None
     while tried.where("not good and spanning").limit(1).count():
         if open_ones is None:  # what candidates link with a pair that is not similar
