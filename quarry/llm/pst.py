@@ -36,7 +36,7 @@ from quarry.llm.common import LOWER, fold, table
 from quarry.plans.session import shared_dir
 
 #: The longest context, and the least occurrences of one whose successors are counted.
-DEPTH, MIN_COUNT = 3, 4
+DEPTH, MIN_COUNT = 2, 4
 #: Nats that a state gains over its suffix.
 MIN_GAIN = 10.0
 #: Text bytes of a block, about; a longer text is a block of its own. Buckets at least.
@@ -241,7 +241,7 @@ def score_texts(docs: DataFrame, train: str, depth: int = DEPTH, block_bytes: in
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MAX_PARTS, max(1, -(-total // block_bytes)))
-    bits = (max(MIN_BUCKETS, -(-total // block_bytes)) - 1).bit_length()
+    bits = (max(MIN_BUCKETS, -(-total // (2 * block_bytes))) - 1).bit_length()
     names = [f"suffix_tree_{x}_{uuid.uuid4().hex}" for x in ("blocks", "replies")]
 
     def keep(df: DataFrame, name: str) -> DataFrame:
