@@ -88,20 +88,31 @@ ORDER_SQL = """scan AS (
     CASE o_orderkey % 3 WHEN 0 THEN 'diff' WHEN 1 THEN 'standard' ELSE 'deep' END AS mode FROM orders)"""
 
 
-def filter_scans(scans: DataFrame, target: int | None = None, mode: str | None = None, status: str | None = None) -> DataFrame:
-    """Scans by the filters that are given; all of them reach the file scan."""
-    for name, value in (("target_id", target), ("mode", mode), ("status", status)):
+def filter_scans(scans: DataFrame, target: int | None = None, mode: str | None = None, status: str | None = None, repository: str | None = None, scan_root: str | None = None, query: str | None = None) -> DataFrame:
+    """Scans by the filters that are given; equalities reach the file scan, a scan root holds what lies below it too."""
+    for name, value in (("target_id", target), ("mode", mode), ("status", status), ("repository", repository)):
         if value is not None:
             scans = scans.where(F.col(name) == value)
-    return scans
+    if scan_root is not None:
+        scans = scans.where((F.col("scan_root") == scan_root) | F.col("scan_root").startswith(f"{scan_root}/"))
+    return scans.where(text_search(query, "repository", "scan_root")) if query else scans
 
 
 def scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = filter_scans(order_scans(spark, sf_dir), mode="deep")
+    """Scans by all filters, with how many findings each has; a scan's root and repository are made of its target."""
+    rows = order_scans(spark, sf_dir).withColumn("repository", F.concat(F.lit("Repo-"), F.col("target_id") % 3)).withColumn("scan_root", F.concat(F.lit("/work/"), F.col("target_id") % 2, F.lit("/src")))
+    scans = filter_scans(rows, mode="deep", repository="Repo-1", scan_root="/work/1", query=" repo-1 ")
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scan_id")).agg(F.count("*").alias("n"))
     return scans.join(counts, "scan_id", "left").select("scan_id", "target_id", "status", "started_at", F.coalesce("n", F.lit(0)).alias("finding_count"))
 
 
+def findings_with_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences for which a location with such a path exists."""
+    paths = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", "p_partkey").alias("path")).where(text_search("/promo", "path"))
+    occ = views.occurrences(spark, sf_dir)
+    return occ.join(paths, occ["part"] == paths["p_partkey"], "left_semi").select("scan_id", "finding_id", "occurrence_id")
+
+
 def workspace_scans_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = filter_scans(order_scans(spark, sf_dir), status="running")
     found = page(scans, [F.desc("started_at"), "scan_id"], 20, 20)
@@ -192,7 +203,7 @@ def stale_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("stale", F.col("last_ts") < F.expr("TIMESTAMP_NTZ '2024-01-29 12:00:00'"))
 
 
-QUERIES = {f.__name__: f for f in (active_findings, active_findings_page, repository_rollup, scan_list, workspace_scans_page, scan_findings_search, severity_counts, severity_mix_string, recent_targets, earliest_running, management_updated_at, feedback_top50, latest_attempt, unmatched_pairs, linked_occurrences, linked_both_directions, stale_running)}
+QUERIES = {f.__name__: f for f in (active_findings, active_findings_page, repository_rollup, scan_list, findings_with_path, workspace_scans_page, scan_findings_search, severity_counts, severity_mix_string, recent_targets, earliest_running, management_updated_at, feedback_top50, latest_attempt, unmatched_pairs, linked_occurrences, linked_both_directions, stale_running)}
 ORACLES = {
     "active_findings": f"{ACTIVE_SQL} SELECT * FROM act",
     "active_findings_page": f"""{ACTIVE_SQL}, hit AS (SELECT act.*, row_number() OVER (ORDER BY CASE WHEN status = 'open' THEN 0 ELSE 1 END, rank, target_id, finding_id) AS n, count(*) OVER () AS c
@@ -201,7 +212,8 @@ ORACLES = {
     "repository_rollup": f"""{ACTIVE_SQL} SELECT r.target_id, s_name AS name, r.scan_count, r.latest_scan, coalesce(o.n, 0) AS open_findings
       FROM (SELECT target_id, count(*) AS scan_count, max(scan_id) AS latest_scan FROM scans GROUP BY 1) r JOIN supplier ON s_suppkey = r.target_id
       LEFT JOIN (SELECT target_id, count(*) AS n FROM act WHERE status = 'open' GROUP BY 1) o ON o.target_id = r.target_id""",
-    "scan_list": f"WITH {ORDER_SQL} SELECT scan_id, target_id, status, started_at, (SELECT count(*) FROM lineitem WHERE l_orderkey = scan_id) AS finding_count FROM scan WHERE mode = 'deep'",
+    "scan_list": f"WITH {ORDER_SQL} SELECT scan_id, target_id, status, started_at, (SELECT count(*) FROM lineitem WHERE l_orderkey = scan_id) AS finding_count FROM scan WHERE mode = 'deep' AND target_id % 3 = 1 AND target_id % 2 = 1",
+    "findings_with_path": f"WITH {views.SQL} SELECT scan_id, finding_id, occurrence_id FROM occ WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = occ.part AND contains(lower(p_brand || '/' || p_type || '/' || p_partkey), '/promo'))",
     "workspace_scans_page": f"""WITH {ORDER_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, scan_id) AS n, count(*) OVER () AS total FROM scan WHERE status = 'running')
       SELECT scan_id, target_id, started_at, total > 40 AS has_more, total FROM r WHERE n BETWEEN 21 AND 40""",
     "scan_findings_search": f"WITH {views.SQL} SELECT scan_id, finding_id, path, coalesce(triage, 'open') AS status FROM loc WHERE contains(lower(path), 'promo') AND coalesce(triage, 'open') = 'open'",
