@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, embed, langid, mixing, pst, sharding, simhash, substring, toxicity, warc
+from quarry.llm import decontam, embed, idpack, langid, mixing, pst, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_suffix_tree": pst.op9_suffix_tree,
     "op10_sharding": sharding.op10_sharding,
+    "op11_idpack": idpack.op11_idpack,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
