@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MEMO = 1_000_000
 #: Text bytes that are encoded at a time, about; a longer text stands alone.
 SLICE_BYTES = 4 << 20
-#: A character that is certainly no white space (nor the mark of a space in pieces), and a space.
-_EDGE = r"([^\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2581}\x{3000}\x{feff}]) "
+#: White space, and all that a tokenizer may take for it (U+2581 is the mark of a space in pieces).
+_BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2581}\x{3000}\x{feff}"
+#: Texts in which a space is first, last or beside another blank; the others are cut at every space.
+_UNEVEN = rf"^ |[{_BLANK}] | $"
+_EDGE = re.compile("([^" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _BLANK) + "]) ")
 _MARK = "\0"
 
 
@@ -44,59 +48,96 @@ def file_bytes(path: str) -> bytes:
 
 
 class Encoder:
-    """Token ids of texts; encode gives the ids of each of a list of texts, split says whether stretches may stand alone."""
+    """Token ids of texts.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: bool):
-        self.encode, self.split = encode, split
+    encode gives the ids of each of a list of texts, split says whether stretches may stand alone,
+    and led whether a space is put before each text.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: bool, led: bool):
+        self.encode, self.split, self.led = encode, split, led
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        found = self.encode(new)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-
-    def stretches(self, texts: pa.Array) -> pa.Array:
-        """Lists of stretches; a text that holds U+0000 is one stretch."""
+    def _rows(self, stretches: list[str]) -> np.ndarray:
+        """Where the memory has the stretches; new ones are encoded first."""
+        new = [w for w in dict.fromkeys(stretches) if w not in self.memo]
+        if new:
+            found = self.encode(new)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        return np.fromiter((self.memo[w] for w in stretches), np.int64, len(stretches))
+
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """Lists of stretches; all but a text's first are without the space that leads them."""
         if not self.split:
             return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int32()), texts)
-        odd = pc.match_substring(texts, _MARK)
-        if pc.any(odd).as_py():
-            marked = [t if o else re.sub(_PLAIN_EDGE, r"\1" + _MARK + " ", t) for t, o in zip(texts.to_pylist(), odd.to_pylist())]
-            lists = [[t] if o else t.split(_MARK) for t, o in zip(marked, odd.to_pylist())]
-            return pa.array(lists, pa.list_(pa.string()))
-        return pc.split_pattern(pc.replace_substring_regex(texts, _EDGE, r"\1" + _MARK + " "), _MARK)
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        odd = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        even = pc.split_pattern(texts.filter(pc.invert(uneven)), " ")
+        if not len(odd):
+            return even
+        # a text that holds the mark is one stretch
+        lists = [[t] if _MARK in t else _EDGE.sub(rf"\1{_MARK}", t).split(_MARK) for t in texts.take(pa.array(odd)).to_pylist()]
+        place = np.argsort(np.concatenate([np.delete(np.arange(len(texts)), odd), odd]), kind="stable")
+        return pa.concat_arrays([even, pa.array(lists, even.type)]).take(pa.array(place))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, none of which is null: text i has ids[offsets[i]:offsets[i + 1]]."""
-        lists = self.stretches(texts)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        lists = self.pieces(texts)
+        offsets = lists.offsets.to_numpy()
+        offsets = (offsets - offsets[0]).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.memo) > MEMO:
             self._forget()
-        new = [w for w in words if w not in self.memo]
-        if new:
-            self._learn(new)
-        at = np.fromiter((self.memo[w] for w in words), np.int64, len(words))
-        at = at[coded.indices.to_numpy(zero_copy_only=False)] if len(at) else at
+        first = codes[offsets[:-1]]
+        if self.led:
+            at = self._rows([f" {w}" for w in words])[codes]
+        else:
+            inner = np.delete(codes, offsets[:-1])
+            used = np.zeros(len(words), bool)
+            used[inner] = True
+            rows = np.zeros(len(words), np.int64)
+            rows[used] = self._rows([f" {words[i]}" for i in np.flatnonzero(used).tolist()])
+            at = rows[codes]
+            at[offsets[:-1]] = self._rows([words[i] for i in first.tolist()])
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
-        offsets = lists.offsets.to_numpy()
-        return ids, ends[offsets - offsets[0]]
-
-
-_PLAIN_EDGE = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _EDGE)
+        return self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])], ends[offsets]
+
+
+def _joined(encode: Callable[[list[str]], list[list[int]]], length: np.ndarray, texts: list[str]) -> list[list[int]]:
+    """The ids of each text, from one pass over those that are whole stretches, laid end to end.
+
+    length is the bytes of each id's entry; where tokens do not end with the texts, each text is
+    encoded alone.
+    """
+    whole = [t for t in texts if t[:1] == " " and _EDGE.match(t[-1:] + " ")]
+    if len(whole) < 2:
+        return encode(texts)
+    (ids,) = encode(["".join(whole)])
+    ends, stops = np.cumsum(length[ids]), np.cumsum([len(t.encode()) for t in whole])
+    last = np.searchsorted(ends, stops)
+    if last[-1] >= len(ends) or not np.array_equal(ends[last], stops):
+        return encode(texts)
+    cut = [0, *(last + 1).tolist()]
+    found = {t: ids[a:b] for t, a, b in zip(whole, cut, cut[1:])}
+    alone = [t for t in texts if t not in found]
+    found.update(zip(alone, encode(alone)))
+    return [found[t] for t in texts]
 
 
 @lru_cache(4)  # a worker's later tasks know the stretches of its earlier ones
-def byte_bpe(content: bytes, plain_specials: bool = False) -> Encoder:
+def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False) -> Encoder:
     """The encoder of a tokenizers file; with plain_specials the strings of special tokens are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -108,12 +149,15 @@ def byte_bpe(content: bytes, plain_specials: bool = False) -> Encoder:
     added = any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in told.get("added_tokens") or [])
     model = Tokenizer.from_str(content.decode())
     model.encode_special_tokens = plain_specials
-    return Encoder(lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)], bool(own and byte_level and not added))
+    length = np.array([len(e) for e in byte_bpe_entries(content)])
+    each = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    split = bool(own and byte_level and not added)
+    return Encoder((lambda texts: _joined(each, length, texts)) if split else each, split, led)
 
 
 @lru_cache(4)
 def piece_bpe(content: bytes) -> Encoder:
-    """The encoder of a sentencepiece file, for texts that are led by a space which the model itself would add."""
+    """The encoder of a sentencepiece file; the space before each text is the one that the model adds."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=content)
@@ -125,7 +169,7 @@ def piece_bpe(content: bytes) -> Encoder:
         found = model.encode([t[1:] for t in texts], num_threads=1)
         return [lone if t == " " else ids for t, ids in zip(texts, found)]
 
-    return Encoder(encode, kept and not any(re.search("[^▁]▁", p) for p in pieces))
+    return Encoder(encode, kept and not any(re.search("[^▁]▁", p) for p in pieces), True)
 
 
 def byte_bpe_entries(content: bytes) -> list[bytes]:

@@ -23,13 +23,23 @@ def model():
 
 
 def test_stretches_give_the_tokens_of_whole_texts():
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
     byte, piece = (tokens.file_bytes(tokens.public_path(n)) for n in (tokens.BYTE_BPE, tokens.PIECE_BPE))
-    for encode, led in ((tokens.byte_bpe(byte), ""), (tokens.byte_bpe(byte, True), " "), (tokens.piece_bpe(piece), " ")):
+    whole, plain = Tokenizer.from_str(byte.decode()), Tokenizer.from_str(byte.decode())
+    plain.encode_special_tokens = True
+    pieces = SentencePieceProcessor(model_proto=piece)
+    for encode, told in (
+        (tokens.byte_bpe(byte), lambda t: whole.encode(t, add_special_tokens=False).ids),
+        (tokens.byte_bpe(byte, True, True), lambda t: plain.encode(f" {t}", add_special_tokens=False).ids),
+        (tokens.piece_bpe(piece), lambda t: pieces.encode(t) if t else encode.encode([" "])[0]),
+    ):
         assert encode.split
-        texts = [led + t for t in TEXTS]
-        for lo in range(0, len(texts), 100):
-            ids, at = encode(pa.array(texts[lo : lo + 100], pa.string()))
-            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == encode.encode(texts[lo : lo + 100])
+        for lo in range(0, len(TEXTS), 100):
+            ids, at = encode(pa.array(TEXTS[lo : lo + 100], pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [told(t) for t in TEXTS[lo : lo + 100]]
+        assert encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_forgetting_changes_nothing(monkeypatch):
