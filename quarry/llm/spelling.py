@@ -3,17 +3,16 @@
 A word's mask holds, for each letter, whether the word has it an odd number of times; one edit
 flips at most two bits. The bits are split into three bands, so two words one edit apart agree in
 a band at least, and words that agree in a band and differ in length by at most one are verified.
-A band that more than `GROUP_WORDS` words of a length share is split again: of the bits outside
-it, of which two at most differ, three new bands are made, one of which agrees. Words that still
-crowd after `LEVELS` splits (masks tell little of words of few letters) are joined on the words
-that are left when a code point is deleted, which is as exact and linear in their number.
+The more words there are, the more often the bits outside a band, of which two at most differ, are
+split into three bands again, one of which agrees: a key is a band of bands, and a pair is taken
+at the first key in which it agrees. Words that crowd in a key all the same (masks tell little of
+words of few letters) are joined on the words that are left when a code point is deleted, which
+is as exact, and linear in their number.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
@@ -22,9 +21,10 @@ from quarry.plans.session import materialize
 #: Runs of letters, and the mask's bits: a to z, then U+00C0 to U+00FF in turn on those that are left.
 LETTERS = r"[A-Za-z\u00C0-\u00FF]+"
 BITS = 60
-#: Words of a band and a length that are compared with each other at most.
-GROUP_WORDS = 400
-LEVELS = 2
+#: Words of a key and a length that are compared with each other at most.
+GROUP_WORDS = 1000
+#: More words than these split bands once and twice.
+SPLIT_WORDS = (20_000, 4_000_000)
 #: Rules of a word: code points and occurrences at least, times that its form is as frequent at least.
 LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 5, 3, 2
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,84 +59,55 @@ def parity_mask(word: Column) -> Column:
     return F.aggregate(letters, F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))))
 
 
-def _bands(bits: list[int]) -> list[list[int]]:
-    """Three bands of the bits, dealt in turn."""
-    return [bits[i::3] for i in range(3)]
-
-
-def _number(bits: list[int]) -> int:
-    return sum(1 << b for b in bits)
-
-
-def _levels(levels: int) -> list[dict[int, tuple[list[int], int]]]:
-    """For every level, the groups by number: (bits that agree, number of the group that was split)."""
-    out = [{i: (band, -1) for i, band in enumerate(_bands(list(range(BITS))))}]
-    for _ in range(levels):
-        groups = {}
-        for above, (bits, _) in out[-1].items():
-            for i, band in enumerate(_bands([b for b in range(BITS) if b not in bits])):
-                groups[3 * above + i] = (sorted(bits + band), above)
-        out.append(groups)
-    return out
+def band_keys(levels: int, bits: tuple[int, ...] = tuple(range(BITS))) -> list[int]:
+    """Masks of bands, split levels times; whichever two bits differ, two words agree in one of them."""
+    bands = [bits[i::3] for i in range(3)]
+    below = lambda i: band_keys(levels - 1, tuple(b for b in bits if b not in bands[i])) if levels else [0]
+    return [sum(1 << b for b in bands[i]) | more for i in range(3) for more in below(i)]
 
 
-def _one_edit(a: str, b: str) -> Column:
-    return F.levenshtein(F.col(f"{a}.word"), F.col(f"{b}.word"), 1) == 1
-
-
-def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows with equal keys, lengths at most one apart, that are one edit apart; the shorter or lesser is a."""
-    a, b = rows.alias("a"), rows.select("*", F.explode(F.array("length", F.col("length") - 1)).alias("meets")).alias("b")
-    same = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.length") == F.col("b.meets"))
-    order = (F.col("a.length") < F.col("b.length")) | (F.col("a.word") < F.col("b.word"))
-    close = F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))) <= 2
-    pairs = a.join(b, same & order & close & _one_edit("a", "b"))
-    return pairs.select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
-
-
-def _by_deletion(rows: DataFrame) -> DataFrame:
-    """Pairs of rows of equal group and value that are one edit apart, by the words that deletions leave."""
-    # a word itself stands for the shorter of two words, a deletion for the longer one and for two of equal length
-    at = F.explode(F.sequence(F.lit(0), F.col("length")))
-    left = F.when(F.col("at") == 0, F.col("word")).otherwise(F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, F.col("length"))))
-    keyed = rows.withColumn("at", at).withColumn("left", left)
-    keys = ["grp", "value", "left"]
-    # a place at which both words had another letter, or a whole word that is another's deletion
-    longer = keyed.where("at > 0").dropDuplicates([*keys, "word"]).alias("b")
-    whole = keyed.where("at = 0").alias("a")
-    shorter = whole.join(longer, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    first, second = keyed.where("at > 0").alias("a"), keyed.where("at > 0").alias("b")
-    replaced = first.join(second, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "at"]] + [F.col("a.word") < F.col("b.word")])
+def _by_deletion(words: DataFrame) -> DataFrame:
+    """Pairs of words (word, n) one edit apart, by the words that deletions leave."""
+    at = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")
+    left = F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, F.length("word"))).alias("left")
+    cut = words.select("word", "n", at).select("word", "n", "at", left)
     names = [F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")]
-    return shorter.select(*names).unionAll(replaced.select(*names))
+    # a word of the other length, or the same place of both words
+    longer = words.alias("a").join(cut.dropDuplicates(["word", "left"]).alias("b"), F.col("a.word") == F.col("b.left"))
+    place = (F.col("a.left") == F.col("b.left")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.word") < F.col("b.word"))
+    return longer.select(*names).unionAll(cut.alias("a").join(cut.alias("b"), place).select(*names))
 
 
-def near_words(words: DataFrame, group_words: int = GROUP_WORDS, levels: int = LEVELS) -> DataFrame:
-    """(word, n, other, other_n): every two words of words (word, n) one edit apart, each pair once.
+def near_words(words: DataFrame, group_words: int = GROUP_WORDS, levels: int | None = None) -> DataFrame:
+    """(word, n, other, other_n): for every word of words (word, n), all words one edit apart.
 
-    An edit inserts, deletes or replaces one code point. Words are distinct and not null; an empty
-    table gives no pairs. No pair is lost, however many words share letters.
+    An edit inserts, deletes or replaces one code point, so a pair comes in both directions. Words
+    are distinct and not null; an empty table gives no pairs. No pair is lost, however many words
+    share letters. levels is how often bands are split (None: as the number of words asks).
     """
-    plan = _levels(levels)
+    if levels is None:
+        n = words.count()
+        levels = sum(n > most for most in SPLIT_WORDS)
+    masks = band_keys(levels)
+    keys = F.posexplode(F.array(*[F.col("mask").bitwiseAND(F.lit(m)) for m in masks])).alias("key", "value")
     rows = words.select("word", "n", F.length("word").alias("length"), parity_mask(F.col("word")).alias("mask"))
-    band = lambda i, bits: F.struct(F.lit(i).alias("grp"), F.col("mask").bitwiseAND(F.lit(_number(bits))).alias("value"))
-    open_rows = rows.select("*", F.inline(F.array(*[band(i, bits) for i, (bits, _) in plan[0].items()])))
-    found = []
-    for below in [*plan[1:], None]:
-        sizes = open_rows.groupBy("grp", "value", "length").agg(F.count("*").alias("size"))
-        sizes = sizes.groupBy("grp", "value").agg(F.max("size").alias("size"))
-        sized = open_rows.join(sizes, ["grp", "value"])
-        found.append(_met(sized.where(F.col("size") <= group_words), ["grp", "value"]))
-        crowded = sized.where(F.col("size") > group_words).drop("size")
-        if below is None:
-            found.append(_by_deletion(crowded))
-            break
-        # the bands of a group are those whose number is three times the group's and up
-        parts = F.create_map(*[x for g in sorted({above for _, above in below.values()}) for x in (F.lit(g), F.array(*[F.struct(F.lit(i).alias("grp"), F.lit(_number(bits)).alias("bits")) for i, (bits, above) in below.items() if above == g]))])
-        split = crowded.withColumn("part", F.explode(parts[F.col("grp")]))
-        open_rows = split.select("word", "n", "length", "mask", F.col("part.grp").alias("grp"), F.col("mask").bitwiseAND(F.col("part.bits")).alias("value"))
-        open_rows = materialize(open_rows)
-    return reduce(DataFrame.unionAll, found).dropDuplicates(["word", "other"])
+    held = rows.select("*", keys).repartition("key", "value")
+    alike = Window.partitionBy("key", "value")
+    sized = held.withColumn("same", F.count("*").over(Window.partitionBy("key", "value", "length")))
+    sized = sized.withColumn("most", F.max("same").over(alike)).drop("same")
+    light, crowded = sized.where(F.col("most") <= group_words), sized.where(F.col("most") > group_words)
+    a = light.select("key", "value", F.struct("word", "n", "mask").alias("a"), F.col("length").alias("meets"))
+    b = light.select("key", "value", F.struct("word", "n", "mask").alias("b"), "length", F.explode(F.array("length", F.col("length") - 1)).alias("meets"))
+    met = a.join(b, ["key", "value", "meets"])
+    flips = F.col("a.mask").bitwiseXOR(F.col("b.mask"))
+    first = F.coalesce(*[F.when(flips.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)])
+    order = (F.col("meets") < F.col("length")) | (F.col("a.word") < F.col("b.word"))
+    met = met.where((F.bit_count(flips) <= 2) & order & (first == F.col("key")) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1))
+    names = [F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")]
+    pairs = met.select(*names).unionAll(_by_deletion(crowded.groupBy("word").agg(F.first("n").alias("n"))))
+    turned = F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    both = pairs.select(F.inline(F.array(F.struct("word", "n", "other", "other_n"), turned)))
+    return both.repartition("word").dropDuplicates(["word", "other"])
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -161,10 +132,8 @@ def variants(words: DataFrame, times: int = FORM_TIMES, **how: int) -> DataFrame
     points among equals) if it is at least times as frequent as the word, else null; the root is the
     end of the chain of forms, the word itself if it has none.
     """
-    pairs = near_words(words, **how)
-    both = pairs.unionAll(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("form"))).alias("best")
-    near = both.groupBy("word").agg(F.count("*").alias("n_near"), best)
+    near = near_words(words, **how).groupBy("word").agg(F.count("*").alias("n_near"), best)
     told = words.join(near, "word", "left")
     right = -F.col("best.m") >= times * F.col("n")
     told = materialize(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(right, F.col("best.form")).alias("form"), F.when(right, -F.col("best.m")).alias("form_n")))
