@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontam, embed, idpack, langid, mixing, pst, sharding, simhash, spelling, substring, toxicity, warc
+from quarry.llm import align, decontam, embed, idpack, langid, mixing, pst, sharding, simhash, spelling, substring, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_tree": pst.op9_suffix_tree,
     "op10_sharding": sharding.op10_sharding,
     "op11_idpack": idpack.op11_idpack,
+    "op12_align": align.op12_align,
     "op13_spelling": spelling.op13_spelling,
 }
 ORACLES: dict[str, str] = {
