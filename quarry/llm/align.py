@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,18 @@ def cuts_of(enc: DataFrame, sizes: list[DataFrame]) -> DataFrame:
     return met.withColumn("grp", F.row_number().over(Window.partitionBy("row").orderBy("end"))).select("row", "grp", "a", "b")
 
 
+@contextmanager
+def joins_keep_rows_together(spark: SparkSession) -> Iterator[None]:
+    """While it holds, joins on row and end of sides spread by row need no shuffle of the tokens."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Fold:
     """Folds the groups of documents to texts and distinct linked pairs."""
 
@@ -213,7 +226,8 @@ def align(docs: DataFrame, path: str, byte_bpe: str | None = None, piece_bpe: st
     enc = encoded(docs, byte_bpe, piece_bpe).repartition(parts, "row")
     sizes = [spark.createDataFrame([(i - SHIFT, len(e)) for i, e in enumerate(known)], "id smallint, size int") for known in entries]
     cuts = cuts_of(enc, sizes).groupBy("row").agg(F.collect_list(F.struct("grp", "a", "b")).alias("cuts"))
-    folded(enc.join(cuts, "row", "left"), most).write.parquet(path)
+    with joins_keep_rows_together(spark):
+        folded(enc.join(cuts, "row", "left"), most).write.parquet(path)
     return spark.read.parquet(path)
 
 
