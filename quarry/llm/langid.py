@@ -3,9 +3,8 @@
 The vocabulary is a fixed public one (a sentencepiece model, read on the driver; its path is a
 parameter). Each language has a probability for every piece, learned by expectation
 maximisation. A word's likelihood sums over all of its segmentations into pieces (forward
-algorithm over its UTF-8 bytes, rescaled on long words); pieces never cross white space, so a
-text's likelihood is the product over its words. Training alone cuts words of more than `SHORT`
-bytes, in which it looks for pieces stretch by stretch.
+algorithm over its UTF-8 bytes, rescaled every `STRIDE` bytes, so that no word is too long or too
+strange); pieces never cross white space, so a text's likelihood is the product over its words.
 """
 
 from __future__ import annotations
@@ -21,8 +20,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of more bytes, their space included, are scored with rescaling, which is slower.
-SHORT = 64
+#: Bytes after which likelihoods are rescaled; a byte is at least about FLOOR likely, so none is lost in between.
+STRIDE = 16
+#: Words that are summed at a time.
+WORDS = 4096
 #: Training documents of each language, about; they are picked by a hash of doc_id.
 TRAIN_DOCS = 1500
 #: Labels that are learned at most; more are an error.
@@ -87,28 +88,38 @@ class Lattice:
         return out
 
     @staticmethod
-    def laid(words: list[bytes], cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes, offset, length, word) of the words, each led by a space; with cut in stretches of SHORT bytes at most."""
+    def laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, offset, length) of the words, each led by a space."""
         joined = np.frombuffer(b" " + b" ".join(words), np.uint8)
         length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begin = np.cumsum(length) - length
-        if not cut:
-            return joined, begin, length, np.arange(len(words))
-        count = -(-length // SHORT)
-        word = np.repeat(np.arange(len(words)), count)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        return joined, begin[word] + nth * SHORT, np.minimum(length[word] - nth * SHORT, SHORT), word
-
-    def forward(self, ids: np.ndarray, at: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
-        """alpha[e]: the summed likelihood of the first e bytes of words of n bytes, by language."""
-        alpha = np.zeros((n + 1, len(at), p.shape[1]))
-        alpha[0] = 1
-        for k, e, has, piece in self._steps(ids, at, n):
-            if len(has) == len(at):
-                alpha[e] += alpha[e - k] * p[piece]
-            else:
-                alpha[e, has] += alpha[e - k, has] * p[piece]
-        return alpha
+        return joined, np.cumsum(length) - length, length
+
+    def _filled(self, table: np.ndarray, steps: Iterator[tuple[int, int, np.ndarray, np.ndarray]], p: np.ndarray, forward: bool) -> np.ndarray:
+        """Fills alpha (forward) or beta by steps; gives the logarithms of the scales of its rows.
+
+        The rows that a piece may reach share one scale at any time.
+        """
+        n, log, last = len(table) - 1, np.zeros_like(table), None
+        for k, e, has, piece in steps:
+            to, source = (e, e - k) if forward else (e - k, e)
+            if to != last and last is not None:
+                self._rescale(table, log, last, n, forward)
+            last = to
+            table[to, has] += table[source, has] * p[piece]
+        if last is not None:
+            self._rescale(table, log, last, n, forward)
+        return log
+
+    def _rescale(self, table: np.ndarray, log: np.ndarray, row: int, n: int, forward: bool) -> None:
+        """After a row is whole: the next one takes its scale; every STRIDE rows the reachable ones are rescaled."""
+        if (row if forward else n - row) % STRIDE == 0:
+            near = slice(max(0, row + 1 - self.longest), row + 1) if forward else slice(row, row + self.longest)
+            most = table[near].max(axis=0)
+            table[near] /= most
+            log[near] += np.log(most)
+        after = row + 1 if forward else row - 1
+        if 0 <= after <= n:
+            log[after] = log[row]
 
     def _steps(self, ids: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(bytes, end, words, piece) of all pieces of words of n bytes, ends in order."""
@@ -119,10 +130,19 @@ class Lattice:
                 if len(has):
                     yield k, e, has, piece[has]
 
-    def long_loglik(self, ids: np.ndarray, at: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Log likelihoods of words of any length: the last columns of alpha alone are held, and rescaled."""
-        order = np.argsort(-length, kind="stable")
-        at, length, keep = at[order], length[order], self.longest + 1
+    def loglik(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
+        """Log likelihoods (word, language)."""
+        out = np.zeros((len(words), p.shape[1]))
+        order = np.argsort([-len(w) for w in words], kind="stable")
+        for lo in range(0, len(words), WORDS):
+            some = order[lo : lo + WORDS]
+            data, at, length = self.laid([words[i] for i in some.tolist()])
+            out[some] = self._logsum(self.ids(data), at, length, p)
+        return out
+
+    def _logsum(self, ids: np.ndarray, at: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log likelihoods of words, longest first: the last columns of alpha alone are held."""
+        keep = self.longest + 1
         ring, scale = np.zeros((keep, len(at), p.shape[1])), np.zeros((len(at), p.shape[1]))
         ring[0], out = 1, np.zeros((len(at), p.shape[1]))
         for e in range(1, int(length[0]) + 1):
@@ -131,49 +151,36 @@ class Lattice:
             for k in range(1, min(e, self.longest) + 1):
                 piece = ids[k - 1, at[:live] + e - k]
                 has = np.flatnonzero(piece < self.size)
-                if len(has):
+                if len(has) == live:
+                    now += ring[(e - k) % keep, :live] * p[piece]
+                elif len(has):
                     now[has] += ring[(e - k) % keep, has] * p[piece[has]]
             ring[e % keep, :live] = now
-            ended = np.flatnonzero(length[:live] == e)
+            ended = slice(int(np.searchsorted(-length, -e, side="left")), live)
             out[ended] = np.log(now[ended]) + scale[ended]
-            if e % 16 == 0:
+            if e % STRIDE == 0:
                 most = ring[:, :live].max(axis=0)
                 ring[:, :live] /= most
                 scale[:live] += np.log(most)
-        found = np.empty_like(out)
-        found[order] = out
-        return found
-
-    def loglik(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
-        """Log likelihoods (word, language)."""
-        out = np.zeros((len(words), p.shape[1]))
-        for lo, hi in slices(np.fromiter(map(len, words), np.int64, len(words)), 1 << 20):
-            data, at, length, word = self.laid(words[lo:hi])
-            ids = self.ids(data)
-            for n in np.unique(length[length <= SHORT]):
-                rows = np.flatnonzero(length == n)
-                out[lo + word[rows]] = np.log(self.forward(ids, at[rows], int(n), p)[-1])
-            rows = np.flatnonzero(length > SHORT)
-            if len(rows):
-                out[lo + word[rows]] = self.long_loglik(ids, at[rows], length[rows], p)
         return out
 
     def expected(self, words: list[bytes], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations, for one language."""
         out = np.zeros(self.size + 1)
         for lo, hi in slices(np.fromiter(map(len, words), np.int64, len(words)), 1 << 20):
-            data, at, length, word = self.laid(words[lo:hi], cut=True)
+            data, at, length = self.laid(words[lo:hi])
             ids = self.ids(data)
             for n in np.unique(length).tolist():
                 rows = np.flatnonzero(length == n)
-                alpha = self.forward(ids, at[rows], n, p[:, None])[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[n] = 1
-                scale = weight[lo + word[rows]] / alpha[n]
-                for k, e, has, piece in reversed(list(self._steps(ids, at[rows], n))):
-                    step = p[piece] * beta[e, has]
-                    beta[e - k, has] += step
-                    out += np.bincount(piece, alpha[e - k, has] * step * scale[has], self.size + 1)
+                steps = list(self._steps(ids, at[rows], n))
+                alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+                alpha[0] = beta[n] = 1
+                ahead = self._filled(alpha, iter(steps), p, True)
+                behind = self._filled(beta, sorted(steps, key=lambda s: s[0] - s[1]), p, False)
+                whole, share = np.log(alpha[n]) + ahead[n], weight[lo + rows]
+                for k, e, has, piece in steps:
+                    scale = np.exp(ahead[e - k, has] + behind[e, has] - whole[has]) * share[has]
+                    out += np.bincount(piece, alpha[e - k, has] * p[piece] * beta[e, has] * scale, self.size + 1)
         return out[: self.size]
 
 
@@ -257,9 +264,10 @@ def identify(docs: DataFrame, names: list[str], p: np.ndarray, pieces: list[byte
                     known = np.concatenate([known, lattice.loglik([w.encode() for w in new], probs)])
                 at = np.fromiter((memo[w] for w in words), np.int64, len(words))
                 each = known[at[coded.indices.to_numpy(zero_copy_only=False)]] if len(at) else known[:0]
-                ends = np.concatenate([np.zeros((1, len(langs))), np.cumsum(each, axis=0)])
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                total = ends[offsets[1:]] - ends[offsets[:-1]]
+                some, total = offsets[1:] > offsets[:-1], np.zeros((len(offsets) - 1, len(langs)))
+                if len(each):  # each text's own words alone are summed
+                    total[some] = np.add.reduceat(each, offsets[:-1][some], axis=0)
                 best = total.argmax(axis=1)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 letters = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
