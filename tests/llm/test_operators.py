@@ -335,10 +335,7 @@ def test_pipeline_against_its_operators(spark):
     out = {r.doc_id for r in cp.run(spark, SF).collect()}
     toxic = {r.doc_id for r in docs.join(cp.drop_toxic(spark, docs, SF), "doc_id", "left_anti").collect()}
     left = {i: t for i, t in left.items() if i not in toxic}
-    prints = {i: int.from_bytes(simhash.wide_fingerprint(t), "big") for i, t in left.items()}
-    ids, most = sorted(left), simhash.distance_at(0.8)
-    comp = components(len(ids), lambda a, b: (prints[ids[a]] ^ prints[ids[b]]).bit_count() <= most)
-    left = {i: left[i] for k, i in enumerate(ids) if comp[k] == k}
+    left = {i: left[i] for i in least_of_similar(left)}
     items = [(r.item_id, decontam.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = set()
     for i, t in left.items():
@@ -351,12 +348,32 @@ def test_pipeline_against_its_operators(spark):
     assert out == clean
 
 
+def least_of_similar(texts):
+    """Ids that are the least of their class; texts with a Jaccard similarity of 0.8 or more of their five-word shingles link."""
+    words, ids = {i: lower_words(t) for i, t in texts.items()}, sorted(texts)
+    sets = [{tuple(words[i][k : k + 5]) for k in range(max(1, len(words[i]) - 4))} if words[i] else set() for i in ids]
+    comp = components(len(ids), lambda a, b: sets[a] == sets[b] or bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    return {i for k, i in enumerate(ids) if comp[k] == k}
+
+
 def test_pipeline_near_duplicates_match_brute_force_jaccard(spark):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    words = {r.doc_id: lower_words(r.text) for r in docs.collect()}
-    ids = sorted(words)
-    sets = [{tuple(words[i][k : k + 5]) for k in range(max(1, len(words[i]) - 4))} if words[i] else set() for i in ids]
-    comp = components(len(ids), lambda a, b: sets[a] == sets[b] or bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
-    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == {i for k, i in enumerate(ids) if comp[k] == k}
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == least_of_similar({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(1, None), (None, "null id here"), (2, ""), (2, ""), (3, LONG), (4, LONG + " more"), (5, "Ünïcode \n"), (None, None), (6, "a b c d e f g h i j k l m n")]
+    df = spark.createDataFrame([(i, t, "en", None, 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, size int, _score int, shard int")
+    items = spark.createDataFrame([("x", "a b c d e f g h i j k l m"), (None, None)], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, made in (("full", df), ("none", df.limit(0))):
+        for table, part in (("documents", made), ("benchmark", items), ("labels", labels)):
+            part.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    got = [(r.doc_id, r.text) for r in cp.run(spark, f"{tmp_path}/full").collect()]
+    assert {i for i, _ in got} == {1, None, 3, 5}  # texts without words are alike; rows without an id stay
+    assert (6, rows[-1][1]) not in got and (4, LONG + " more") not in got and (None, "null id here") in got
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
