@@ -34,6 +34,8 @@ PART_BYTES, MAX_PARTS = 4 << 20, 200_000
 HOT_PAIRS = 200_000
 #: Tokens that are folded at a time, about, and the links of a group from which equal ids are counted first.
 FOLD_TOKENS, WIDE_GROUP = 1 << 20, 1024
+#: Stretches that a task remembers of either side, and documents that an Arrow batch holds at most.
+MEMO, BATCH_ROWS = 250_000, 500
 #: Ids travel as 16-bit numbers, from the least one up.
 SHIFT = 1 << 15
 
@@ -55,7 +57,7 @@ def encoded(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = shared.value
         sides = []
-        for encode, entries in ((tokens.byte_bpe(first, True, True), tokens.byte_bpe_entries(first)), (tokens.piece_bpe(second), tokens.piece_entries(second))):
+        for encode, entries in ((tokens.byte_bpe(first, True, True, MEMO), tokens.byte_bpe_entries(first)), (tokens.piece_bpe(second, MEMO), tokens.piece_entries(second))):
             size = np.array([len(e) for e in entries])
             sides.append((encode, np.frombuffer(b"".join(entries), np.uint8), np.cumsum(size) - size, size))
         for batch in batches:
@@ -99,15 +101,17 @@ def cuts_of(enc: DataFrame, sizes: list[DataFrame]) -> DataFrame:
 
 
 @contextmanager
-def joins_keep_rows_together(spark: SparkSession) -> Iterator[None]:
-    """While it holds, joins on row and end of sides spread by row need no shuffle of the tokens."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def documents_stay_together(spark: SparkSession) -> Iterator[None]:
+    """While it holds, joins on row and end of sides spread by row need no shuffle, and Arrow batches are small."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Fold:
@@ -226,7 +230,7 @@ def align(docs: DataFrame, path: str, byte_bpe: str | None = None, piece_bpe: st
     enc = encoded(docs, byte_bpe, piece_bpe).repartition(parts, "row")
     sizes = [spark.createDataFrame([(i - SHIFT, len(e)) for i, e in enumerate(known)], "id smallint, size int") for known in entries]
     cuts = cuts_of(enc, sizes).groupBy("row").agg(F.collect_list(F.struct("grp", "a", "b")).alias("cuts"))
-    with joins_keep_rows_together(spark):
+    with documents_stay_together(spark):
         folded(enc.join(cuts, "row", "left"), most).write.parquet(path)
     return spark.read.parquet(path)
 

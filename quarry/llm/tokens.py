@@ -51,11 +51,11 @@ class Encoder:
     """Token ids of texts.
 
     encode gives the ids of each of a list of texts, split says whether stretches may stand alone,
-    and led whether a space is put before each text.
+    led whether a space is put before each text, and memo how many stretches are remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: bool, led: bool):
-        self.encode, self.split, self.led = encode, split, led
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: bool, led: bool, memo: int | None = None):
+        self.encode, self.split, self.led, self.most = encode, split, led, memo
         self._forget()
 
     def _forget(self) -> None:
@@ -97,7 +97,7 @@ class Encoder:
         offsets = (offsets - offsets[0]).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > (self.most or MEMO):
             self._forget()
         first = codes[offsets[:-1]]
         if self.led:
@@ -137,7 +137,7 @@ def _joined(encode: Callable[[list[str]], list[list[int]]], length: np.ndarray,
 
 
 @lru_cache(4)  # a worker's later tasks know the stretches of its earlier ones
-def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False) -> Encoder:
+def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False, memo: int | None = None) -> Encoder:
     """The encoder of a tokenizers file; with plain_specials the strings of special tokens are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -152,11 +152,11 @@ def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False) ->
     length = np.array([len(e) for e in byte_bpe_entries(content)])
     each = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
     split = bool(own and byte_level and not added)
-    return Encoder((lambda texts: _joined(each, length, texts)) if split else each, split, led)
+    return Encoder((lambda texts: _joined(each, length, texts)) if split else each, split, led, memo)
 
 
 @lru_cache(4)
-def piece_bpe(content: bytes) -> Encoder:
+def piece_bpe(content: bytes, memo: int | None = None) -> Encoder:
     """The encoder of a sentencepiece file; the space before each text is the one that the model adds."""
     import sentencepiece
 
@@ -169,7 +169,7 @@ def piece_bpe(content: bytes) -> Encoder:
         found = model.encode([t[1:] for t in texts], num_threads=1)
         return [lone if t == " " else ids for t, ids in zip(texts, found)]
 
-    return Encoder(encode, kept and not any(re.search("[^▁]▁", p) for p in pieces), True)
+    return Encoder(encode, kept and not any(re.search("[^▁]▁", p) for p in pieces), True, memo)
 
 
 def byte_bpe_entries(content: bytes) -> list[bytes]:

@@ -93,7 +93,7 @@ def test_documents_are_shuffled_once_before_the_cuts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     enc = align.encoded(docs, tokens.public_path(tokens.BYTE_BPE), tokens.public_path(tokens.PIECE_BPE)).repartition(4, "row")
     sizes = [spark.createDataFrame([(0, 1)], "id smallint, size int")] * 2
-    with align.joins_keep_rows_together(spark):
+    with align.documents_stay_together(spark):
         cuts = align.cuts_of(enc, sizes).groupBy("row").count()
         plan = cuts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan  # two readers of the same shuffle
