@@ -34,8 +34,8 @@ PART_BYTES, MAX_PARTS = 4 << 20, 200_000
 HOT_PAIRS = 200_000
 #: Tokens that are folded at a time, about, and the links of a group from which equal ids are counted first.
 FOLD_TOKENS, WIDE_GROUP = 1 << 20, 1024
-#: Stretches that a task remembers of either side, and documents that an Arrow batch holds at most.
-MEMO, BATCH_ROWS = 250_000, 500
+#: Stretches that a task remembers, and documents that an Arrow batch holds at most.
+MEMO, BATCH_ROWS = 500_000, 500
 #: Ids travel as 16-bit numbers, from the least one up.
 SHIFT = 1 << 15
 
@@ -56,22 +56,20 @@ def encoded(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = shared.value
-        sides = []
-        for encode, entries in ((tokens.byte_bpe(first, True, True, MEMO), tokens.byte_bpe_entries(first)), (tokens.piece_bpe(second, MEMO), tokens.piece_entries(second))):
+        encode, sides = tokens.both(first, second, MEMO), []
+        for entries in (tokens.byte_bpe_entries(first), tokens.piece_entries(second)):
             size = np.array([len(e) for e in entries])
-            sides.append((encode, np.frombuffer(b"".join(entries), np.uint8), np.cumsum(size) - size, size))
+            sides.append((np.frombuffer(b"".join(entries), np.uint8), np.cumsum(size) - size, size))
         for batch in batches:
             for lo, hi in tokens.parts_of(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
                 texts = pc.fill_null(part.column(2), "")
                 plain = [f" {t}".encode() if t else b"" for t in texts.to_pylist()]
-                good, found = np.array([bool(t) for t in plain]), []
-                for encode, flat, start, size in sides:
-                    ids, at = encode(texts)
+                good, found = np.array([bool(t) for t in plain]), encode(texts)
+                for (flat, start, size), (ids, at) in zip(sides, found):
                     joined = _gather(flat, start[ids], size[ids]).tobytes()
                     ends = np.concatenate([[0], np.cumsum(size[ids])])[at].tolist()
                     good &= np.array([joined[a:b] == t for a, b, t in zip(ends, ends[1:], plain)], bool)
-                    found.append((ids, at))
                 keep = np.flatnonzero(good)
                 starts = np.stack([at[keep] + (0 if i == 0 else len(found[0][0])) for i, (_, at) in enumerate(found)], axis=1).ravel()
                 lengths = np.stack([np.diff(at)[keep] for _, at in found], axis=1).ravel()
@@ -82,7 +80,8 @@ def encoded(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["row", "doc_id", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, ids array<array<smallint>>")
+    # rows are never null, but a join asks; said here, all readers share one shuffle
+    return rows.mapInArrow(run, "row long, doc_id long, ids array<array<smallint>>").where("row IS NOT NULL")
 
 
 def cuts_of(enc: DataFrame, sizes: list[DataFrame]) -> DataFrame:

@@ -200,7 +200,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             writer = Writer(sink, bits)
             for batch in chain([first], batches):
                 for lo, hi in tokens.parts_of(batch.column(1)):
-                    ids, offsets = encode(batch.column(1).slice(lo, hi - lo))
+                    ((ids, offsets),) = encode(batch.column(1).slice(lo, hi - lo))
                     if end_id is not None:
                         ids = np.insert(ids, offsets[1:], end_id)
                         offsets = offsets + np.arange(len(offsets))

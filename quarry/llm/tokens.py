@@ -48,30 +48,31 @@ def file_bytes(path: str) -> bytes:
 
 
 class Encoder:
-    """Token ids of texts.
+    """Token ids of texts, by one tokenizer or several at a time.
 
-    encode gives the ids of each of a list of texts, split says whether stretches may stand alone,
-    led whether a space is put before each text, and memo how many stretches are remembered.
+    Each of sides gives the ids of each of a list of texts; split says whether stretches may stand
+    alone, led whether a space is put before each text, and memo how many stretches are remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: bool, led: bool, memo: int | None = None):
-        self.encode, self.split, self.led, self.most = encode, split, led, memo
+    def __init__(self, sides: list[Callable[[list[str]], list[list[int]]]], split: bool, led: bool, memo: int | None = None):
+        self.sides, self.split, self.led, self.most = sides, split, led, memo
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in self.sides]
 
     def _rows(self, stretches: list[str]) -> np.ndarray:
         """Where the memory has the stretches; new ones are encoded first."""
         new = [w for w in dict.fromkeys(stretches) if w not in self.memo]
         if new:
-            found = self.encode(new)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            for i, (encode, (flat, start, size)) in enumerate(zip(self.sides, self.known)):
+                found = encode(new)
+                more = np.fromiter(map(len, found), np.int32, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))
+                start = np.concatenate([start, len(flat) + np.cumsum(more, dtype=np.int64) - more])
+                self.known[i] = (np.concatenate([flat, ids]), start, np.concatenate([size, more]))
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         return np.fromiter((self.memo[w] for w in stretches), np.int64, len(stretches))
 
     def pieces(self, texts: pa.Array) -> pa.Array:
@@ -88,10 +89,10 @@ class Encoder:
         place = np.argsort(np.concatenate([np.delete(np.arange(len(texts)), odd), odd]), kind="stable")
         return pa.concat_arrays([even, pa.array(lists, even.type)]).take(pa.array(place))
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts, none of which is null: text i has ids[offsets[i]:offsets[i + 1]]."""
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets) of each side; no text is null: text i has ids[offsets[i]:offsets[i + 1]]."""
         if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            return [(np.zeros(0, np.uint32), np.zeros(1, np.int64)) for _ in self.sides]
         lists = self.pieces(texts)
         offsets = lists.offsets.to_numpy()
         offsets = (offsets - offsets[0]).astype(np.int64)
@@ -99,20 +100,20 @@ class Encoder:
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.memo) > (self.most or MEMO):
             self._forget()
-        first = codes[offsets[:-1]]
         if self.led:
             at = self._rows([f" {w}" for w in words])[codes]
         else:
-            inner = np.delete(codes, offsets[:-1])
             used = np.zeros(len(words), bool)
-            used[inner] = True
+            used[np.delete(codes, offsets[:-1])] = True
             rows = np.zeros(len(words), np.int64)
             rows[used] = self._rows([f" {words[i]}" for i in np.flatnonzero(used).tolist()])
             at = rows[codes]
-            at[offsets[:-1]] = self._rows([words[i] for i in first.tolist()])
-        size = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])], ends[offsets]
+            at[offsets[:-1]] = self._rows([words[i] for i in codes[offsets[:-1]].tolist()])
+        out = []
+        for flat, start, size in self.known:
+            ends = np.concatenate([[0], np.cumsum(size[at], dtype=np.int64)])
+            out.append((flat[np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])], ends[offsets]))
+        return out
 
 
 def _joined(encode: Callable[[list[str]], list[list[int]]], length: np.ndarray, texts: list[str]) -> list[list[int]]:
@@ -137,7 +138,7 @@ def _joined(encode: Callable[[list[str]], list[list[int]]], length: np.ndarray,
 
 
 @lru_cache(4)  # a worker's later tasks know the stretches of its earlier ones
-def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False, memo: int | None = None) -> Encoder:
+def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False) -> Encoder:
     """The encoder of a tokenizers file; with plain_specials the strings of special tokens are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -152,11 +153,11 @@ def byte_bpe(content: bytes, plain_specials: bool = False, led: bool = False, me
     length = np.array([len(e) for e in byte_bpe_entries(content)])
     each = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
     split = bool(own and byte_level and not added)
-    return Encoder((lambda texts: _joined(each, length, texts)) if split else each, split, led, memo)
+    return Encoder([(lambda texts: _joined(each, length, texts)) if split else each], split, led)
 
 
 @lru_cache(4)
-def piece_bpe(content: bytes, memo: int | None = None) -> Encoder:
+def piece_bpe(content: bytes) -> Encoder:
     """The encoder of a sentencepiece file; the space before each text is the one that the model adds."""
     import sentencepiece
 
@@ -169,7 +170,14 @@ def piece_bpe(content: bytes, memo: int | None = None) -> Encoder:
         found = model.encode([t[1:] for t in texts], num_threads=1)
         return [lone if t == " " else ids for t, ids in zip(texts, found)]
 
-    return Encoder(encode, kept and not any(re.search("[^▁]▁", p) for p in pieces), True, memo)
+    return Encoder([encode], kept and not any(re.search("[^▁]▁", p) for p in pieces), True)
+
+
+@lru_cache(1)
+def both(byte: bytes, piece: bytes, memo: int) -> Encoder:
+    """The encoder of a tokenizers and a sentencepiece file for the same led texts, special strings plain; stretches are cut and remembered once."""
+    sides = byte_bpe(byte, True, True), piece_bpe(piece)
+    return Encoder([e.sides[0] for e in sides], all(e.split for e in sides), True, memo)
 
 
 def byte_bpe_entries(content: bytes) -> list[bytes]:
