@@ -33,9 +33,9 @@ PART_BYTES, MAX_PARTS = 4 << 20, 200_000
 #: Id pairs whose counts are broadcast at most.
 HOT_PAIRS = 200_000
 #: Tokens that are folded at a time, about, and the links of a group from which equal ids are counted first.
-FOLD_TOKENS, WIDE_GROUP = 1 << 20, 1024
+FOLD_TOKENS, WIDE_GROUP = 1 << 17, 1024
 #: Stretches that a task remembers, and documents that an Arrow batch holds at most.
-MEMO, BATCH_ROWS = 500_000, 500
+MEMO, BATCH_ROWS = 400_000, 300
 #: Ids travel as 16-bit numbers, from the least one up.
 SHIFT = 1 << 15
 
