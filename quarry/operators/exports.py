@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import linehash
 from quarry.functions import text as T
+from quarry.functions.bounded import bounded_json
 from quarry.operators.compare import COMPARE_SQL, compare_status_by_target
 from quarry.plans import views
 from quarry.plans.views import table
 
-#: Fixed: block of characters and multiplier of the rolling line hash, and the columns of a findings file.
-HASH_BLOCK, HASH_BASE = 100, 37
+#: Fixed: the columns of a findings file.
 COLUMNS = ["occurrence_id", "scan_id", "finding_id", "title", "severity", "confidence", "status", "close_reason", "path", "start_line", "end_line", "cwe", "summary"]
 
 
@@ -29,18 +25,27 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A SARIF run a scan: rules in order, results by occurrence with their rule's place, level, location and fingerprint."""
+def sarif_documents(rows: DataFrame, tool: str = "quarry") -> DataFrame:
+    """(scan_id, results, document): a SARIF document a scan of findings (scan_id, target_id, finding_id, occurrence_id, rule, sev, title, path, start_line, end_line).
+
+    Rules are in order, results by occurrence with their rule's place, level, location and
+    fingerprint. The findings of a scan meet in one task, as its document is one value.
+    """
     level = F.when(F.col("sev") <= 1, "error").when(F.col("sev") == 2, "warning").otherwise("note")
-    rows = _rows(spark, sf_dir).withColumn("rule", F.concat(F.lit("rule-"), F.lpad((F.col("finding_id") % 7).cast("string"), 2, "0")))
     rules = rows.groupBy("scan_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
     rows = rows.join(rules, "scan_id")
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")).alias("region")).alias("physicalLocation"))
     result = F.to_json(F.struct(F.col("rule").alias("ruleId"), (F.array_position("rules", F.col("rule")) - 1).alias("ruleIndex"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.sha2(F.concat_ws("|", "target_id", "finding_id"), 256).alias("finding/v1")).alias("partialFingerprints")))
     agg = rows.groupBy("scan_id", "rules").agg(F.array_sort(F.collect_list(F.struct("occurrence_id", result.alias("j")))).alias("l"))
     ids = F.array_join(F.transform("rules", lambda r: F.concat(F.lit('{"id":"'), r, F.lit('"}'))), ",")
-    text = F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"quarry","rules":['), ids, F.lit(']}},"results":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}]}"))
-    return agg.select("scan_id", F.size("l").cast("long").alias("results"), F.sha2(text, 256).alias("digest"))
+    text = F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"'), F.lit(tool), F.lit('","rules":['), ids, F.lit(']}},"results":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}]}"))
+    return agg.select("scan_id", F.size("l").cast("long").alias("results"), text.alias("document"))
+
+
+def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the SARIF documents of all scans."""
+    rows = _rows(spark, sf_dir).withColumn("rule", F.concat(F.lit("rule-"), F.lpad((F.col("finding_id") % 7).cast("string"), 2, "0")))
+    return sarif_documents(rows).select("scan_id", "results", F.sha2("document", 256).alias("digest"))
 
 
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,34 +80,19 @@ def rendered_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("before_scan", "after_scan", shown.alias("shown")).agg(F.count("*").alias("n"))
 
 
-def rolling_hashes(text: str) -> list[str]:
-    """A hash of each line from its start on, over the next HASH_BLOCK characters that are no white space, and its number among equal ones."""
-    plain = np.array([ord(c) for c in text if not c.isspace()], dtype=np.uint64)
-    n = len(plain)
-    padded, h, power = np.concatenate([plain, np.zeros(HASH_BLOCK + 1, np.uint64)]), np.zeros(n + 1, np.uint64), np.uint64(1)
-    for k in reversed(range(HASH_BLOCK)):  # every start at once, modulo 2^64
-        h += padded[k : k + n + 1] * power
-        power *= np.uint64(HASH_BASE)
-    seen: dict[int, int] = {}
-    out, at = [], 0
-    for line in text.split("\n"):
-        value = int(h[min(at, n)])
-        seen[value] = seen.get(value, 0) + 1
-        out.append(f"{value:x}:{seen[value]}")
-        at += len(re.sub(r"\s", "", line))
-    return out
-
-
 def line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line, hash) of all lines of all texts."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    found = docs.select("doc_id", F.posexplode(linehash.line_hashes(F.coalesce("text", F.lit("")))).alias("line", "hash"))
+    return found.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "hash")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                found = rolling_hashes(text or "")
-                yield pd.DataFrame({"doc_id": doc_id, "line": np.arange(1, len(found) + 1), "hash": found})
 
-    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, line long, hash string")
+def bounded_details(spark: SparkSession, sf_dir: str, most: int = 160) -> DataFrame:
+    """Details of documents as JSON of at most so many bytes: what stays of the text, and the bytes of it all."""
+    details = F.to_json(F.struct("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")))
+    cut = table(spark, sf_dir, "documents").select("doc_id", bounded_json(details, most).alias("j"))
+    text = F.try_variant_get(F.try_parse_json("j"), "$.text", "string")
+    return cut.select("doc_id", F.length(text).cast("long").alias("kept"), F.octet_length("j").cast("long").alias("bytes"))
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +102,7 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("scan_id", "k.occurrence_id", "k.severity", F.col("k.place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (sarif_export, csv_export, canonical_json, markdown_reports, rendered_statuses, line_hashes, representatives)}
+QUERIES = {f.__name__: f for f in (sarif_export, csv_export, canonical_json, markdown_reports, rendered_statuses, line_hashes, bounded_details, representatives)}
 
 _X = """x AS (SELECT occurrence_id, scan_id, target_id, finding_id, 'finding ' || finding_id AS title, severity, sev, CASE WHEN line % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, coalesce(triage, 'open') AS status, coalesce(reason, '') AS close_reason, path, start_line, end_line,
   'CWE-' || finding_id % 7 AS cwe, CASE WHEN line % 3 = 0 THEN '=sum(' ELSE 'a "quoted", text (' END || part || ')' AS summary FROM loc JOIN names ON rank = sev)"""
@@ -126,6 +116,12 @@ ORACLES = {
     "canonical_json": f"""WITH {views.SQL}, {_X}, d AS (SELECT occurrence_id, '{{"cwe":"' || cwe || '","end_line":' || end_line || ',"path":"' || path || '","severity":"' || severity || '","start_line":' || start_line || ',"title":"' || title || '"}}' AS doc FROM x WHERE path IS NOT NULL) SELECT occurrence_id, doc, sha256(doc) AS digest FROM d""",
     "markdown_reports": f"""WITH {views.SQL}, {_X}, g AS (SELECT scan_id, sev, severity, count(*) AS n, '## ' || severity || chr(10) || string_agg('- ' || title || ' (' || coalesce(path, '') || ':' || start_line || ')', chr(10) ORDER BY finding_id) AS t FROM x GROUP BY 1, 2, 3)
       SELECT scan_id, CAST(sum(n) AS BIGINT) AS findings, md5('# Scan ' || scan_id || chr(10) || chr(10) || '| severity | findings |' || chr(10) || '|-|-|' || chr(10) || string_agg('| ' || severity || ' | ' || n || ' |', chr(10) ORDER BY sev) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY sev)) AS report FROM g GROUP BY 1""",
+    "bounded_details": """WITH d AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(text, '') AS t FROM documents
+      ), l AS (SELECT doc_id, t, 2 + 9 + length(CAST(doc_id AS VARCHAR)) + 1 + 9 + length(s) + 2 + 1 + 7 AS used FROM d
+      ), c AS (SELECT doc_id, used, i, CASE WHEN i = 0 THEN 2 WHEN substr(t, i, 1) IN ('"', chr(92), chr(8), chr(9), chr(10), chr(12), chr(13)) THEN 2 WHEN unicode(substr(t, i, 1)) BETWEEN 32 AND 126 THEN 1 WHEN unicode(substr(t, i, 1)) < 65536 THEN 6 ELSE 12 END AS cost
+        FROM l, range(0, 161) AS r(i) WHERE i <= length(t)
+      ), u AS (SELECT doc_id, used, i, sum(cost) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM c)
+      SELECT doc_id, max(i) AS kept, CAST(max(used + total) AS BIGINT) AS bytes FROM u WHERE used + total <= 160 GROUP BY doc_id""",
     "rendered_statuses": f"{COMPARE_SQL} SELECT before_scan, after_scan, CASE WHEN status = 'unknown' AND n_after = 0 THEN 'not_rescanned' ELSE status END AS shown, count(*) AS n FROM status GROUP BY 1, 2, 3",
     "representatives": f"WITH {views.SQL}, {_X}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY occurrence_id) AS place FROM x) SELECT scan_id, occurrence_id, severity, place FROM p QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY sev, place) = 1",
 }

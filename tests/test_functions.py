@@ -1,7 +1,9 @@
 """Column functions, readers and helpers in the cases that queries over the tables do not hold."""
 
 import itertools
+import json
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -76,20 +78,77 @@ def test_matchings_are_largest():
         assert len(got) == best and len({a for a, _ in got}) == len({b for _, b in got}) == best and set(got) <= set(edges)
 
 
-def test_line_hashes_match_their_definition():
-    from quarry.operators.exports import HASH_BASE, HASH_BLOCK, rolling_hashes
-
-    text = "a b\n\nccc" + "xyz\n" * 60 + "a b"
-    plain, at, told = "".join(text.split()), 0, []
-    for line in text.split("\n"):
-        part = plain[at : at + HASH_BLOCK]
-        h = 0
-        for k in range(HASH_BLOCK):
-            h = (h * HASH_BASE + (ord(part[k]) if k < len(part) else 0)) % 2**64
-        told.append(f"{h:x}")
-        at += len("".join(line.split()))
-    got = rolling_hashes(text)
-    assert [x.split(":")[0] for x in got] == told and len(set(got)) == len(got)
+def test_line_hashes_match_their_definition(spark):
+    """Each line by the plain definition: 100 units from its first on, by powers of 37, over a list of units and marks."""
+    from quarry.functions import linehash
+
+    rnd = random.Random(31)
+    texts = ["", "\n", "a b\nc\n", "a\r\nb\rc\r \nd", " \t\n\n", "x\U0001f600é\n" * 3, "abc" * 60 + "\n" + "q", "same\n" * 250]
+    texts += ["".join(rnd.choice("ab \t\r\n\U0001f600é") for _ in range(rnd.randrange(400))) for _ in range(50)]
+    for text in texts:
+        units, starts, fresh, data = [], [], True, text.encode("utf-16-be")
+        codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data), 2)]
+        for i, c in enumerate([*codes, 65535]):
+            if c in (32, 9) or (c == 10 and i and codes[i - 1] == 13):
+                continue
+            if fresh:
+                starts.append(len(units))
+            fresh = c in (10, 13)
+            units.append(10 if c == 13 else c)
+        told, seen = [], Counter()
+        for s in starts:
+            h = sum(u * 37 ** (99 - k) for k, u in enumerate(units[s : s + 100])) % 2**64
+            seen[h] += 1
+            told.append(f"{h:x}:{seen[h]}")
+        assert linehash.line_hashes_of(text) == told
+    assert linehash.line_hashes_of("\n" * 99_999) is not None and linehash.line_hashes_of("\n" * 100_000) is None
+    got = spark.createDataFrame([("a b\n",), (None,)], "t string").select(linehash.line_hashes(F.col("t")).alias("h")).collect()
+    assert [r.h and len(r.h) for r in got] == [2, None]
+
+
+def test_bounded_json_keeps_its_budget(spark):
+    from quarry.functions import bounded
+
+    rnd = random.Random(32)
+
+    def tree(depth):
+        kind = rnd.randrange(7 if depth < 6 else 4)
+        if kind < 4:
+            return ["te\"xt é" * rnd.randrange(9), rnd.randrange(10**6), None, True][kind]
+        size = rnd.randrange(30)
+        return [tree(depth + 1) for _ in range(size)] if kind == 4 else {"k" * rnd.randrange(4) + str(i): tree(depth + 1) for i in range(size)}
+
+    def levels(v):
+        parts = v.values() if isinstance(v, dict) else v if isinstance(v, list) else []
+        return 1 + max(map(levels, parts), default=0) if isinstance(v, (dict, list)) else 0
+
+    rows = [(json.dumps(tree(0)), most) for most in (1, 2, 5, 40, 300, 5000) for _ in range(30)]
+    for most in {m for _, m in rows}:
+        df = spark.createDataFrame([(t,) for t, m in rows if m == most] + [("{",), (None,)], "t string")
+        got = df.select("t", bounded.bounded_json(F.col("t"), most).alias("j")).collect()
+        assert [r.j for r in got[-2:]] == [None, None]
+        for r in got[:-2]:
+            whole, cut = json.loads(r.t), json.loads(r.j)
+            assert len(r.j) <= most + 8 and levels(cut) <= 4  # a last number, null or empty text
+            if len(json.dumps(whole, separators=(",", ":"))) <= most and levels(whole) <= 4 and "," not in r.t:
+                assert cut == whole
+
+
+def test_bounded_json_cases(spark):
+    from quarry.functions.bounded import bounded_json
+
+    cases = [
+        ('{"a":1,"b":"long text here"}', dict(most=16), '{"a":1,"b":"lo"}'),
+        ('{"a":"é\\n\\ud83d\\ude00x"}', dict(most=17), '{"a":"\\u00e9\\n"}'),
+        ("[1,[2,[3,[4,[5]]]]]", dict(most=99), "[1,[2,[3,[null,null]]]]"),
+        (json.dumps(list(range(30))), dict(most=999), json.dumps(list(range(20)), separators=(",", ":"))),
+        ('{"z":"zzzz","note":"abcdef","evidence":"0123456789"}', dict(most=99, reserved=[(("proof", "evidence"), 6)], priority=["note"]), '{"evidence":"0123","note":"abcdef","z":"zzzz"}'),
+        ('{"codeA":[{"code":"abcdef","n":1},2,3],"codeB":[]}', dict(most=99, snippets=[(("codeA", "codeB"), 2, "code", 5)]), '{"codeA":[{"code":"abc","n":1},2]}'),
+        ('"text"', dict(most=99, priority=["x"]), '"text"'),
+    ]
+    for given, how, told in cases:
+        (got,) = spark.createDataFrame([(given,)], "t string").select(bounded_json(F.col("t"), **how)).first()
+        assert got == told
 
 
 def test_readers_tell_what_is_wrong(spark, tmp_path):
