@@ -7,6 +7,7 @@ formats that they describe.
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,10 +48,37 @@ def glob(path: Column, pattern: str) -> Column:
     return path.rlike(rf"^{inner}\z")
 
 
+def glob_regex(pattern: Column) -> Column:
+    """The regular expression of a column of shell patterns: `*`, `?`, `[...]` and `[!...]`; a class of a falling range matches nothing."""
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?+\]?+[^\]]*+\]|."), 0)
+
+    def part(t: Column) -> Column:
+        inner = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), "^!", "")
+        body = F.concat(F.when(t.startswith("[!"), "^").otherwise(""), F.regexp_replace(inner, r"([\\\[\]&~|^])", r"\\$1"))
+        falling = F.exists(F.regexp_extract_all(inner, F.lit("(?s).-."), 0), lambda r: F.ascii(F.substring(r, 1, 1)) > F.ascii(F.substring(r, 3, 1)))
+        one = F.when(falling, F.lit("(?!)")).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+        plain = F.regexp_replace(t, r"([^A-Za-z0-9_\s/-])", r"\\$1")
+        return F.when(t == "*", "(?s:.*)").when(t == "?", "(?s:.)").when(F.length(t) > 1, one).otherwise(plain)
+
+    return F.concat(F.lit("^"), F.array_join(F.transform(tokens, part), ""), F.lit("\\z"))
+
+
+def within(path: Column, scope: Column) -> Column:
+    """Whether a path is a scope or lies below it; `.` is everything, and `./` before or `/` after a scope says nothing."""
+    bare = F.regexp_replace(F.regexp_replace(scope, r"^(?:\./+)+(?=.)", ""), r"(?<=.)/+(?:\./*)?\z", "")
+    return bare.isin(".", "", "./") | (path == bare) | path.startswith(F.concat(bare, F.lit("/")))
+
+
+def matches(path: Column, pattern: Column) -> Column:
+    """Whether a path lies within a pattern as a scope, or the shell pattern fits it whole."""
+    return within(path, pattern) | F.when(pattern.rlike(r"[*?\[]"), F.rlike(path, glob_regex(pattern))).otherwise(False)
+
+
 def cwe_ids(text: Column) -> Column:
-    """Distinct weakness ids of a text in numeric order, as `CWE-n`; numbers have one to seven digits."""
+    """Distinct weakness ids of a text in numeric order, as `CWE-n`; numbers have one to seven digits and are not 0."""
     found = F.regexp_extract_all(F.upper(text), F.lit(r"\bCWE(?:[-_: ]+)?([0-9]{1,7})\b"), 1)
-    return F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("long")))), lambda n: F.concat(F.lit("CWE-"), n.cast("string")))
+    numbers = F.filter(F.transform(found, lambda x: x.cast("long")), lambda n: n > 0)
+    return F.transform(F.array_sort(F.array_distinct(numbers)), lambda n: F.concat(F.lit("CWE-"), n.cast("string")))
 
 
 def is_slug(c: Column) -> Column:
@@ -98,10 +126,19 @@ def git_origin(remote: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), F.struct(host.alias("host"), path.alias("path")))
 
 
-def decoded_path(uri: Column) -> Column:
-    """The path of a URI reference without query and fragment, percent-decoded; a `+` stays."""
-    bare = F.regexp_replace(F.regexp_replace(uri, r"[?#].*\z", ""), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "")
-    return F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+def decoded_path(uri: Column, root: str = "/") -> Column:
+    """The path below root that a URI reference names, percent-decoded; a `+` stays.
+
+    `file:` URIs of this host and absolute paths must lie below root, others must not leave it; null
+    for any other scheme or host, a broken escape, a NUL, a drive or a `..`.
+    """
+    root = root.rstrip("/") + "/"
+    file = uri.rlike(r"^(?i:file):")
+    bare = F.regexp_replace(uri, r"[?#].*\z", "")
+    bare = F.when(file, F.regexp_extract(bare, r"^[A-Za-z]+:(?://(?i:localhost)?)?(/.*)\z", 1)).when(~bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
+    path = F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    below = F.when(path.startswith(root) & ~path.startswith("//"), F.substring(path, F.lit(len(root) + 1), F.length(path)))
+    return relative_path(F.when(file | path.startswith("/"), below).otherwise(path))
 
 
 def byte_prefix(text: Column, most: int) -> Column:
@@ -150,15 +187,21 @@ def excerpt(text: Column, first: Column, last: Column, around: int = 1) -> Colum
     return F.when(lo <= hi, F.array_join(F.transform(numbers, row), "\n")).otherwise("")
 
 
-def is_excluded(path: Column, folders: list[str], suffixes: list[str]) -> Column:
-    """Whether a path lies in a folder that is left out, or has such a suffix; folders below a `src/.../java` tree count as packages."""
+def is_excluded(path: Column, folders: list[str], suffixes: list[str], names: list[str] = (), packages: list[str] = (), roots: list[str] = ("src/main/java", "src/test/java")) -> Column:
+    """Whether a path has a part that is left out, or such a file name or suffix.
+
+    A part that may be a package name is excused if a source root lies above a folder of that name.
+    """
     parts = F.split(path, "/")
-    above = F.slice(parts, 1, F.size(parts) - 1)
-    ended = F.lit(False)
+    out = F.arrays_overlap(parts, F.array(*[F.lit(f) for f in folders if f not in packages])) if set(folders) - set(packages) else F.lit(False)
+    for f in packages:
+        below = rf"(?:^|/)(?:{'|'.join(re.escape(r) for r in roots)})/(?:[^/]+/)*{re.escape(f)}/"
+        out = out | (F.array_contains(parts, f) & ~path.rlike(below)) if f in folders else out
+    if names:
+        out = out | F.element_at(parts, -1).isin(*names)
     for s in suffixes:
-        ended = ended | path.endswith(s)
-    package = path.rlike(r"(?:^|/)src/(?:main|test)/java/")
-    return (F.arrays_overlap(above, F.array(*[F.lit(f) for f in folders])) & ~package) | ended
+        out = out | path.endswith(s)
+    return out
 
 
 def line_count(text: Column) -> Column:

@@ -136,7 +136,7 @@ ORACLES = {
     "fingerprints": f"WITH {_P}, f AS (SELECT p_partkey, {_SLUG} AS rule, '{T.ALGORITHM}:sha256:' || sha256('{T.ALGORITHM}' || chr(0) || p_brand || chr(0) || {_SLUG} || chr(0) || path || chr(0) || CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS fingerprint FROM p) SELECT *, 'csf_' || sha256(fingerprint)[1:24] AS finding_id FROM f",
     "candidates_merge": "SELECT l_suppkey % 10 AS rule, l_partkey AS part, string_agg(DISTINCT l_returnflag, chr(10) ORDER BY l_returnflag) AS summary, string_agg(DISTINCT l_linestatus, chr(10) ORDER BY l_linestatus) AS evidence, count(*) AS n, 'candidate-' || sha256((l_suppkey % 10) || '|' || l_partkey)[1:16] AS candidate_id FROM lineitem GROUP BY 1, 2",
     "strongest_duplicate": f"WITH {views.SQL} SELECT target_id, part, severity, seq, line, reports FROM (SELECT *, count(*) OVER (PARTITION BY target_id, part) AS reports FROM li QUALIFY row_number() OVER (PARTITION BY target_id, part ORDER BY sev, seq, line, flag) = 1) JOIN names ON rank = sev",
-    "cwe_extract": "SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct([p_size, 79, p_partkey % 100])), lambda n: 'CWE-' || n), ',') AS cwes FROM part",
+    "cwe_extract": "SELECT p_partkey, array_to_string(list_transform(list_sort(list_distinct(list_filter([p_size, 79, p_partkey % 100], lambda n: n > 0))), lambda n: 'CWE-' || n), ',') AS cwes FROM part",
     "severity_from_score": "WITH s AS (SELECT CASE WHEN l_quantity / 5 > 9 THEN 'critical' WHEN l_quantity / 5 >= 7 THEN 'high' WHEN l_quantity / 5 >= 4 THEN 'medium' WHEN l_quantity > 0 THEN 'low' ELSE 'unknown' END AS severity FROM lineitem) SELECT severity, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM s GROUP BY 1, 2",
     "sarif_rule_index": "SELECT p_partkey, p_brand || '/' || p_type AS rule, dense_rank() OVER (ORDER BY p_brand || '/' || p_type) - 1 AS rule_index FROM part",
     "export_rows": f"WITH {views.SQL} SELECT occurrence_id, severity, coalesce(triage, 'open') AS status, CASE WHEN line % 2 = 0 THEN ''' =' ELSE 'finding ' END || finding_id AS title, path, start_line, end_line FROM loc JOIN names ON rank = sev",

@@ -11,20 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.plans import views
 
 #: Fixed: all statuses, in the order of the summary.
 STATUSES = ["new", "persisting", "resolved", "reopened", "unknown"]
 
 
-def within(path: Column, scopes: Column) -> Column:
-    """Whether a path is one of the scopes or lies below one; `.` is everything."""
-    return F.coalesce(F.exists(scopes, lambda s: (s == ".") | (path == s) | path.startswith(F.concat(s, F.lit("/")))), F.lit(False))
-
-
 def covers(path: Column, complete: Column, includes: Column, excludes: Column, explicit: Column) -> Column:
-    """Whether a scan looked at a path: it was complete, includes it, and no exclusion holds it; unknown paths are not covered."""
-    return F.coalesce(complete & (path != "") & within(path, includes) & ~within(path, excludes) & ~within(path, explicit), F.lit(False))
+    """Whether a scan looked at a path: it was complete, includes it, and no exclusion holds it or fits it as a shell pattern.
+
+    Unknown paths are not covered, and a scan whose lists are not known covers nothing.
+    """
+    known = includes.isNotNull() & excludes.isNotNull() & explicit.isNotNull()
+    any_of = lambda rule, scopes: F.exists(scopes, lambda s: F.coalesce(rule(path, s), F.lit(False)))
+    return F.coalesce(known & complete & (path != "") & any_of(T.within, includes) & ~any_of(T.matches, excludes) & ~any_of(T.matches, explicit), F.lit(False))
 
 
 def classify(before: DataFrame, after: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def coverage(scans: DataFrame) -> DataFrame:
     brands = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.concat(F.lit("Brand#"), k))
     some = F.filter(brands, lambda b: F.length(b) == 8)
     includes = F.when((F.col("target_id") + F.col("yr")) % 4 == 0, some).otherwise(F.array(F.lit(".")))
-    explicit = F.array(F.concat(F.lit("Brand#"), (F.col("yr") % 25 + 1), F.lit("/ECONOMY")))
+    explicit = F.array(F.concat(F.lit("Brand#"), (F.col("yr") % 25 + 1), F.lit("/ECONOMY*ED ?*")))
     return scans.withColumn("includes", includes).withColumn("excludes", F.array("excluded")).withColumn("explicit", explicit)
 
 
@@ -129,7 +130,7 @@ def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPARE_SQL = f"""WITH {views.SQL}, cov AS (
-  SELECT *, CASE WHEN (target_id + yr) % 4 = 0 THEN list_transform(range(10, 26), lambda k: 'Brand#' || k) ELSE ['.'] END AS includes, [excluded] AS excludes, ['Brand#' || (yr % 25 + 1) || '/ECONOMY'] AS explicit FROM scans
+  SELECT *, CASE WHEN (target_id + yr) % 4 = 0 THEN list_transform(range(10, 26), lambda k: 'Brand#' || k) ELSE ['.'] END AS includes, [excluded] AS excludes, ['Brand#' || (yr % 25 + 1) || '/ECONOMY*ED ?*'] AS explicit FROM scans
 ), pair AS (SELECT a.target_id, a.scan_id AS before_scan, b.scan_id AS after_scan, b.complete, b.includes, b.excludes, b.explicit FROM scans a JOIN cov b ON a.target_id = b.target_id AND b.yr = a.yr + 1
 ), side AS (
   SELECT p.before_scan, p.after_scan, 'before' AS side, l.* FROM pair p JOIN loc l ON l.scan_id = p.before_scan UNION ALL
@@ -142,7 +143,7 @@ COMPARE_SQL = f"""WITH {views.SQL}, cov AS (
 ), status AS (
   SELECT p.target_id, before_scan, after_scan, finding_id, occurrence_id,
     CASE WHEN n_before = 0 THEN CASE WHEN unsure THEN 'unknown' ELSE 'new' END WHEN n_after > 0 THEN CASE WHEN fixed AND open THEN 'reopened' ELSE 'persisting' END WHEN unsure THEN 'unknown'
-      WHEN path IS NULL OR NOT complete OR NOT (includes = ['.'] OR list_contains(includes, brand)) OR list_contains(excludes, brand) OR starts_with(path, explicit[1] || '/') THEN 'unknown' ELSE 'resolved' END AS status,
+      WHEN path IS NULL OR NOT complete OR NOT (includes = ['.'] OR list_contains(includes, brand)) OR list_contains(excludes, brand) OR regexp_matches(path, '^' || replace(replace(explicit[1], '?', '.'), '*', '.*') || '$') THEN 'unknown' ELSE 'resolved' END AS status,
     severity, path, n_before, n_after
   FROM chosen JOIN facts USING (before_scan, after_scan, u) JOIN pair p USING (before_scan, after_scan) JOIN names ON rank = sev
 )"""

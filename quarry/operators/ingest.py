@@ -58,7 +58,7 @@ def csv_inventory_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     sha = F.when(k % 7 == 2, F.lit("main")).otherwise(F.sha1("s_name"))
     name = F.when(k % 5 == 1, F.concat(F.lit("REPO-"), k - 1)).otherwise(F.concat(F.lit("repo-"), k))
-    row = F.when(k % 11 == 4, F.concat_ws(",", name, F.lit("x"))).otherwise(F.concat_ws(",", name, F.lit("x"), sha))
+    row = F.when(k % 11 == 4, F.concat_ws(",", name, F.lit("x"))).otherwise(F.concat_ws(",", name, F.lit('"Smith, ""J"""'), F.when(k % 2 == 0, F.upper(sha)).otherwise(sha)))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 3 == 0, F.concat(row, F.lit("\n  "))).otherwise(row).alias("value"))
     head = spark.createDataFrame([(-1, "id,owner,revision")], "s_suppkey long, value string")
     path = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
@@ -92,7 +92,8 @@ def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 5
     path = F.when(k == 0, F.concat_ws("/", F.lit("node_modules"), "p_brand", F.lit("a.js"))).when(k == 1, F.concat_ws("/", F.lit("src/main/java/build"), "p_type", F.lit("A.java")))
     path = path.when(k == 2, F.concat_ws("/", "p_brand", F.lit("a.min.js"))).when(k == 3, F.concat_ws("/", "p_brand", F.lit("build/a.py"))).otherwise(F.concat_ws("/", "p_brand", F.lit("build.py")))
-    return table(spark, sf_dir, "part").select("p_partkey", T.is_excluded(path, ["node_modules", "build", "dist"], [".min.js", ".map"]).alias("excluded"))
+    path = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("node_modules/x/src/main/java/"), path)).otherwise(path)
+    return table(spark, sf_dir, "part").select("p_partkey", T.is_excluded(path, ["node_modules", "build", "dist"], [".min.js", ".map"], packages=["build"]).alias("excluded"))
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.struct(
         F.when(k % 3 != 0, F.concat(F.lit("r"), k % 4)).alias("ruleId"), F.when(k % 3 == 0, (k % 4).cast("int")).alias("ruleIndex"), F.when(k % 2 == 0, "error").otherwise("note").alias("level"),
         F.when(k % 13 == 5, "pass").alias("kind"), F.when(k % 17 == 3, "absent").alias("baselineState"), F.struct(F.col("p_name").alias("text")).alias("message"),
-        F.when(k % 5 == 0, F.struct((k % 11).cast("string").alias("security-severity"))).alias("properties"), F.when(k % 7 == 1, F.array(F.struct(F.when(k % 2 == 0, "rejected").alias("status")))).alias("suppressions"),
+        F.when(k % 5 == 0, F.struct(F.concat(k % 11, F.lit(".000")).alias("security-severity"))).alias("properties"), F.when(k % 7 == 1, F.array(F.struct(F.when(k % 2 == 0, "rejected").alias("status")))).alias("suppressions"),
         F.array(F.struct(F.struct(F.struct(F.concat_ws("/", "p_type", "p_partkey").alias("uri")).alias("artifactLocation"), F.struct((k % 90 + 1).cast("int").alias("startLine"), F.when(k % 2 == 1, (k % 90 + 4).cast("int")).alias("endLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
     )
     rules = F.array(*[F.struct(F.lit(f"r{i}").alias("id"), F.lit(f"rule {i}").alias("name")) for i in range(4)])
@@ -154,7 +155,7 @@ ORACLES = {
       SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1""",
     "receipt_ledger": "SELECT 'task-' || o_custkey % 40 AS id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1",
     "recursive_files": "SELECT role, conv_id % 3 AS k, count(*) AS n FROM conversations GROUP BY 1, 2",
-    "excluded_paths": "SELECT p_partkey, p_partkey % 5 IN (0, 2, 3) AS excluded FROM part",
+    "excluded_paths": "SELECT p_partkey, p_partkey % 5 IN (0, 2, 3) OR p_partkey % 7 = 0 AS excluded FROM part",
     "source_files": "SELECT 'd' || p_partkey % 4 AS folder, CAST(sum(length(p_name) + 1) AS BIGINT) AS bytes FROM part WHERE p_partkey % 4 IN (0, 3) GROUP BY 1",
     "changed_paths": "SELECT 'p' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'A' WHEN p_partkey % 4 = 0 THEN 'R' WHEN p_partkey % 3 = 0 THEN 'D' ELSE 'M' END AS status FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 = 0",
     "sarif_locations": f"WITH {_SARIF} SELECT * FROM loc",

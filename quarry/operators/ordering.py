@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.plans import views
+from quarry.plans.session import materialize
 from quarry.plans.views import table
 
 #: Rows of a range, about, that one task sorts; ranges at most.
@@ -85,11 +86,34 @@ def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_suppkey", "l_partkey", F.concat(F.lit("seed-"), F.lpad(F.col("nth").cast("string"), 7, "0")).alias("id"))
 
 
+def uniquely_named(rows: DataFrame, base: str, order: list[str], by: Column, name: str = "name") -> DataFrame:
+    """rows with a name each: base, or base with the first of `-2`, `-3` and on that no earlier row has taken.
+
+    order is total and begins with the number `by`. A row that finds its name taken by an earlier one
+    tries the next number, with the later rows of its base; names that only rows of one base ask
+    for are right at once, so rounds are as many as names of different bases run into each other.
+    """
+    now = materialize(numbered(rows, [base], [F.col(c) for c in order], by, "_nth").withColumn("_k", F.col("_nth")))
+    wanted = F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_k").cast("string")))
+    place = F.struct(*order)
+    while True:
+        asked = now.withColumn(name, wanted)
+        taken = asked.groupBy(name).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        late = asked.join(taken, name).where(place != F.col("_first")).groupBy(base, "_nth").agg(F.max(F.col("_k") + 1 - F.col("_nth")).alias("_shift"))
+        late = materialize(late)
+        if not late.take(1):
+            return asked.drop("_nth", "_k")
+        # a shift holds for the row and all that follow of its base; between two late rows lies a range of numbers
+        steps = late.groupBy(base).agg(F.array_sort(F.collect_list(F.struct("_nth", "_shift"))).alias("_steps"))
+        moved = now.join(steps, base, "left")
+        shift = F.array_max(F.transform(F.filter("_steps", lambda s: s["_nth"] <= F.col("_nth")), lambda s: s["_shift"]))
+        now = materialize(moved.withColumn("_k", F.greatest("_k", F.col("_nth") + F.coalesce(shift, F.lit(0)))).drop("_steps"))
+
+
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of part names made unique by `-2`, `-3` and on."""
     rows = table(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("base"))
-    found = numbered(rows, ["base"], [F.col("p_partkey")], F.col("p_partkey"))
-    return found.select("p_partkey", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "nth")).alias("name"))
+    return uniquely_named(rows, "base", ["p_partkey"], F.col("p_partkey")).select("p_partkey", "name")
 
 
 def line_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def decoded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     uri = F.when(k == 0, F.concat(F.lit("file:///srv/"), "p_brand", F.lit("/a%20b+c?x#y"))).when(k == 1, F.concat(F.lit("https://h.example/d/"), "p_brand", F.lit("#f"))).otherwise(F.concat("p_type", F.lit("/%41")))
     uri = F.replace(uri, F.lit("Brand#"), F.lit("Brand%23"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.decoded_path(uri).alias("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.decoded_path(uri, "/srv").alias("path"))
 
 
 def byte_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ ORACLES = {
     "cwe_normalized": "SELECT p_partkey, upper(trim(' cwe-' || p_size || ' ')) AS cwe FROM part",
     "path_normalized": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand || '/' || p_type WHEN 4 THEN p_brand || '/' || p_type WHEN 5 THEN p_brand || '/' || p_type END AS path FROM part",
     "git_origins": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 IN (0, 1) THEN 'host.example' WHEN s_suppkey % 5 = 2 THEN 'host.example:2222' END AS host, CASE WHEN s_suppkey % 5 < 3 THEN 'org/' || replace(lower(s_name), '#', '-') END AS path FROM supplier",
-    "decoded_paths": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'srv/' || p_brand || '/a b+c' WHEN 1 THEN 'd/' || p_brand ELSE p_type || '/A' END AS path FROM part",
+    "decoded_paths": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || '/a b+c' WHEN 1 THEN NULL ELSE p_type || '/A' END AS path FROM part",
     "byte_prefixes": "SELECT doc_id, left(t, CAST((SELECT max(k) FROM range(0, 41) r(k) WHERE strlen(left(t, CAST(k AS INT))) <= 40) AS INT)) AS prefix FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "line_excerpt": """WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, CAST(doc_id % 12 + 1 AS INT) AS f FROM documents), r AS (SELECT doc_id, l, greatest(f - 1, 1) AS lo, least(f + 3, len(l)) AS hi FROM d)
       SELECT doc_id, md5(CASE WHEN lo <= hi THEN array_to_string(list_transform(range(lo, hi + 1), lambda i: lpad(CAST(i AS VARCHAR), CAST(length(CAST(hi AS VARCHAR)) AS INT), ' ') || ': ' || l[i]), chr(10)) ELSE '' END) AS excerpt FROM r""",

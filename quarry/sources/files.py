@@ -44,19 +44,40 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True,
     return found.select("path", "line", F.when(fault.isNull(), F.col("row").dropFields("_corrupt")).alias("row"), fault.alias("fault"))
 
 
+#: One cell of a CSV line with what leads to it: quoted with doubled quotes, or plain.
+_CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'
+
+
+def _cells(text: Column) -> Column:
+    """The cells of a CSV line; null where quotes stand wrong."""
+    sound = text.rlike(r'^(?:"(?:[^"]|"")*"|[^,"]*)(?:,(?:"(?:[^"]|"")*"|[^,"]*))*\z')
+    bare = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.when(sound, F.transform(F.regexp_extract_all(text, F.lit(_CELL), 1), bare))
+
+
 def csv_inventory(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, faults) of an inventory with a header: empty lines are skipped; ids are unique without regard to case, revisions are hashes."""
-    text = lines(spark, path).where(F.trim(F.col("text")) != "")
-    head = text.groupBy("path").agg(F.min(F.struct("line", "text")).alias("h")).select(F.col("path").alias("p"), F.col("h.line").alias("first"), F.split("h.text", ",").alias("names"))
-    rows = text.join(head, F.col("path") == F.col("p")).where("line > first").withColumn("cells", F.split("text", ","))
-    at = lambda c: F.get(F.col("cells"), F.array_position("names", c) - 1)
-    rows = rows.select("path", "line", "names", (F.size("cells") != F.size("names")).alias("ragged"), *[F.when(F.array_contains("names", c), at(c)).alias(c) for c in required])
+    """(rows, faults) of inventories with a header; lines without text are skipped.
+
+    required names the id column first and the revision column last. Cells may be quoted, within a
+    line. Ids are safe path names of up to 128 characters, unique in their file without regard to case; revisions are
+    40 or 64 hexadecimal digits in either case, given in small letters; cells are trimmed.
+    """
+    text = lines(spark, path).where(F.regexp_replace("text", r'[\s,"]', "") != "")
+    head = text.groupBy("path").agg(F.min(F.struct("line", "text")).alias("h")).select(F.col("path").alias("p"), F.col("h.line").alias("first"), _cells(F.col("h.text")).alias("names"))
+    rows = text.join(head, F.col("path") == F.col("p")).where("line > first").withColumn("cells", _cells(F.col("text")))
+    at = lambda c: F.trim(F.get(F.col("cells"), F.array_position("names", c) - 1))
+    rows = rows.select("path", "line", "names", F.col("cells").isNull().alias("torn"), (F.size("cells") != F.size("names")).alias("ragged"), *[F.when(F.array_contains("names", c), at(c)).alias(c) for c in required])
     ident, revision = required[0], required[-1]
-    twice = rows.groupBy(F.lower(ident).alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    heads = head.select(F.col("p").alias("path"), F.col("first").alias("line"), F.when(F.size(F.array_distinct("names")) < F.size("names"), "repeated column").when(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "names")) > 0, "missing column").alias("fault"))
-    bad = rows.select("path", "line", F.when(F.col("ragged"), "width").when(F.coalesce(F.trim(ident), F.lit("")) == "", "no id").when(~F.coalesce(F.col(revision).rlike(r"^[0-9a-f]{40}\z"), F.lit(False)), "revision").alias("fault"))
-    repeated = rows.join(twice, F.lower(ident) == F.col("k")).select("path", "line", F.lit("repeated id").alias("fault"))
-    return rows.where(~F.col("ragged")).drop("names", "ragged"), heads.unionAll(bad).unionAll(repeated).where("fault IS NOT NULL")
+    rows = rows.withColumn(revision, F.lower(revision))
+    twice = rows.groupBy(F.col("path").alias("p"), F.lower(ident).alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    missing = F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "names")) > 0
+    heads = head.select(F.col("p").alias("path"), F.col("first").alias("line"), F.when(F.col("names").isNull(), "quotes").when(F.size(F.array_distinct("names")) < F.size("names"), "repeated column").when(missing, "missing column").alias("fault"))
+    blank = F.coalesce(F.col(ident), F.lit("")) == ""
+    unsafe = ~F.col(ident).rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z")
+    hashed = F.coalesce(F.col(revision).rlike(r"^(?:[0-9a-f]{40}|[0-9a-f]{64})\z"), F.lit(False))
+    bad = rows.select("path", "line", F.when(F.col("torn"), "quotes").when(F.col("ragged"), "width").when(blank, "no id").when(unsafe, "unsafe id").when(~hashed, "revision").alias("fault"))
+    repeated = rows.join(twice, (F.lower(ident) == F.col("k")) & (F.col("path") == F.col("p"))).where("k <> ''").select("path", "line", F.lit("repeated id").alias("fault"))
+    return rows.where("NOT torn AND NOT ragged").drop("names", "torn", "ragged"), heads.unionAll(bad).unionAll(repeated).where("fault IS NOT NULL")
 
 
 def receipts(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -88,7 +109,7 @@ def name_status(text: DataFrame) -> DataFrame:
     return text.select(F.explode(F.aggregate(parts, start, step)["out"]).alias("c")).select("c.status", "c.path")
 
 
-SARIF = """runs array<struct<tool struct<driver struct<rules array<struct<id string, name string>>>>, results array<struct<ruleId string, ruleIndex int, level string, kind string, baselineState string,
+SARIF = """runs array<struct<tool struct<driver struct<rules array<struct<id string, name string, defaultConfiguration struct<level string>, properties struct<`security-severity` string, tags array<string>, cwe array<string>>>>>>, results array<struct<ruleId string, ruleIndex int, level string, kind string, baselineState string,
   message struct<text string>, properties struct<`security-severity` string>, suppressions array<struct<status string>>,
   locations array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int, endLine int>>>>>>>>"""
 
@@ -96,7 +117,9 @@ SARIF = """runs array<struct<tool struct<driver struct<rules array<struct<id str
 def sarif_results(docs: DataFrame) -> DataFrame:
     """A row a location of every result of SARIF documents (path, doc) that is not suppressed, absent, passed or not applicable.
 
-    The rule is the one at ruleIndex, else the first with the result's id; a missing end is the start.
+    The rule is the one at ruleIndex, else the first with the result's id; a missing end is the start. The
+    severity is that of the rule's score (else the result's), if it is a finite number above 0, else of
+    the level, of which the rule may hold the default.
     """
     runs = docs.select("path", F.posexplode("doc.runs").alias("run", "r"))
     each = runs.select("path", "run", F.col("r.tool.driver.rules").alias("rules"), F.posexplode("r.results").alias("result", "x"))
@@ -104,8 +127,10 @@ def sarif_results(docs: DataFrame) -> DataFrame:
     out = held | F.coalesce(F.col("x.baselineState") == "absent", F.lit(False)) | F.coalesce(F.col("x.kind").isin("pass", "notApplicable"), F.lit(False))
     rule = F.coalesce(F.get("rules", F.col("x.ruleIndex")), F.get(F.filter("rules", lambda r: r["id"] == F.col("x.ruleId")), F.lit(0)))
     each = each.where(~out).withColumn("rule", rule)
-    score = F.try_to_number(F.col("x.properties.security-severity"), F.lit("99.99"))
-    severity = F.when(score > 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise(F.when(F.col("x.level") == "error", "high").when(F.col("x.level") == "warning", "medium").when(F.col("x.level") == "note", "low").otherwise("unknown"))
+    number = F.coalesce("rule.properties.security-severity", "x.properties.security-severity").try_cast("double")
+    score = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    told = F.coalesce("x.level", "rule.defaultConfiguration.level")
+    severity = F.when(score > 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise(F.when(told == "error", "high").when(told == "warning", "medium").when(told == "note", "low").otherwise("unknown"))
     rows = each.select("path", "run", "result", F.coalesce("x.ruleId", "rule.id").alias("rule_id"), F.col("rule.name").alias("rule"), severity.alias("severity"), F.col("x.message.text").alias("message"), F.posexplode("x.locations").alias("place", "l"))
     at = F.col("l.physicalLocation.region")
     return rows.select("path", "run", "result", "rule_id", "rule", "severity", "message", "place", F.col("l.physicalLocation.artifactLocation.uri").alias("uri"), at["startLine"].alias("start_line"), F.coalesce(at["endLine"], at["startLine"]).alias("end_line"))
