@@ -1,17 +1,19 @@
 """Evaluation of detectors over cases and runs: matches, metrics, stability, negative cases, report comparison.
 
 A case is a source of documents, with three runs whose detector marks texts over a length; toxic
-texts are expected. Every seventh case's last run failed: it reports nothing and misses all.
+texts are expected. Findings are matched with expectations by `matching`. Every seventh case's last
+run failed: it reports nothing and misses all.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import matching
 from quarry.operators.scoring import ratio
 from quarry.plans import views
+from quarry.plans.session import materialize
 from quarry.plans.views import table
 
 RUNS = 3
@@ -29,17 +31,26 @@ METRICS = [
 
 
 def outcomes(spark: SparkSession, sf_dir: str, base: int = 1500) -> DataFrame:
-    """A row a run and labelled document: (case_id, run, doc_id, completed, expected, found, and what a match is judged by)."""
+    """A row a run and labelled document that is expected or reported: (case_id, run, doc_id, completed, expected, found, and what a match is judged by).
+
+    Expectations and findings are placed at their documents and matched one to one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("case_id"), "n_chars")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.join(labels, "doc_id").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    rows = materialize(docs.join(labels, "doc_id"))
+    runs = rows.select("case_id").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
     failed = (F.col("run") == RUNS - 1) & (F.try_to_number(F.regexp_extract("case_id", r"(\d+)$", 1), F.lit("999999")).cast("int") % 7 == 0)
-    rows = rows.withColumn("completed", ~F.coalesce(failed, F.lit(False)))
-    return rows.select(
-        "case_id", "run", "doc_id", "completed", (F.col("toxic") == 1).alias("expected"), (F.col("completed") & (F.col("n_chars") > base + 500 * F.col("run"))).alias("found"),
-        (F.col("n_chars") % 2 == 0).alias("validated"), (F.col("n_chars") % 3 != 0).alias("attack_path"), (F.col("n_chars") % 5 != 0).alias("evidence"),
-        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 != 0).alias("severity_ok"),
+    runs = runs.withColumn("completed", ~F.coalesce(failed, F.lit(False)))
+    path, cwes = F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.array(F.concat(F.lit("CWE-"), F.col("doc_id") % 9 + 1)).alias("cwes")
+    line = F.col("doc_id") % 500 + 1
+    severities = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit("high"), F.lit("critical")))
+    expected = rows.where("toxic = 1").select("case_id", F.col("doc_id").alias("a"), cwes, path, line.alias("start_line"), (line + 3).alias("end_line"), F.lit(2).alias("near"), severities.alias("severities"))
+    found = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))).where(F.col("n_chars") > base + 500 * F.col("run")).select(
+        "case_id", "run", F.col("doc_id").alias("b"), cwes, path, (line + 5).alias("start_line"), F.lit(None).cast("long").alias("end_line"),
+        (F.col("n_chars") % 2 == 0).alias("validated"), (F.col("n_chars") % 3 != 0).alias("attack_path"), (F.col("n_chars") % 5 != 0).alias("evidence"), F.when(F.col("doc_id") % 5 != 0, "high").otherwise("low").alias("severity"),
     )
+    pairs = matching.matching(matching.candidates(expected, found), ["case_id", "run"])
+    return matching.outcomes_of(expected, found, runs, pairs).withColumnRenamed("item", "doc_id")
 
 
 def run_results(rows: DataFrame) -> DataFrame:
@@ -153,10 +164,9 @@ def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def scored_pairs(spark: SparkSession, sf_dir: str, tolerance: int = 3) -> DataFrame:
     a, b = _located(spark, sf_dir)
-    gap = F.greatest(F.lit(0), F.col("s0") - F.col("e1"), F.col("s1") - F.col("e0"))
     shared = F.size(F.array_intersect("cwe0", "cwe1"))
-    pairs = a.join(b, ["target_id", "yr", "path"]).withColumn("gap", gap).withColumn("shared", shared)
-    return pairs.where((F.col("gap") <= tolerance) & (F.col("shared") > 0)).withColumn("score", 100 + 10 * F.col("shared") + 50 - F.col("gap"))
+    pairs = matching.near_intervals(a, b, ["target_id", "yr", "path"], F.lit(tolerance)).withColumn("shared", shared)
+    return pairs.where(F.col("shared") > 0).withColumn("score", 100 + 10 * F.col("shared") + 50 - F.col("gap"))
 
 
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _located(spark, sf_dir)
-    return a.join(b, ["target_id", "yr", "path"]).where("s0 <= e1 AND s1 <= e0").select("a", "b")
+    return matching.near_intervals(a, b, ["target_id", "yr", "path"]).where("s0 <= e1 AND s1 <= e0").select("a", "b")
 
 
 def shared_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,36 +186,10 @@ def shared_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["target_id", "yr", "path", "cwe"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def matched(pairs: pd.DataFrame) -> list[tuple[int, int]]:
-    """A maximum matching of (a, b, score) pairs: the rarest a first, its best b first, along augmenting paths."""
-    options = {a: g.sort_values(["score", "b"], ascending=[False, True])["b"].tolist() for a, g in pairs.groupby("a")}
-    taken, mate = {}, {}
-    for start in sorted(options, key=lambda a: (len(options[a]), a)):
-        parent, queue, end = {}, [start], None
-        while queue and end is None:
-            a = queue.pop(0)
-            for b in options[a]:
-                if b not in parent:
-                    parent[b] = a
-                    if b not in taken:
-                        end = b
-                        break
-                    queue.append(taken[b])
-        while end is not None:
-            a = parent[end]
-            before = mate.get(a)
-            taken[end], mate[a], end = a, end, before
-    return sorted((a, b) for b, a in taken.items())
-
-
 def max_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many findings of a scan can be matched one to one with those of the next; a group is one scan's pairs."""
-
-    def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"target_id": [key[0]], "yr": [key[1]], "pairs": [len(pairs)], "matched": [len(matched(pairs))]})
-
+    """The findings of a scan matched one to one with those of the next, as many as can be."""
     rows = scored_pairs(spark, sf_dir, tolerance=30).select("target_id", "yr", "a", "b", "score")
-    return rows.groupBy("target_id", "yr").applyInPandas(run, "target_id long, yr long, pairs long, matched long")
+    return matching.matching(rows, ["target_id", "yr"])
 
 
 QUERIES = {f.__name__: f for f in (eval_all_metrics, eval_run_results, eval_stability, eval_case_results, eval_negative_cases, report_metrics, report_cases, quality_index, match_scores, interval_overlaps, shared_weaknesses, max_matching)}

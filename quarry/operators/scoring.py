@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.matching import near_intervals
 from quarry.plans import views
 from quarry.plans.views import table
 
@@ -54,13 +55,12 @@ def eval_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_matches(spark: SparkSession, sf_dir: str, tolerance: int = 3) -> DataFrame:
     """Findings of two consecutive scans on one path whose line intervals are at most tolerance apart.
 
-    The join is on target, year and path; the gap only filters inside them.
+    The join is on target, year, path and bins of lines.
     """
     loc = views.located(views.occurrences(spark, sf_dir), spark, sf_dir).where("path IS NOT NULL")
     a = loc.select("target_id", "yr", "path", F.col("occurrence_id").alias("a"), F.col("start_line").alias("s0"), F.col("end_line").alias("e0"))
     b = loc.select("target_id", (F.col("yr") - 1).alias("yr"), "path", F.col("occurrence_id").alias("b"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
-    gap = F.greatest(F.lit(0), F.col("s0") - F.col("e1"), F.col("s1") - F.col("e0"))
-    return a.join(b, ["target_id", "yr", "path"]).withColumn("gap", gap).where(F.col("gap") <= tolerance).select("a", "b", "gap")
+    return near_intervals(a, b, ["target_id", "yr", "path"], F.lit(tolerance)).select("a", "b", "gap")
 
 
 QUERIES = {f.__name__: f for f in (eval_runs, eval_metrics, eval_thresholds, interval_matches)}

@@ -5,7 +5,6 @@ import json
 import random
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -67,17 +66,6 @@ def test_row_numbers_of_many_ranges_are_those_of_one(spark):
     assert few == many
 
 
-def test_matchings_are_largest():
-    from quarry.operators.evaluation import matched
-
-    rnd = random.Random(3)
-    for _ in range(40):
-        edges = sorted({(rnd.randrange(5), rnd.randrange(5)) for _ in range(rnd.randrange(1, 12))})
-        best = max(len(s) for n in range(6) for s in itertools.combinations(edges, n) if len({a for a, _ in s}) == len({b for _, b in s}) == n)
-        got = matched(pd.DataFrame([(a, b, rnd.random()) for a, b in edges], columns=["a", "b", "score"]))
-        assert len(got) == best and len({a for a, _ in got}) == len({b for _, b in got}) == best and set(got) <= set(edges)
-
-
 def test_line_hashes_match_their_definition(spark):
     """Each line by the plain definition: 100 units from its first on, by powers of 37, over a list of units and marks."""
     from quarry.functions import linehash
