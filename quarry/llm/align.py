@@ -29,13 +29,15 @@ from quarry.llm.common import slices, table
 from quarry.plans.session import shared_dir
 
 #: Text bytes whose tokens a task sorts at a time, about, and the tasks at most (larger parts spill).
-PART_BYTES, MAX_PARTS = 4 << 20, 200_000
+PART_BYTES, MAX_PARTS = 2 << 20, 200_000
 #: Id pairs whose counts are broadcast at most.
 HOT_PAIRS = 200_000
 #: Tokens that are folded at a time, about, and the links of a group from which equal ids are counted first.
 FOLD_TOKENS, WIDE_GROUP = 1 << 17, 1024
 #: Stretches that a task remembers, and documents that an Arrow batch holds at most.
-MEMO, BATCH_ROWS = 400_000, 300
+MEMO, BATCH_ROWS = 350_000, 300
+#: Text bytes that are encoded at a time, about.
+ENCODE_BYTES = 2 << 20
 #: Ids travel as 16-bit numbers, from the least one up.
 SHIFT = 1 << 15
 
@@ -55,21 +57,13 @@ def encoded(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((tokens.file_bytes(byte_bpe), tokens.file_bytes(piece_bpe)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = shared.value
-        encode, sides = tokens.both(first, second, MEMO), []
-        for entries in (tokens.byte_bpe_entries(first), tokens.piece_entries(second)):
-            size = np.array([len(e) for e in entries])
-            sides.append((np.frombuffer(b"".join(entries), np.uint8), np.cumsum(size) - size, size))
+        encode = tokens.both(*shared.value, MEMO)
         for batch in batches:
-            for lo, hi in tokens.parts_of(batch.column(2)):
+            for lo, hi in tokens.parts_of(batch.column(2), ENCODE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 texts = pc.fill_null(part.column(2), "")
-                plain = [f" {t}".encode() if t else b"" for t in texts.to_pylist()]
-                good, found = np.array([bool(t) for t in plain]), encode(texts)
-                for (flat, start, size), (ids, at) in zip(sides, found):
-                    joined = _gather(flat, start[ids], size[ids]).tobytes()
-                    ends = np.concatenate([[0], np.cumsum(size[ids])])[at].tolist()
-                    good &= np.array([joined[a:b] == t for a, b, t in zip(ends, ends[1:], plain)], bool)
+                found = encode(texts)
+                good = encode.spelled & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
                 keep = np.flatnonzero(good)
                 starts = np.stack([at[keep] + (0 if i == 0 else len(found[0][0])) for i, (_, at) in enumerate(found)], axis=1).ravel()
                 lengths = np.stack([np.diff(at)[keep] for _, at in found], axis=1).ravel()

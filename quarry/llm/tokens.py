@@ -52,26 +52,35 @@ class Encoder:
 
     Each of sides gives the ids of each of a list of texts; split says whether stretches may stand
     alone, led whether a space is put before each text, and memo how many stretches are remembered.
+    With entries (the bytes of each id, by side), `spelled` tells which texts the tokens of all
+    sides spell: those all of whose stretches they do.
     """
 
-    def __init__(self, sides: list[Callable[[list[str]], list[list[int]]]], split: bool, led: bool, memo: int | None = None):
-        self.sides, self.split, self.led, self.most = sides, split, led, memo
+    def __init__(self, sides: list[Callable[[list[str]], list[list[int]]]], split: bool, led: bool, memo: int | None = None, entries: list[list[bytes]] | None = None):
+        self.sides, self.split, self.led, self.most, self.entries = sides, split, led, memo, entries
+        self.spelled = np.zeros(0, bool)
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
         self.known = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in self.sides]
 
     def _rows(self, stretches: list[str]) -> np.ndarray:
         """Where the memory has the stretches; new ones are encoded first."""
         new = [w for w in dict.fromkeys(stretches) if w not in self.memo]
         if new:
+            good = np.ones(len(new), bool)
             for i, (encode, (flat, start, size)) in enumerate(zip(self.sides, self.known)):
                 found = encode(new)
+                if self.entries:
+                    known = self.entries[i]
+                    good &= np.fromiter((b"".join([known[j] for j in ids]) == w.encode() for w, ids in zip(new, found)), bool, len(new))
                 more = np.fromiter(map(len, found), np.int32, len(found))
                 ids = np.fromiter(chain.from_iterable(found), np.uint32, int(more.sum()))
                 start = np.concatenate([start, len(flat) + np.cumsum(more, dtype=np.int64) - more])
                 self.known[i] = (np.concatenate([flat, ids]), start, np.concatenate([size, more]))
+            self.good = np.concatenate([self.good, good])
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
         return np.fromiter((self.memo[w] for w in stretches), np.int64, len(stretches))
 
@@ -92,6 +101,7 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets) of each side; no text is null: text i has ids[offsets[i]:offsets[i + 1]]."""
         if not len(texts):
+            self.spelled = np.zeros(0, bool)
             return [(np.zeros(0, np.uint32), np.zeros(1, np.int64)) for _ in self.sides]
         lists = self.pieces(texts)
         offsets = lists.offsets.to_numpy()
@@ -109,6 +119,7 @@ class Encoder:
             rows[used] = self._rows([f" {words[i]}" for i in np.flatnonzero(used).tolist()])
             at = rows[codes]
             at[offsets[:-1]] = self._rows([words[i] for i in codes[offsets[:-1]].tolist()])
+        self.spelled = np.logical_and.reduceat(self.good[at], offsets[:-1])  # a text has one stretch at least
         out = []
         for flat, start, size in self.known:
             ends = np.concatenate([[0], np.cumsum(size[at], dtype=np.int64)])
@@ -177,7 +188,7 @@ def piece_bpe(content: bytes) -> Encoder:
 def both(byte: bytes, piece: bytes, memo: int) -> Encoder:
     """The encoder of a tokenizers and a sentencepiece file for the same led texts, special strings plain; stretches are cut and remembered once."""
     sides = byte_bpe(byte, True, True), piece_bpe(piece)
-    return Encoder([e.sides[0] for e in sides], all(e.split for e in sides), True, memo)
+    return Encoder([e.sides[0] for e in sides], all(e.split for e in sides), True, memo, [byte_bpe_entries(byte), piece_entries(piece)])
 
 
 def byte_bpe_entries(content: bytes) -> list[bytes]:
@@ -200,7 +211,7 @@ def piece_entries(content: bytes) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
 
 
-def parts_of(texts: pa.Array) -> list[tuple[int, int]]:
-    """Ranges of rows of about SLICE_BYTES of text."""
+def parts_of(texts: pa.Array, most: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Ranges of rows of about so many bytes of text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    return list(slices(np.maximum(sizes, 64), SLICE_BYTES))
+    return list(slices(np.maximum(sizes, 64), most))
