@@ -248,11 +248,23 @@ def call_reach(spark: SparkSession, sf_dir: str, depth: int = 4) -> DataFrame:
     return seen.select("p_partkey", F.col("depth").cast("long").alias("depth"))
 
 
+def consumers(made: DataFrame, used: DataFrame) -> DataFrame:
+    """(producer, consumer, artifact) of made (producer, workflow, artifact) and used (consumer, workflow, wanted).
+
+    A consumer wants an artifact by its path or by that of a folder above it, so an artifact goes out
+    under its own path and all folders above, and the join is on workflow and path alone.
+    """
+    parts = F.split("artifact", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    offered = made.withColumn("wanted", F.explode(F.array_distinct(above)))
+    return offered.join(used, ["workflow", "wanted"]).select("producer", "consumer", "artifact")
+
+
 def artifact_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consumers of a workflow's artifact: of its name, or of a folder that holds it."""
     made = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("producer"), F.col("p_brand").alias("workflow"), F.concat_ws("/", "p_type", F.col("p_partkey") % 10).alias("artifact"))
     used = table(spark, sf_dir, "part").where("p_partkey % 9 = 1").select(F.col("p_partkey").alias("consumer"), F.col("p_brand").alias("workflow"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat_ws("/", "p_type", F.col("p_partkey") % 10)).alias("wanted"))
-    return made.join(used, "workflow").where((F.col("artifact") == F.col("wanted")) | F.col("artifact").startswith(F.concat("wanted", F.lit("/")))).select("producer", "consumer", "artifact")
+    return consumers(made, used)
 
 
 QUERIES = {f.__name__: f for f in (taxonomy_rules, evidence_ground, evidence_references, artifact_digests, aligned_roles, coverage_reconcile, coverage_completeness, exact_partition, duplicated_values, candidate_groups, strongest_reports, layered_config, requirements, policy_files, report_format, real_findings, evidence_quality, severity_gate, recent_repositories, id_prefixes, null_safe_counts, row_maximum, camel_documents, unique_definitions, call_reach, artifact_consumers)}

@@ -88,3 +88,14 @@ def test_names_are_unique_as_if_given_one_by_one(spark):
     df = spark.createDataFrame(list(enumerate(bases)), "i long, base string")
     got = ordering.uniquely_named(df, "base", ["i"], F.col("i"))
     assert [r.name for r in got.orderBy("i").collect()] == told
+
+
+def test_consumers_of_folders_and_names(spark):
+    from quarry.operators import evidence, history
+
+    made = spark.createDataFrame([(1, "w", "out/a/x.bin"), (2, "w", "out"), (3, "v", "out/a/x.bin"), (4, "w", None)], "producer int, workflow string, artifact string")
+    used = spark.createDataFrame([(7, "w", "out/a"), (8, "w", "out/a/x.bin"), (9, "w", "out/a/x"), (10, "w", "out"), (11, "w", None)], "consumer int, workflow string, wanted string")
+    found = evidence.consumers(made, used)
+    assert sorted((r.producer, r.consumer) for r in found.collect()) == [(1, 7), (1, 8), (1, 10), (2, 10)]
+    scans, rows = spark.createDataFrame([(1,), (2,)], "scan_id int"), spark.createDataFrame([(1, 3), (1, 0), (1, 3)], "scan_id int, sev int")
+    assert sorted(map(tuple, history.severity_mix(scans, rows).collect())) == [(1, "critical: 1, low: 2"), (2, "none")]
