@@ -139,8 +139,8 @@ def severity_mix(scans: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def severity_mix_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severities of every scan; of every fourth scan only critical findings count."""
-    found = views.occurrences(spark, sf_dir).where("scan_id % 4 <> 0 OR sev < 1")
+    """Severities of every scan; every fourth counts as one without findings."""
+    found = views.occurrences(spark, sf_dir).where("scan_id % 4 <> 0")
     return severity_mix(views.scans(spark, sf_dir), found)
 
 
@@ -226,7 +226,7 @@ ORACLES = {
       SELECT scan_id, target_id, started_at, total > 40 AS has_more, total FROM r WHERE n BETWEEN 21 AND 40""",
     "scan_findings_search": f"WITH {views.SQL} SELECT scan_id, finding_id, path, coalesce(triage, 'open') AS status FROM loc WHERE contains(lower(path), 'promo') AND coalesce(triage, 'open') = 'open'",
     "severity_counts": f"WITH {views.SQL} SELECT scan_id, severity, count(*) AS n FROM occ JOIN names ON rank = sev GROUP BY 1, 2",
-    "severity_mix_string": f"WITH {views.SQL}, c AS (SELECT scan_id, sev, severity || ': ' || count(*) AS t FROM occ JOIN names ON rank = sev WHERE scan_id % 4 <> 0 OR sev < 1 GROUP BY scan_id, sev, severity), m AS (SELECT scan_id, string_agg(t, ', ' ORDER BY sev) AS mix FROM c GROUP BY 1) SELECT s.scan_id, coalesce(mix, 'none') AS mix FROM scans s LEFT JOIN m ON s.scan_id = m.scan_id",
+    "severity_mix_string": f"WITH {views.SQL}, c AS (SELECT scan_id, sev, severity || ': ' || count(*) AS t FROM occ JOIN names ON rank = sev WHERE scan_id % 4 <> 0 GROUP BY scan_id, sev, severity), m AS (SELECT scan_id, string_agg(t, ', ' ORDER BY sev) AS mix FROM c GROUP BY 1) SELECT s.scan_id, coalesce(mix, 'none') AS mix FROM scans s LEFT JOIN m ON s.scan_id = m.scan_id",
     "recent_targets": "SELECT o_custkey AS target_id, max(o_orderdate) AS last_used FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "earliest_running": f"WITH {ORDER_SQL} SELECT scan_id, target_id, mode, scan_id = min(scan_id) OVER (PARTITION BY target_id, mode) AS kept FROM scan WHERE status = 'running'",
     "management_updated_at": "SELECT target_id, max(t) AS updated_at FROM (SELECT l_suppkey AS target_id, l_shipdate AS t FROM lineitem UNION ALL SELECT s_suppkey, o_orderdate FROM orders JOIN supplier ON o_custkey = s_suppkey) GROUP BY 1",
