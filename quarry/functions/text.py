@@ -208,3 +208,18 @@ def line_count(text: Column) -> Column:
     """Line feeds, plus one if text follows the last; an empty text has one line."""
     feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.when(text == "", 1).otherwise(feeds + F.when(text.endswith("\n"), 0).otherwise(1)).cast("long")
+
+
+#: Letters whose folding is not the small letter of their capital: dotless i stays, Cherokee folds to capitals.
+_ODD = "[\u0131\u13a0-\u13fd\uab70-\uabbf]"
+
+
+def _folded(c: Column) -> Column:
+    # the replacement also keeps the optimizer from taking the inner upper away
+    return F.translate(F.lower(F.replace(F.upper(c), F.lit("\u1e9e"), F.lit("SS"))), "\u03c2", "\u03c3")
+
+
+def casefold(c: Column) -> Column:
+    """A text by full Unicode case folding, so that texts that differ by case alone are equal; null for null."""
+    each = F.transform(F.split(c, ""), lambda x: F.when(x == "\u0131", x).when(x.rlike(_ODD), F.upper(x)).otherwise(_folded(x)))
+    return F.when(c.rlike(_ODD), F.array_join(each, "")).otherwise(_folded(c))

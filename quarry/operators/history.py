@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators.graph import connected_components
 from quarry.plans import views
 from quarry.plans.views import table
@@ -18,13 +19,13 @@ def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str])
 
 
 def text_search(query: str | None, *columns: str) -> Column:
-    """Whether any column holds the query, without regard to case; a blank query holds everywhere."""
-    asked = (query or "").strip().lower()
+    """Whether any column holds the query, without regard to case (full folding: STRASSE finds Straße); a blank query holds everywhere."""
+    asked = (query or "").strip().casefold()
     if not asked:
         return F.lit(True)
     found = F.lit(False)
     for c in columns:
-        found = found | F.coalesce(F.lower(F.col(c)).contains(asked), F.lit(False))
+        found = found | F.coalesce(T.casefold(F.col(c)).contains(asked), F.lit(False))
     return found
 
 
