@@ -8,26 +8,39 @@ from pyspark.sql import functions as F
 from quarry.plans.session import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges, about, that are worth a task; a smaller table is not cut into more tasks and files than that.
+EDGES_A_TASK = 100_000
+
+
+def _fit(df: DataFrame, edges: int) -> DataFrame:
+    """df in no more tasks than its share of edges is worth; tables that fill all partitions stay as they are."""
+    tasks = -(-edges // EDGES_A_TASK)
+    return df.coalesce(max(1, tasks)) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Links every larger neighbour of a node to the least node of its neighbourhood."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _fit(_fit(moved, n).distinct(), n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+    every = moved.unionAll(least.select("a", F.col("m").alias("b")))
+    return _fit(_fit(every, n).distinct(), n)
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node reachable, for every node with an edge.
 
     Edges are undirected; self links and null ends are ignored. Each round shuffles the edge
-    table on one key with map-side minima and is written to the shared folder; the number of
+    table on one key with map-side minima and is written to the shared folder, in tasks and files
+    as many as its edges are worth; the number of
     rounds grows with the logarithm of the longest chain. Nothing but two totals per round
     reaches the driver.
     """
@@ -39,7 +52,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         if tuple(total) == seen or not total[0]:
             break
         seen = tuple(total)
-        now = materialize(_small_star(_large_star(now)))
+        now = materialize(_small_star(_large_star(_fit(now, total[0]), total[0]), total[0]))
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
