@@ -1,25 +1,53 @@
 """Readers of text formats as DataFrames: rows that hold, and beside them what is wrong with the others.
 
-All take a path that Spark reads. Places in a file are carried as offsets of its whole text, so a
-file is read by one task; many files are read by many.
+All take a path that Spark reads. Lines are read by splits; a JSON document is one value of one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Files that Spark reads uncompressed; their sizes say nothing of their lines.
+_PACKED = r"\.(?:gz|bz2|deflate|zst|lz4|snappy)$"
+
+
+def _whole_lines(files: DataFrame) -> DataFrame:
+    """(path, line, text, last) of files (path, value), each one value."""
+    ends = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))
+    each = files.select("path", ends.alias("ends"), F.split("value", "\n").alias("parts")).select("path", "ends", F.posexplode("parts").alias("at", "text"))
+    return each.where("at < ends OR text <> ''").select("path", (F.col("at") + 1).cast("long").alias("line"), "text", (F.col("at") == F.col("ends")).alias("last"))
+
+
 def lines(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """(path, line, text, last): the lines of each file from 1; last is the text after the final line feed, where there is any."""
+    """(path, line, text, last): the lines of each file from 1; last is the text after the final line feed, where there is any.
+
+    A file is read by as many tasks as it has splits. A line's number is its place in its split and
+    the lines of the splits before, which are counted first; a file of more bytes than its lines and
+    their line feeds ends with one. Compressed files cannot be split; each is one value of one task.
+    A byte order mark at the start of a file that is not compressed is no text.
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    parts = F.split("value", "\n")
-    whole = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), parts.alias("parts"))
-    each = whole.select("path", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "text"))
-    each = each.where("at < n - 1 OR text <> ''")
-    return each.select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"), (F.col("at") == F.col("n") - 1).alias("last"))
+    files = reader.text(path, lineSep="\n")
+    read = files.where(~F.col("_metadata.file_name").rlike(_PACKED)).select(
+        F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_size").alias("_size"), F.col("value").alias("text")
+    )
+    splits = read.groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum(F.octet_length("text").cast("long") + 1).alias("_bytes"), F.max("_size").alias("_size"))
+    file = Window.partitionBy("path")
+    before = F.sum("_n").over(file.orderBy("_split")) - F.col("_n")
+    over = F.sum("_bytes").over(file) - F.col("_size")  # one line feed more than there is; three bytes less with a byte order mark
+    splits = splits.select("path", "_split", (before + 1 - F.col("_first")).alias("_shift"), F.when(over.isin(1, -2), F.sum("_n").over(file)).alias("_open"))
+    each = read.join(splits, ["path", "_split"]).withColumn("line", F.col("_at") + F.col("_shift"))
+    each = each.select("path", "line", "text", F.coalesce(F.col("line") == F.col("_open"), F.lit(False)).alias("last"))
+    if any(re.search(_PACKED, f) for f in files.inputFiles()):
+        packed = reader.text(path, wholetext=True).where(F.col("_metadata.file_name").rlike(_PACKED))
+        each = each.unionAll(_whole_lines(packed.select(F.input_file_name().alias("path"), "value")))
+    return each.withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str, most: int = 16 << 20, pattern: str | None = None) -> DataFrame:
@@ -32,16 +60,20 @@ def json_documents(spark: SparkSession, path: str, schema: str, most: int = 16 <
     return rows.select("path", F.when(fault.isNull(), F.col("doc").dropFields("_corrupt")).alias("doc"), fault.alias("fault"))
 
 
+def _json(found: DataFrame, schema: str) -> DataFrame:
+    """Lines with their JSON as `row` and what is wrong with it as `fault`."""
+    row = F.from_json("text", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    found = found.withColumn("row", row)
+    fault = F.when(F.trim(F.col("text")) == "", "blank line").when(F.col("row").isNull() | F.col("row._corrupt").isNotNull(), "not JSON")
+    return found.select("path", "line", F.when(fault.isNull(), F.col("row").dropFields("_corrupt")).alias("row"), fault.alias("fault"), "last")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True, **where) -> DataFrame:
     """(path, line, row, fault): JSON lines; blank ones are a fault, or skipped where strict is false."""
     found = lines(spark, path, **where)
-    blank = F.trim(F.col("text")) == ""
     if not strict:
-        found = found.where(~blank)
-    row = F.from_json("text", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    found = found.withColumn("row", row)
-    fault = F.when(blank, "blank line").when(F.col("row").isNull() | F.col("row._corrupt").isNotNull(), "not JSON")
-    return found.select("path", "line", F.when(fault.isNull(), F.col("row").dropFields("_corrupt")).alias("row"), fault.alias("fault"))
+        found = found.where(F.trim(F.col("text")) != "")
+    return _json(found, schema).drop("last")
 
 
 #: One cell of a CSV line with what leads to it: quoted with doubled quotes, or plain.
@@ -82,9 +114,7 @@ def csv_inventory(spark: SparkSession, path: str, required: list[str]) -> tuple[
 
 def receipts(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """The last receipt of each id, without regard to case; a torn last line, without its line feed, does not count."""
-    found = json_lines(spark, path, schema).where("fault IS NULL")
-    torn = lines(spark, path).where("last").select(F.col("path").alias("p"), F.col("line").alias("l"))
-    found = found.join(torn, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left_anti")
+    found = _json(lines(spark, path), schema).where("fault IS NULL AND NOT last")
     best = found.groupBy(F.lower(f"row.{key}").alias("receipt")).agg(F.max(F.struct("path", "line", "row")).alias("k"))
     return best.select("receipt", "k.line", "k.row.*")
 
