@@ -68,14 +68,19 @@ def csv_inventory_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last receipts of ledgers, one file each, whose last line is torn: it has no line feed."""
+    """The last receipts of ledgers, one file each, whose last line is torn: it has no line feed.
+
+    A ledger is sorted and written line by line, each line after the line feed before it; what ends
+    a row for the writer is the brace that ends its JSON.
+    """
     k = F.col("o_custkey") % 40
     name = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("Task-")).otherwise(F.lit("task-")), k)
-    row = F.struct("o_orderkey", F.to_json(F.struct(name.alias("id"), F.col("o_orderstatus").alias("status"))).alias("j"))
-    ledgers = table(spark, sf_dir, "orders").groupBy((k % 8).alias("ledger")).agg(F.array_sort(F.collect_list(row)).alias("l"))
-    text = F.concat(F.array_join(F.transform("l", lambda x: x["j"]), "\n"), F.lit('\n{"id":"task-1","status":"TORN"}'))
+    row = F.to_json(F.struct(name.alias("id"), F.col("o_orderstatus").alias("status")))
+    rows = table(spark, sf_dir, "orders").select((k % 8).alias("ledger"), F.lit(0).alias("torn"), F.col("o_orderkey").alias("at"), row.alias("j"))
+    torn = rows.select("ledger").distinct().select("ledger", F.lit(1).alias("torn"), F.lit(0).cast("long").alias("at"), F.lit('{"id":"task-1","status":"TORN"}').alias("j"))
     path = f"{shared_dir(spark)}/ledgers-{uuid.uuid4().hex}"
-    ledgers.select("ledger", text.alias("value")).repartition("ledger").write.partitionBy("ledger").option("lineSep", " ").text(path)
+    sorted_rows = rows.unionAll(torn).repartition("ledger").sortWithinPartitions("ledger", "torn", "at", "j")
+    sorted_rows.select("ledger", F.concat(F.lit("\n"), F.substring("j", F.lit(1), F.length("j") - 1)).alias("value")).write.partitionBy("ledger").option("lineSep", "}").text(path)
     return files.receipts(spark, f"{path}/*", "id string, status string", "id").select(F.col("receipt").alias("id"), "status")
 
 

@@ -25,3 +25,19 @@ def test_lines_of_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.path.rsplit("/", 1)[1], r.line, r.text, r["last"]) for r in found) == sorted(told)
     assert len({r.task for r in found if r.path.endswith("4%20a")}) > 1  # no task holds the file
+
+
+def _ledgers(spark, monkeypatch):
+    seen = []
+    real = files.receipts
+    monkeypatch.setattr(ingest.files, "receipts", lambda s, path, *a: seen.append(path) or real(s, path, *a))
+    ingest.receipt_ledger(spark, "/root/testdata/sf0.001")
+    return [p.read_text() for p in Path(seen[0].removeprefix("file:").removesuffix("/*")).glob("*/part-*")]
+
+
+def test_ledgers_are_files_in_order_with_a_torn_line(spark, monkeypatch):
+    texts = _ledgers(spark, monkeypatch)
+    assert len(texts) == 8 and all(t.endswith('\n{"id":"task-1","status":"TORN"}') for t in texts)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey").collect()
+    told = [[f'{{"id":"{"Tt"[r.o_orderkey % 2]}ask-{r.o_custkey % 40}","status":"{r.o_orderstatus}"}}' for r in orders if r.o_custkey % 8 == k] for k in range(8)]
+    assert sorted(t.split("\n")[1:-1] for t in texts) == sorted(told)
