@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -119,8 +119,12 @@ def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.join(unstaged, "path", "full_outer").select("path", F.coalesce("u", "s").alias("status"))
 
 
+#: Parts, by their numbers, whose results share SARIF documents: a document is one value and may not grow with the table.
+DOCUMENT_PARTS = 25_000
+
+
 def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, doc): a SARIF document a brand, made of its parts and read through JSON."""
+    """(path, doc): SARIF documents of a brand each, made of its parts and read through JSON; a path is brand/number."""
     k = F.col("p_partkey")
     result = F.struct(
         F.when(k % 3 != 0, F.concat(F.lit("r"), k % 4)).alias("ruleId"), F.when(k % 3 == 0, (k % 4).cast("int")).alias("ruleIndex"), F.when(k % 2 == 0, "error").otherwise("note").alias("level"),
@@ -129,14 +133,18 @@ def _sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.struct(F.struct(F.concat_ws("/", "p_type", "p_partkey").alias("uri")).alias("artifactLocation"), F.struct((k % 90 + 1).cast("int").alias("startLine"), F.when(k % 2 == 1, (k % 90 + 4).cast("int")).alias("endLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
     )
     rules = F.array(*[F.struct(F.lit(f"r{i}").alias("id"), F.lit(f"rule {i}").alias("name")) for i in range(4)])
-    runs = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(result).alias("j")))).alias("l"))
+    runs = table(spark, sf_dir, "part").groupBy("p_brand", F.coalesce(F.floor(k / DOCUMENT_PARTS), F.lit(-1)).alias("number")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(result).alias("j")))).alias("l"))
     text = F.concat(F.lit('{"runs":[{"tool":{"driver":{"rules":'), F.to_json(rules), F.lit('}},"results":['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}]}"))
-    return runs.select(F.col("p_brand").alias("path"), F.from_json(text, files.SARIF).alias("doc"))
+    return runs.select(F.concat("p_brand", F.lit("/"), "number").alias("path"), F.from_json(text, files.SARIF).alias("doc"))
+
+
+def _brand() -> Column:
+    return F.regexp_replace("path", "/[^/]*$", "")
 
 
 def sarif_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.sarif_results(_sarif(spark, sf_dir))
-    return found.select(F.col("path").alias("brand"), "rule_id", "rule", "severity", "uri", "start_line", "end_line")
+    return found.select(_brand().alias("brand"), "rule_id", "rule", "severity", "uri", "start_line", "end_line")
 
 
 def sarif_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +152,7 @@ def sarif_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.sarif_results(_sarif(spark, sf_dir)).withColumn("candidate", F.sha2(F.concat_ws("|", "path", "rule_id", "uri", "start_line"), 256))
     path = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}"
     found.select("candidate", "rule_id", "uri", "start_line").write.json(f"{path}/candidates")
-    found.select("candidate", F.col("path").alias("source")).write.json(f"{path}/sources")
+    found.select("candidate", _brand().alias("source")).write.json(f"{path}/sources")
     a, b = spark.read.schema("candidate string, rule_id string, uri string, start_line long").json(f"{path}/candidates"), spark.read.schema("candidate string, source string").json(f"{path}/sources")
     return a.join(b, "candidate").select("rule_id", "uri", "start_line", "source")
 

@@ -152,7 +152,8 @@ def sarif_results(docs: DataFrame) -> DataFrame:
     the level, of which the rule may hold the default.
     """
     runs = docs.select("path", F.posexplode("doc.runs").alias("run", "r"))
-    each = runs.select("path", "run", F.col("r.tool.driver.rules").alias("rules"), F.posexplode("r.results").alias("result", "x"))
+    split = runs.select("path", "run", F.col("r.tool.driver.rules").alias("rules"), F.col("r.results").alias("results"))  # the run itself is not carried along with its results
+    each = split.select("path", "run", "rules", F.posexplode("results").alias("result", "x"))
     held = F.coalesce(F.exists("x.suppressions", lambda s: F.coalesce(s["status"], F.lit("")) != "rejected"), F.lit(False))
     out = held | F.coalesce(F.col("x.baselineState") == "absent", F.lit(False)) | F.coalesce(F.col("x.kind").isin("pass", "notApplicable"), F.lit(False))
     rule = F.coalesce(F.get("rules", F.col("x.ruleIndex")), F.get(F.filter("rules", lambda r: r["id"] == F.col("x.ruleId")), F.lit(0)))

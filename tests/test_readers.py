@@ -41,3 +41,17 @@ def test_ledgers_are_files_in_order_with_a_torn_line(spark, monkeypatch):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey").collect()
     told = [[f'{{"id":"{"Tt"[r.o_orderkey % 2]}ask-{r.o_custkey % 40}","status":"{r.o_orderstatus}"}}' for r in orders if r.o_custkey % 8 == k] for k in range(8)]
     assert sorted(t.split("\n")[1:-1] for t in texts) == sorted(told)
+
+
+def test_results_do_not_carry_their_run(spark):
+    docs = spark.createDataFrame([("p", "{}")], "path string, t string").select("path", F.from_json("t", files.SARIF).alias("doc"))
+    plan = files.sarif_results(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(results#" in plan and ".results)" not in plan
+
+
+def test_sarif_documents_do_not_grow_with_the_table(spark, monkeypatch):
+    whole = sorted(map(tuple, ingest.sarif_seeds(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(ingest, "DOCUMENT_PARTS", 50)
+    docs = ingest._sarif(spark, "/root/testdata/sf0.001").select(F.size(F.col("doc.runs")[0]["results"]).alias("n")).collect()
+    assert len(docs) > 25 and max(r.n for r in docs) <= 50
+    assert sorted(map(tuple, ingest.sarif_seeds(spark, "/root/testdata/sf0.001").collect())) == whole
