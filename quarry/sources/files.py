@@ -128,15 +128,15 @@ def repository_files(spark: SparkSession, path: str, excluded: Column, suffixes:
     return files.where(wanted & ~excluded & (F.position(F.lit(b"\x00"), F.col("content")) == 0)).select("path", F.col("length").alias("bytes"))
 
 
+#: One change of a NUL-separated list, right after the one before: a status and its path, or its old and its new path.
+_CHANGE = r"\G\x00*(?:[RC][^\x00]*+\x00+[^\x00]++\x00+[^\x00]++|[^RC\x00][^\x00]*+\x00+[^\x00]++)"
+
+
 def name_status(text: DataFrame) -> DataFrame:
     """(status, path) of NUL-separated change lists (a row with a column `z` each); renames and copies give their new path."""
-    parts = F.filter(F.split("z", "\0"), lambda x: x != "")
-    step = lambda s, x: (
-        F.when(s["skip"] > 0, F.struct((s["skip"] - 1).alias("skip"), s["status"].alias("status"), F.when(s["skip"] == 1, F.array_append(s["out"], F.struct(s["status"].alias("status"), x.alias("path")))).otherwise(s["out"]).alias("out")))
-        .otherwise(F.struct(F.when(F.substring(x, 1, 1).isin("R", "C"), 2).otherwise(1).alias("skip"), F.substring(x, 1, 1).alias("status"), s["out"].alias("out")))
-    )
-    start = F.struct(F.lit(0).alias("skip"), F.lit("").alias("status"), F.expr("CAST(array() AS array<struct<status:string,path:string>>)").alias("out"))
-    return text.select(F.explode(F.aggregate(parts, start, step)["out"]).alias("c")).select("c.status", "c.path")
+    change = F.explode(F.regexp_extract_all("z", F.lit(_CHANGE), 0)).alias("c")
+    parts = text.select(change).select(F.filter(F.split("c", "\0"), lambda x: x != "").alias("c"))
+    return parts.select(F.substring(F.get("c", F.lit(0)), 1, 1).alias("status"), F.element_at("c", -1).alias("path"))
 
 
 SARIF = """runs array<struct<tool struct<driver struct<rules array<struct<id string, name string, defaultConfiguration struct<level string>, properties struct<`security-severity` string, tags array<string>, cwe array<string>>>>>>, results array<struct<ruleId string, ruleIndex int, level string, kind string, baselineState string,

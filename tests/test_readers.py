@@ -43,6 +43,24 @@ def test_ledgers_are_files_in_order_with_a_torn_line(spark, monkeypatch):
     assert sorted(t.split("\n")[1:-1] for t in texts) == sorted(told)
 
 
+def test_long_change_lists(spark):
+    n = 20_000
+    changes = spark.createDataFrame([("".join(f"R100\0old{i}\0new{i}\0M\0m{i}\0" for i in range(n)),)], "z string")
+    began = time.time()
+    found = {tuple(r) for r in files.name_status(changes).collect()}
+    assert found == {("R", f"new{i}") for i in range(n)} | {("M", f"m{i}") for i in range(n)}
+    assert time.time() - began < 30  # a list grown by copies takes minutes
+
+
+def test_change_lists_with_odd_places(spark):
+    cases = [
+        ("\0\0M\0\0a\0\0C75\0R\0M\0D\0C\0", [("M", "a"), ("C", "M"), ("D", "C")]), ("R100\0old", []), ("M\0a\0R100\0old\0", [("M", "a")]), ("M", []), ("", []), (None, []),
+        ("R\0o\nld\0n\new", [("R", "n\new")]), ("é\0x", [("é", "x")]),
+    ]
+    for z, told in cases:
+        assert [tuple(r) for r in files.name_status(spark.createDataFrame([(z,)], "z string")).collect()] == told
+
+
 def test_results_do_not_carry_their_run(spark):
     docs = spark.createDataFrame([("p", "{}")], "path string, t string").select("path", F.from_json("t", files.SARIF).alias("doc"))
     plan = files.sarif_results(docs)._jdf.queryExecution().optimizedPlan().toString()
