@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.secrets import entropy
 from quarry.plans.views import table
 
 
@@ -137,11 +138,10 @@ def sorted_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shannon entropy, in bits, of the characters of each part's name."""
-    chars = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", "")).alias("c")).where("c <> ''")
-    counts = chars.groupBy("p_partkey", "c").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("p_partkey").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return sums.select("p_partkey", F.round(F.log2(F.col("all").cast("double")) - F.col("s") / F.col("all"), 6).alias("entropy"))
+    """Shannon entropy, in bits, of the characters of each part's name; the names of a repeated part count together, an empty one has 0."""
+    names = table(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", "p_name").repartition("p_partkey")
+    whole = names.groupBy("p_partkey").agg(F.array_join(F.collect_list("p_name"), "").alias("name"))
+    return whole.select("p_partkey", F.round(entropy(F.col("name")), 6).alias("entropy"))
 
 
 def usd_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_very_long_values_and_empty_tables(spark):
     r = secrets.credential_candidates(df, "i", "t", b"k").first()
     assert (r.length, r.entropy, r.random) == (1_000_000, 1.0, False)
     assert secrets.credential_candidates(df.limit(0), "i", "t", b"k").count() == 0
+
+
+def test_name_entropy_is_local_and_joins_repeated_parts(spark, tmp_path):
+    from oracle import same
+    from quarry.operators import scalars
+
+    rows = [(1, "aab"), (1, "bc"), (2, ""), (3, None), (4, "\U0001F600a"), (None, "xy"), (5, "z" * 1000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/w")
+    (found,) = (tmp_path / "w").glob("part-*.parquet")
+    found.rename(tmp_path / "part.parquet")
+    same(spark, scalars.name_entropy, scalars.ORACLES["name_entropy"], str(tmp_path))
+    assert "Generate" not in scalars.name_entropy(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()  # no row a character
