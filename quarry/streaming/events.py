@@ -7,12 +7,10 @@ Parquet that is read back; nothing passes through the driver. The operators are
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.plans.session import shared_dir
 from quarry.plans.views import table
@@ -21,8 +19,8 @@ from quarry.streaming import sessions
 
 
 def opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stream of a table's file."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A stream of a table: one file, or a folder of files; given as a pattern, as a plain path must be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def finished(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
@@ -82,22 +80,12 @@ def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads reduced to a status by a stateful stream: first turn, last turn and its role are kept."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, role, n = state.get if state.exists else (1 << 62, -1, "", 0)
-        for rows in batches:
-            n += len(rows)
-            first = min(first, int(rows["turn"].min()))
-            at = rows["turn"].idxmax()
-            if rows["turn"][at] > last:
-                last, role = int(rows["turn"][at]), str(rows["role"][at])
-        state.update((first, last, role, n))
-        yield pd.DataFrame({"conv_id": [key[0]], "events": [n], "status": ["orphan" if first else "complete" if role == "assistant" else "failed"]})
-
-    rows = opened(spark, sf_dir, "conversations").select("conv_id", "turn", "role").groupBy("conv_id")
-    found = rows.applyInPandasWithState(step, "conv_id long, events long, status string", "first long, last long, role string, n long", "update", GroupStateTimeout.NoTimeout)
-    every = finished(found, "update")
+    """Threads reduced to a status by a stateful stream: turns are counted, first turn, last turn and its role are kept."""
+    rows = opened(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    last = F.max(F.when(F.col("role").isNotNull() & F.col("turn").isNotNull(), F.struct("turn", "role")))["role"]
+    found = rows.groupBy("conv_id").agg(F.count("*").alias("events"), F.min("turn").alias("first"), last.alias("role"))
+    status = F.when(F.col("first") != 0, "orphan").when(F.col("role") == "assistant", "complete").otherwise("failed")
+    every = finished(found.select("conv_id", "events", status.alias("status")), "update")
     return every.groupBy("conv_id").agg(F.max(F.struct("batch", "events", "status")).alias("k")).select("conv_id", "k.events", "k.status")
 
 

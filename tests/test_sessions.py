@@ -127,3 +127,25 @@ def test_last_line_feed_is_found_by_blocks(tmp_path, monkeypatch, begin):
     (tmp_path / "f").write_bytes(b"ab\ncdefghijklm")
     with open(tmp_path / "f", "rb") as f:
         assert tail.end_of_lines(f, begin, 14) == 3
+
+
+def test_threads_with_nulls_are_reduced_as_sql_does(spark, tmp_path):
+    from oracle import same
+    from quarry.streaming import events
+
+    rows = [(1, 0, "user"), (1, 1, "assistant"), (1, 2, None), (2, None, "user"), (2, 0, "user"), (3, None, None), (4, 1, "assistant"), (None, 0, "assistant"), (5, 0, None), (None, 1, "user")]
+    spark.createDataFrame([(*r, "t") for r in rows], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/w")
+    (found,) = (tmp_path / "w").glob("part-*.parquet")
+    found.rename(tmp_path / "conversations.parquet")
+    same(spark, events.lifecycle_stream, events.ORACLES["lifecycle_stream"], str(tmp_path))
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    from quarry.streaming import events
+
+    for name, key in (("conversations", "conv_id"), ("events", "event_id")):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        table.repartition(3, key).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (events.lifecycle_stream, events.high_water_stream, lambda s, d: events.budget_stream(s, d, limit=500)):
+        told = sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
+        assert told and sorted(map(tuple, query(spark, str(tmp_path)).collect())) == told
