@@ -7,6 +7,7 @@ Counters are cumulative: a new one replaces the last, and one that falls is igno
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -112,7 +113,8 @@ class LatestUsage(_Idle):
 class BudgetStop(_Idle):
     """One row a run, when the counters of its sessions together first exceed the limit.
 
-    The rows of a run in one batch are put in order in memory; the stream's trigger bounds them.
+    The rows of a run in one batch are put in order in memory; the stream's trigger bounds them. A
+    counter is read and written once a batch; a run that was stopped needs none.
     """
 
     OUT = "run long, session long, spent long"
@@ -128,15 +130,25 @@ class BudgetStop(_Idle):
 
     def step(self, key, rows):
         spent, stopped = self.total.get() if self.total.exists() else (0, False)
+        if stopped:  # nothing more is said of the run
+            deque(rows, maxlen=0)
+            return
+        known, risen = {}, {}
         for r in sorted(rows, key=lambda r: r.at):
-            known = self.counters.getValue((r.session,))[0] if self.counters.containsKey((r.session,)) else 0
-            if r.spent <= known:
+            if r.session not in known:
+                known[r.session] = self.counters.getValue((r.session,))[0] if self.counters.containsKey((r.session,)) else 0
+            if r.spent <= known[r.session]:
                 continue
-            self.counters.updateValue((r.session,), (r.spent,))
-            spent += r.spent - known
-            if spent > self.limit and not stopped:
+            spent += r.spent - known[r.session]
+            known[r.session] = risen[r.session] = r.spent
+            if spent > self.limit:
                 stopped = True
+                self.counters.clear()
                 yield Row(run=key[0], session=r.session, spent=spent)
+                break
+        if not stopped:
+            for session, now in risen.items():
+                self.counters.updateValue((session,), (now,))
         self.total.update((spent, stopped))
 
 

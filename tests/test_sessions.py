@@ -149,3 +149,30 @@ def test_streams_read_tables_of_many_files(spark, tmp_path):
     for query in (events.lifecycle_stream, events.high_water_stream, lambda s, d: events.budget_stream(s, d, limit=500)):
         told = sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
         assert told and sorted(map(tuple, query(spark, str(tmp_path)).collect())) == told
+
+
+def test_a_budget_asks_the_store_once_a_session_and_batch():
+    from pyspark.sql import Row
+
+    calls, held, total = [], {}, []
+
+    class Counters:
+        getValue = lambda self, k: calls.append(k) or (held[k],)
+        containsKey = lambda self, k: calls.append(k) or k in held
+        updateValue = lambda self, k, v: calls.append(k) or held.update({k: v[0]})
+        clear = lambda self: held.clear()
+
+    class Total:
+        exists = lambda self: bool(total)
+        get = lambda self: total[-1]
+        update = total.append
+
+    stop = sessions.BudgetStop(10_000)
+    stop.counters, stop.total = Counters(), Total()
+    rows = [Row(run=1, session=i % 3, at=i, spent=i) for i in range(3000)]
+    random.Random(1).shuffle(rows)
+    assert list(stop.step((1,), iter(rows))) == [] and total[-1] == (2997 + 2998 + 2999, False)
+    assert len(calls) <= 9
+    (out,) = stop.step((1,), iter([Row(run=1, session=1, at=4000, spent=5000), Row(run=1, session=2, at=4001, spent=9000)]))
+    assert (out.session, out.spent) == (1, 2997 + 5000 + 2999)
+    assert list(stop.step((1,), iter([Row(run=1, session=2, at=5000, spent=99_000)]))) == []
