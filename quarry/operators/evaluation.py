@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import matching
-from quarry.operators.scoring import ratio
+from quarry.operators.scoring import adjacent, ratio
 from quarry.plans import views
 from quarry.plans.session import materialize
 from quarry.plans.views import table
@@ -156,8 +156,7 @@ def quality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings of a year and of the year after, with weakness ids and line intervals, joined on target, year and path later."""
-    loc = views.located(views.occurrences(spark, sf_dir), spark, sf_dir).where("path IS NOT NULL")
-    loc = loc.withColumn("cwe", F.array_distinct(F.array(F.col("finding_id") % 7, F.col("finding_id") % 5)))
+    loc = adjacent(spark, sf_dir).withColumn("cwe", F.array_distinct(F.array(F.col("finding_id") % 7, F.col("finding_id") % 5)))
     pick = lambda shift, n, k: loc.select("target_id", (F.col("yr") - shift).alias("yr"), "path", F.col("occurrence_id").alias(n), F.col("cwe").alias(f"cwe{k}"), F.col("start_line").alias(f"s{k}"), F.col("end_line").alias(f"e{k}"))
     return pick(0, "a", 0), pick(1, "b", 1)
 
