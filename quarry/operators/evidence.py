@@ -69,13 +69,18 @@ def artifact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of evidence lines: that of the flow with their id, else the one role of all endpoints that overlap them, else none."""
-    occ = views.located(views.occurrences(spark, sf_dir), spark, sf_dir).where("path IS NOT NULL")
-    evidence = occ.select("occurrence_id", "path", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.when(F.col("occurrence_id") % 4 == 0, F.lit("propagation")).alias("flow"))
+    """Roles of evidence lines: that of the flow with their id, else the one role of all endpoints that overlap them, else none.
+
+    The endpoints of a path are put beside its part, so that occurrences are joined once, without their paths.
+    """
+    occ = views.occurrences(spark, sf_dir).select("occurrence_id", "part", (F.col("line") * 10).alias("s"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("size")).where("path IS NOT NULL")
     ends = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_partkey").alias("path"), F.explode(F.array(F.struct(F.lit(10).alias("s0"), F.lit(25).alias("e0"), F.lit("source").alias("role")), F.struct(F.lit(24).alias("s0"), F.lit(60).alias("e0"), F.lit("sink").alias("role")))).alias("p")).select("path", "p.*")
-    roles = evidence.join(ends, "path").where("s <= e0 AND s0 <= e").groupBy("occurrence_id").agg(F.collect_set("role").alias("roles"))
-    both = evidence.join(roles, "occurrence_id", "left")
-    return both.select("occurrence_id", F.coalesce("flow", F.when(F.size("roles") == 1, F.element_at("roles", 1))).alias("role"))
+    beside = parts.join(ends.groupBy("path").agg(F.collect_set(F.struct("s0", "e0", "role")).alias("ends")), "path", "left").select("part", "size", "ends")
+    near = F.filter("ends", lambda x: (F.col("s") <= x["e0"]) & (x["s0"] <= F.col("s") + F.col("size")))
+    both = occ.join(beside, "part").withColumn("roles", F.array_distinct(F.transform(near, lambda x: x["role"])))
+    flow = F.when(F.col("occurrence_id") % 4 == 0, F.lit("propagation"))
+    return both.select("occurrence_id", F.coalesce(flow, F.when(F.size("roles") == 1, F.element_at("roles", 1))).alias("role"))
 
 
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
