@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,28 +95,41 @@ class Meter:
         return *np.log1p(counts), share.max(), np.log1p(gain[gain > 0].sum()), 10 * gain.sum() / cost.sum(), np.log1p(len(each))
 
 
-def _copies(texts: list[list[bytes]]) -> np.ndarray:
-    """A number of each text's group of copies and near copies, which share their passages of three words."""
-    parent, first = np.arange(len(texts)), {}
+def _passages(words: list[bytes]) -> list[int]:
+    """Least hashes of a text's passages of three words."""
     odd = (np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for i, words in enumerate(texts):
-        grams = {zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
-        h = (np.fromiter(grams, np.uint64, len(grams))[:, None] * odd).min(axis=0)
+    grams = {zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
+    return (np.fromiter(grams, np.uint64, len(grams))[:, None] * odd).min(axis=0).tolist()
+
+
+def _copies(texts: list[list[int]]) -> np.ndarray:
+    """A number of each text's group of copies and near copies, which share their passages; texts are told by their _passages."""
+    parent, first = np.arange(len(texts)), {}
+    for i, h in enumerate(texts):
         for k in range(BANDS):
-            other = first.setdefault((k, int(h[2 * k]), int(h[2 * k + 1])), i)
+            other = first.setdefault((k, h[2 * k], h[2 * k + 1]), i)
             if other != i:
                 a, b = find(parent, np.array([i, other]))
                 parent[max(a, b)] = min(a, b)
     return find(parent, np.arange(len(texts)))
 
 
-def _support(texts: list[list[bytes]]) -> Counter:
-    """Documents that hold each word (` word `); copies and near copies count once."""
-    held: dict[bytes, set[int]] = defaultdict(set)
-    for words, group in zip(texts, _copies(texts).tolist()):
-        for w in set(words):
-            held[b" %b " % w].add(group)
-    return Counter({w: len(s) for w, s in held.items()})
+def _support(texts: Iterable[str]) -> Counter:
+    """Documents that hold each word (` word `); copies and near copies count once.
+
+    Texts are taken one at a time, and no more is kept of each than numbers of its distinct words
+    and its least hashes: this runs on the driver.
+    """
+    numbers: dict[bytes, int] = {}
+    own, sizes, told = array("q"), [], []
+    for words in map(words_of, texts):
+        start = len(own)
+        own.extend(numbers.setdefault(w, len(numbers)) for w in set(words))
+        sizes.append(len(own) - start)
+        told.append(_passages(words))
+    pairs = np.unique(np.frombuffer(own, np.int64) * len(told) + np.repeat(_copies(told), sizes))
+    held = np.bincount(pairs // max(1, len(told)), minlength=len(numbers))
+    return Counter({b" %b " % w: n for w, n in zip(numbers, held.tolist())})
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -133,7 +147,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     rows = sorted(set((t, y) for t, y in rows if t is not None))
     shuffle.shuffle(rows)
     cut = int(len(rows) * TRAIN_SHARE)
-    parts = [[words_of(t) for t, y in rows[:cut] if y == k] for k in (0, 1)]
+    parts = [[t for t, y in rows[:cut] if y == k] for k in (0, 1)]
     if not parts[0] or not parts[1] or len({y for _, y in rows[cut:]}) < 2:
         return None
     common, marked = _support(parts[0]), _support(parts[1])
