@@ -17,7 +17,8 @@ a shard the same splitting goes on down to small leaves; keys within reach are c
   least): each differs with a chance of (1 - similarity) / 2, whatever the sizes. `TREES` keys of 32
   bits are searched with a radius of `REACH`; a pair at 0.8 is met with a chance of 0.996, and of
   more above. They only find candidates, up to `SIGMAS` standard deviations over the expected
-  distance of `CHECK` bits. A candidate is linked if the exact similarity of the shingle sets is
+  distance of `CHECK` bits: all of them, so that few pairs of a large group whose texts are hardly
+  less similar than asked have to be tried. A candidate is linked if the exact similarity of the shingle sets is
   reached; where one is refused its class is searched again, until no candidate is untried.
 
 Groups of copies collapse to one fingerprint first, and shards return spanning links, never all
@@ -44,7 +45,7 @@ RADIUS = 3
 #: Bytes of the sample that vantage points are fitted on, and vantage points tried for a node.
 SAMPLE_BYTES, TRIES = 32 << 20, 6
 #: Distinct fingerprints at home in a shard, about: of 64 bits, and wide ones.
-SHARD, WIDE_SHARD = 1 << 16, 1 << 19
+SHARD, WIDE_SHARD = 1 << 16, 1 << 18
 #: Below this a branch is compared in full.
 LEAF = 128
 #: Text bytes that are made shingle sets at a time, about.
@@ -52,7 +53,7 @@ PART_BYTES = 1 << 21
 #: Bits of a wide fingerprint; its trees, of which each has a 32-bit word as its key, and the radius of its searches.
 WIDE, TREES, REACH = 1024, 32, 1
 #: Bits that candidates are compared by, and the standard deviations that they may lie over the expected distance.
-CHECK, SIGMAS = 128, 4
+CHECK, SIGMAS = 1024, 4
 #: Trees that are searched first; the others then look only between the classes that these found.
 FIRST = 4
 #: Pairs of a shard for each of its rows that are tried at once: at first, and when a class is searched again.
@@ -504,13 +505,13 @@ def similar_sets(docs: DataFrame, prints: DataFrame, words: int, similarity: flo
     """(node, component) of the distinct shingle sets that are linked to others.
 
     A few trees are searched first, and the others between the classes that these gave, so that a
-    large group of copies is not linked anew by every tree. Candidates are verified in rounds: the
-    closest of each class, then all that still lie between two classes; a group of copies costs about
-    two comparisons a text.
+    large group of copies is not linked anew by every tree. Candidates of the first are verified in
+    rounds: the closest of each class, then all that still lie between two classes; a group of copies
+    costs about two comparisons a text. The others find what is left of such groups, at once.
     """
     nodes = materialize(prints.where("n > 0").dropDuplicates(["node"]).select("fp", "node", "tid"))
     pairs = sets = tried = classes = None
-    for trees, rounds in ((range(FIRST), (False, False, True)), (range(FIRST, TREES), (False, True))):
+    for trees, rounds in ((range(FIRST), (False, False, True)), (range(FIRST, TREES), (True,))):
         asked = nodes.select("fp", "node")
         if classes is not None:
             asked = materialize(asked.join(classes, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("class")))
@@ -520,9 +521,11 @@ def similar_sets(docs: DataFrame, prints: DataFrame, words: int, similarity: flo
             ends = ends.join(sets, "node", "left_anti")
         made = materialize(shingle_sets(docs, materialize(nodes.join(ends, "node", "left_semi").select("node", "tid")), words))
         sets = made if sets is None else sets.unionAll(made)
+        rest = new
         for whole in rounds:
-            rest = new if tried is None else new.join(tried, ["a", "b"], "left_anti")
-            rest = _between(rest, classes)
+            rest = _between(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), classes)
+            if not whole:
+                rest = materialize(rest)  # classes only grow, so later rounds need no more than this
             found = materialize(verified(rest if whole else _closest(rest), sets, similarity))
             tried = found if tried is None else tried.unionAll(found)
             classes = materialize(connected_components(tried.where("good")))

@@ -234,6 +234,21 @@ def test_similar_documents_try_what_a_refused_pair_hid(spark, monkeypatch):
         assert {r.doc_id for r in simhash.drop_similar(df).collect()} == {i for i, c in enumerate(comp) if c == i}
 
 
+def test_a_group_below_the_similarity_has_few_candidates(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for i in rng.sample(range(400), 9):  # pairs have a similarity of about 0.65
+            words[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.wide_fingerprints(df).select("fp", "node")
+    assert simhash.candidates(nodes, 0.8).count() <= len(texts)
+    assert simhash.drop_similar(df).count() == len(texts)
+
+
 def test_similar_documents_with_null_and_repeated_ids(spark):
     rnd = random.Random(13)
     texts = [" ".join(rnd.choice(VOCAB) + str(rnd.randrange(99)) for _ in range(200)) for _ in range(8)]
