@@ -1,10 +1,12 @@
 """Alignment of two tokenizers' tokens over the same text.
 
-Every document is encoded by both. The ids are exploded with their places; running sums of the
-entries' bytes (a window) say where each token ends; an equi-join on document and end finds the
-places at which tokens of both end, the cuts, and a running count of the cuts numbers the groups
-between them. A group is a range of tokens of either side, and the two ranges joined are its
-links, which Arrow batches fold to distinct id pairs a document.
+Every document is encoded by both. Tokens of both end where a stretch of text (see `tokens`) ends,
+so a unit of some documents is aligned by its distinct stretches, laid end to end. Their ids are
+exploded with their places; running sums of the entries' bytes (a window) say where each token
+ends; an equi-join on unit and end finds the places at which tokens of both end, the cuts, and a
+running count of the cuts numbers the groups between them. A group is a range of tokens of either
+side, and the two ranges joined are its links. Arrow batches put the documents together from their
+stretches: the digest of their groups and their distinct id pairs.
 
 Pair counts are summed up before the shuffle. Links find them again by a broadcast of the pairs
 that hold at least one in `HOT_PAIRS` of all, of which there are `HOT_PAIRS` at most; only rarer
@@ -36,8 +38,10 @@ HOT_PAIRS = 200_000
 FOLD_TOKENS, WIDE_GROUP = 1 << 17, 1024
 #: Stretches that a task remembers, and documents that an Arrow batch holds at most.
 MEMO, BATCH_ROWS = 350_000, 300
-#: Text bytes that are encoded at a time, about.
-ENCODE_BYTES = 2 << 20
+#: Text bytes of the documents whose distinct stretches are aligned together, about; a longer text stands alone.
+UNIT_BYTES = 4 << 20
+#: Stretches whose pairs are told at a time.
+MOST_STRETCHES = 1 << 20
 #: Ids travel as 16-bit numbers, from the least one up.
 SHIFT = 1 << 15
 
@@ -48,30 +52,51 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _halves(x: np.ndarray, kind: str) -> np.ndarray:
+    """Whole numbers of a kind, as 16-bit halves that travel beside ids."""
+    return np.ascontiguousarray(x, kind).view("<i2")
+
+
+def _unit(encode: tokens.Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+    texts = pc.fill_null(part.column(2), "")
+    at, offsets = encode.stretches(texts)
+    good = encode.spelled & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+    many = np.diff(offsets)
+    used, first, codes = np.unique(at[np.repeat(good, many)], return_index=True, return_inverse=True)
+    order = np.argsort(first)  # as they come: what a worker remembers must not tell, as a task may run twice
+    used, codes = used[order], np.argsort(order)[codes]
+    sides = [(_gather(flat, start[used], size[used]).astype(np.int64) - SHIFT).astype(np.int16) for flat, start, size in encode.known]
+    row, doc = part.column(0).to_numpy(), part.column(1)
+    told = [(codes, "<i4"), (np.where(good, many, 0), "<i4"), (encode.known[0][2][used], "<i4"), (row, "<i8"), (pc.fill_null(doc, 0).to_numpy(), "<i8"), (doc.is_null().to_numpy(zero_copy_only=False), "<i2")]
+    lists = [*sides, *(_halves(x, kind) for x, kind in told)]
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
+    outer = pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), inner)
+    return pa.RecordBatch.from_arrays([pa.array(row[:1]), doc.slice(0, 1), outer], names=["row", "doc_id", "ids"])
+
+
 def encoded(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
-    """(row, doc_id, ids): the ids of both sides, row a number of its own for each row of docs.
+    """(row, doc_id, ids): a row for a unit of documents of about `UNIT_BYTES`, row and doc_id those of its first.
 
-    ids is null where a text is null or empty, or where the bytes of either side's entries are not
-    a space and the text.
+    ids[0] and ids[1] are the ids of both sides for each distinct stretch of the unit, end to end; the
+    tokens of both sides end where a stretch ends. What follows them, in 16-bit halves, says of which
+    stretches the documents are made (`_documents` reads it; all is in one column, so that all readers
+    share one shuffle). A document is of none where its text is null or empty, or where the bytes of
+    either side's entries are not a space and the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tokens.file_bytes(byte_bpe), tokens.file_bytes(piece_bpe)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.both(*shared.value, MEMO)
+        encode, held, size = tokens.both(*shared.value, MEMO), [], 0
         for batch in batches:
-            for lo, hi in tokens.parts_of(batch.column(2), ENCODE_BYTES):
-                part = batch.slice(lo, hi - lo)
-                texts = pc.fill_null(part.column(2), "")
-                found = encode(texts)
-                good = encode.spelled & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-                keep = np.flatnonzero(good)
-                starts = np.stack([at[keep] + (0 if i == 0 else len(found[0][0])) for i, (_, at) in enumerate(found)], axis=1).ravel()
-                lengths = np.stack([np.diff(at)[keep] for _, at in found], axis=1).ravel()
-                ids = _gather(np.concatenate([ids for ids, _ in found]).astype(np.int32), starts, lengths)
-                inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array((ids - SHIFT).astype(np.int16)))
-                outer = pa.array(np.concatenate([[0], np.cumsum(2 * good)]), pa.int32())
-                lists = pa.ListArray.from_arrays(outer, inner, mask=pa.array(~good))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["row", "doc_id", "ids"])
+            weight = np.maximum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), 64)
+            for lo, hi in slices(weight, UNIT_BYTES // 4):
+                held.append(batch.slice(lo, hi - lo))
+                size += int(weight[lo:hi].sum())
+                if size >= UNIT_BYTES:
+                    yield _unit(encode, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, size = [], 0
+        if held:
+            yield _unit(encode, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     # rows are never null, but a join asks; said here, all readers share one shuffle
@@ -122,8 +147,8 @@ class Fold:
         before[first] = 0
         return before, last + 1 - before
 
-    def texts(self, values: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[str]:
-        """SHA-256 of each document's groups; start and size by group and side."""
+    def texts(self, values: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """The groups from each of first to the next, a semicolon before each; start and size by group and side."""
         ids = _gather(values, start.ravel(), size.ravel())
         width = self.size[ids]
         out = _gather(self.flat, self.start[ids], width)
@@ -133,7 +158,7 @@ class Fold:
         mark[begin[:, 0]], mark[begin[:, 1]] = ord(";"), ord("|")
         out[at] = mark
         edges, data = [*at[begin[first, 0]].tolist(), len(out)], out.tobytes()
-        return [hashlib.sha256(data[a + 1 : b]).hexdigest() for a, b in zip(edges, edges[1:])]
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
 
     @staticmethod
     def pairs(values: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -163,44 +188,59 @@ _FOLDED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int
 
 
 def folded(aligned: DataFrame, most: int) -> DataFrame:
-    """Documents (row, doc_id, ids, cuts) with their counts, their groups' digest and their distinct pairs (a, b, n)."""
+    """The documents of units (ids, cuts) with their counts, their groups' digest and their distinct pairs (a, b, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = Fold(most)
         for batch in batches:
-            weight = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(weight + 1, FOLD_TOKENS):
-                yield _fold(fold, batch.slice(lo, hi - lo))
-
-    return aligned.select("row", "doc_id", "ids", "cuts").mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>")
-
-
-def _fold(fold: Fold, part: pa.RecordBatch) -> pa.RecordBatch:
-    rows = part.num_rows
-    counts = pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    told = np.flatnonzero(counts)
-    cut, inner = part.column(3).flatten(), part.column(2).filter(pa.array(counts > 0)).flatten()
-    doc = np.repeat(told, counts[told])
-    grp, last = pc.struct_field(cut, "grp").to_numpy(), [pc.struct_field(cut, n).to_numpy().astype(np.int64) for n in "ab"]
-    order = np.lexsort((grp, doc))
-    last = [x[order] for x in last]
-    size = pc.list_value_length(inner).to_numpy().astype(np.int64).reshape(-1, 2)
-    values = inner.flatten().to_numpy().astype(np.int64) + SHIFT
-    base = np.zeros((rows, 2), np.int64)
-    base[told] = (np.cumsum(size.ravel()) - size.ravel()).reshape(-1, 2)
-    first = np.cumsum(counts[told]) - counts[told]
-    found = [Fold.ranges(x, first) for x in last]
-    start = np.stack([f[0] + base[doc, i] for i, f in enumerate(found)], axis=1)
-    width = np.stack([f[1] for f in found], axis=1)
-    digest, totals, links = np.full(rows, "", object), np.zeros((rows, 2), np.int64), np.zeros(rows, np.int64)
-    totals[told] = size
-    digest[told] = fold.texts(values, start, width, first) if len(told) else []
-    np.add.at(links, doc, width[:, 0] * width[:, 1])
-    owner, a, b, n = Fold.pairs(values, start, width, doc)
-    offsets = pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((a, pa.int32()), (b, pa.int32()), (n, pa.int64()))]
-    columns = [part.column(0), part.column(1), *(pa.array(x) for x in (totals[:, 0], totals[:, 1], counts, links)), pa.array(digest, pa.string()), *lists]
-    return pa.RecordBatch.from_arrays(columns, schema=_FOLDED)
+            for ids, cuts in zip(batch.column(0), batch.column(1)):
+                yield from _documents(fold, [x.values.to_numpy() for x in ids], cuts.values)
+
+    return aligned.select("ids", "cuts").mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>")
+
+
+def _documents(fold: Fold, ids: list[np.ndarray], cut: pa.StructArray | None) -> Iterator[pa.RecordBatch]:
+    """Groups and pairs are told once a stretch; documents join those of theirs."""
+    codes, many, tokens_a = (x.copy().view("<i4").astype(np.int64) for x in ids[2:5])
+    row, doc_id, null = ids[5].copy().view("<i8"), ids[6].copy().view("<i8"), ids[7] != 0
+    stretches, offsets = len(tokens_a), np.concatenate([[0], np.cumsum(many)])
+    values = np.concatenate(ids[:2]).astype(np.int64) + SHIFT
+    texts, found, counts = [], [np.zeros((4, 0), np.int64)], np.zeros((4, 0), np.int64)
+    if stretches:
+        order = np.argsort(pc.struct_field(cut, "grp").to_numpy())
+        sides = [Fold.ranges(pc.struct_field(cut, n).to_numpy().astype(np.int64)[order], np.zeros(1, np.int64)) for n in "ab"]
+        start, width = np.stack([sides[0][0], sides[1][0] + len(ids[0])], axis=1), np.stack([x[1] for x in sides], axis=1)
+        stretch = np.searchsorted(np.cumsum(tokens_a), start[:, 0], side="right")
+        edges = np.searchsorted(stretch, np.arange(stretches + 1))
+        first = edges[:-1]
+        texts = fold.texts(values, start, width, first)
+        counts = np.stack([*(np.add.reduceat(x, first) for x in (width[:, 0], width[:, 1])), np.diff(edges), np.add.reduceat(width[:, 0] * width[:, 1], first)])
+        for lo in range(0, stretches, MOST_STRETCHES):
+            some = slice(edges[lo], edges[min(lo + MOST_STRETCHES, stretches)])
+            owner, *rest = Fold.pairs(values, start[some], width[some], stretch[some] - lo)
+            found.append(np.stack([owner + lo, *rest]))
+    owner, a, b, n = np.concatenate(found, axis=1)
+    pair, code = np.unique((a << 21) | b, return_inverse=True)
+    at = np.searchsorted(owner, np.arange(stretches + 1))
+    weight = np.concatenate([[0], np.cumsum((counts[0] + counts[1])[codes])]) if stretches else np.zeros(1, np.int64)
+    for lo, hi in slices(np.diff(weight[offsets]) + 1, FOLD_TOKENS):
+        here, mine = offsets[lo : hi + 1] - offsets[lo], codes[offsets[lo] : offsets[hi]]
+        totals = [np.diff(np.concatenate([[0], np.cumsum(x[mine])])[here]) for x in counts]
+        listed = mine.tolist()
+        digest = [hashlib.sha256(b"".join([texts[i] for i in listed[x:y]])[1:]).hexdigest() if y > x else "" for x, y in zip(here.tolist(), here[1:].tolist())]
+        key, times = np.unique(np.repeat(np.arange(hi - lo), many[lo:hi]) * max(stretches, 1) + mine, return_counts=True)
+        doc, which = np.divmod(key, max(stretches, 1))
+        size = at[which + 1] - at[which]
+        key, links = np.repeat(doc, size) * max(len(pair), 1) + _gather(code, at[which], size), _gather(n, at[which], size) * np.repeat(times, size)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        links = np.add.reduceat(links[order], new) if len(key) else links
+        doc, which = np.divmod(key[new], max(len(pair), 1))
+        ends = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((pair[which] >> 21, pa.int32()), (pair[which] & ((1 << 21) - 1), pa.int32()), (links, pa.int64()))]
+        columns = [pa.array(row[lo:hi]), pa.array(doc_id[lo:hi], mask=null[lo:hi]), *(pa.array(x, pa.int64()) for x in totals), pa.array(digest, pa.string()), *lists]
+        yield pa.RecordBatch.from_arrays(columns, schema=_FOLDED)
 
 
 def align(docs: DataFrame, path: str, byte_bpe: str | None = None, piece_bpe: str | None = None) -> DataFrame:

@@ -98,11 +98,11 @@ class Encoder:
         place = np.argsort(np.concatenate([np.delete(np.arange(len(texts)), odd), odd]), kind="stable")
         return pa.concat_arrays([even, pa.array(lists, even.type)]).take(pa.array(place))
 
-    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, offsets) of each side; no text is null: text i has ids[offsets[i]:offsets[i + 1]]."""
+    def stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, offsets): where `known` has the stretches of the texts, until the next call; no text is null."""
         if not len(texts):
             self.spelled = np.zeros(0, bool)
-            return [(np.zeros(0, np.uint32), np.zeros(1, np.int64)) for _ in self.sides]
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         lists = self.pieces(texts)
         offsets = lists.offsets.to_numpy()
         offsets = (offsets - offsets[0]).astype(np.int64)
@@ -120,6 +120,11 @@ class Encoder:
             at = rows[codes]
             at[offsets[:-1]] = self._rows([words[i] for i in codes[offsets[:-1]].tolist()])
         self.spelled = np.logical_and.reduceat(self.good[at], offsets[:-1])  # a text has one stretch at least
+        return at, offsets
+
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets) of each side; no text is null: text i has ids[offsets[i]:offsets[i + 1]]."""
+        at, offsets = self.stretches(texts)
         out = []
         for flat, start, size in self.known:
             ends = np.concatenate([[0], np.cumsum(size[at], dtype=np.int64)])
